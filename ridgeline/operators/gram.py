@@ -113,3 +113,55 @@ def correlations(g: np.ndarray) -> np.ndarray:
     sd = np.sqrt(np.clip(np.diag(cov), 0, None))
     with np.errstate(invalid="ignore", divide="ignore"):
         return cov / np.outer(sd, sd)
+
+
+def _mapped_partials(by, inputs, y, fn, q, shift_y):
+    iu = np.triu_indices(q)
+
+    def run(batches):
+        acc: dict = {}
+        for pdf in batches:
+            if pdf.empty:
+                continue
+            H = fn(pdf[inputs].to_numpy(dtype=np.float64))
+            z = np.empty((len(pdf), q))
+            z[:, 0] = 1.0
+            z[:, 1:q - 1] = H
+            z[:, q - 1] = pdf[y].to_numpy(dtype=np.float64) - shift_y
+            if by:
+                for key, idx in pdf.groupby(by, sort=False).indices.items():
+                    key = key if isinstance(key, tuple) else (key,)
+                    acc[key] = acc.get(key, 0) + z[idx].T @ z[idx]
+            else:
+                acc[()] = acc.get((), 0) + z.T @ z
+        for key, g in acc.items():
+            out = {b: [k] * len(iu[0]) for b, k in zip(by, key)}
+            out.update({"_i": iu[0].astype(np.int32), "_j": iu[1].astype(np.int32), "_v": g[iu]})
+            yield pd.DataFrame(out)
+    return run
+
+
+def gram_mapped(df: DataFrame, inputs: list[str], fn, names: list[str], y: str,
+                by: list[str] = ()) -> Gram:
+    """GRAM of ``(1, fn(inputs), y)`` where ``fn`` is a numpy feature map.
+
+    The map runs inside the partition pass (no wide intermediate frame);
+    mapped features must be bounded (e.g. tanh units), the outcome is centred.
+    """
+    by = list(by)
+    d = df.select(*by, *[F.col(c).cast("double").alias(c) for c in inputs],
+                  F.col(y).cast("double").alias(y)).na.drop(subset=inputs + [y])
+    my = d.agg(F.avg(y)).first()[0] or 0.0
+    q = len(names) + 2
+    schema = ", ".join([f"`{b}` {df.schema[b].dataType.simpleString()}" for b in by]
+                       + ["_i int", "_j int", "_v double"])
+    summed = (d.mapInPandas(_mapped_partials(by, inputs, y, fn, q, my), schema)
+              .groupBy(*by, "_i", "_j").agg(F.sum("_v").alias("_v")))
+    mats: dict = {}
+    for r in summed.collect():
+        key = tuple(r[b] for b in by)
+        m = mats.setdefault(key, np.zeros((q, q)))
+        m[r["_i"], r["_j"]] = r["_v"]
+        m[r["_j"], r["_i"]] = r["_v"]
+    shift = np.concatenate([np.zeros(len(names)), [my]])
+    return Gram(list(names) + [y], shift, mats, by)

@@ -28,8 +28,19 @@ def _key_tuple(row, by):
     return tuple(row[b] for b in by)
 
 
+def group_stats(df: DataFrame, col: str, by: list[str] = ()) -> dict:
+    """``{group: (min, max, n)}`` of the non-NULL values (one aggregate)."""
+    by = list(by)
+    rows = (df.filter(F.col(col).isNotNull()).groupBy(*by)
+            .agg(F.min(col).alias("lo"), F.max(col).alias("hi"), F.count("*").alias("n"))
+            .limit(MAX_TARGETS + 1).collect())
+    if len(rows) > MAX_TARGETS:
+        raise ValueError("too many groups for order statistics")
+    return {_key_tuple(r, by): (r["lo"], r["hi"], r["n"]) for r in rows}
+
+
 def kth_values(df: DataFrame, col: str, targets: dict, by: list[str] = (),
-               max_collect: int = MAX_COLLECT, bins: int = BINS) -> dict:
+               max_collect: int = MAX_COLLECT, bins: int = BINS, stats: dict | None = None) -> dict:
     """Value at 0-based rank ``k`` of ``col`` per group.
 
     ``targets`` maps a group-key tuple to a list of ranks.  Returns
@@ -51,11 +62,10 @@ def kth_values(df: DataFrame, col: str, targets: dict, by: list[str] = (),
     items = [(g, k) for g, ks in targets.items() for k in ks]
     if len(items) > MAX_TARGETS:
         raise ValueError("too many order-statistic targets")
-    bounds = {}
-    stats = base.groupBy(*by).agg(F.min("_v").alias("lo"), F.max("_v").alias("hi"),
-                                  F.count("*").alias("n"))
-    for r in stats.limit(MAX_TARGETS + 1).collect():
-        bounds[_key_tuple(r, by)] = (r["lo"], r["hi"], r["n"])
+    if stats is not None:
+        bounds = {((0,) if wrap else g): v for g, v in stats.items()}
+    else:
+        bounds = group_stats(base, "_v", by)
     result = {}
     for tid, (g, k) in enumerate(items):
         lo, hi, n = bounds[tuple(g)]
@@ -65,25 +75,31 @@ def kth_values(df: DataFrame, col: str, targets: dict, by: list[str] = (),
     tschema = ", ".join([f"`{b}` {df.schema[b].dataType.simpleString()}" for b in by]
                         + ["_tid int", "_lo double", "_hi double"])
     while state:
-        # finish targets whose interval is a single value or small enough
-        small = {t: s for t, s in state.items() if s[2] == s[3] or s[6] <= max_collect}
-        for t, s in small.items():
-            g, k, lo, hi, r, below, cnt = s
-            if lo == hi:
-                result[(g, k)] = (lo, below)
-                continue
-            cond = (F.col("_v") >= F.lit(lo)) & (F.col("_v") <= F.lit(hi))
-            for b, gv in zip(by, g):
-                cond = cond & (F.col(b) == F.lit(gv))
-            vals = sorted(x["_v"] for x in base.filter(cond).select("_v")
-                          .limit(max_collect + 1).collect())
-            v = vals[r]
-            result[(g, k)] = (v, below + sum(1 for x in vals if x < v))
+        # targets whose interval is one value, or small enough to read, finish now
+        small = {t: st for t, st in state.items() if st[2] == st[3] or st[6] <= max_collect}
+        to_read = {t: st for t, st in small.items() if st[2] != st[3]}
+        for t, st in small.items():
+            if st[2] == st[3]:
+                result[(st[0], st[1])] = (st[2], st[5])
+        if to_read:
+            rows = [(*st[0], t, float(st[2]), float(st[3])) for t, st in to_read.items()]
+            tdf = F.broadcast(spark.createDataFrame(rows, tschema))
+            got = (base.join(tdf, on=by, how="inner")
+                   .filter((F.col("_v") >= F.col("_lo")) & (F.col("_v") <= F.col("_hi")))
+                   .select("_tid", "_v")
+                   .limit(max_collect * len(to_read) + 1).collect())
+            vals: dict = {}
+            for r in got:
+                vals.setdefault(r["_tid"], []).append(r["_v"])
+            for t, st in to_read.items():
+                v_sorted = sorted(vals[t])
+                v = v_sorted[st[4]]
+                result[(st[0], st[1])] = (v, st[5] + sum(1 for x in v_sorted if x < v))
         for t in small:
             del state[t]
         if not state:
             break
-        trows = [(*s[0], t, float(s[2]), float(s[3])) for t, s in state.items()]
+        trows = [(*st[0], t, float(st[2]), float(st[3])) for t, st in state.items()]
         tdf = F.broadcast(spark.createDataFrame(trows, tschema))
         joined = base.join(tdf, on=by, how="inner")
         width = (F.col("_hi") - F.col("_lo")) / F.lit(float(bins))
@@ -96,14 +112,14 @@ def kth_values(df: DataFrame, col: str, targets: dict, by: list[str] = (),
         per = {}
         for h in hist:
             per.setdefault(h["_tid"], []).append((h["_b"], h["c"], h["mn"], h["mx"]))
-        for t, s in list(state.items()):
+        for t, st in list(state.items()):
             acc = 0
             for b, c, mn, mx in sorted(per[t]):
-                if acc + c > s[4]:
-                    s[2], s[3] = mn, mx
-                    s[5] += acc
-                    s[4] -= acc
-                    s[6] = c
+                if acc + c > st[4]:
+                    st[2], st[3] = mn, mx
+                    st[5] += acc
+                    st[4] -= acc
+                    st[6] = c
                     break
                 acc += c
     if wrap:
@@ -115,9 +131,8 @@ def quantiles(df: DataFrame, col: str, probs: list[float], by: list[str] = (),
               max_collect: int = MAX_COLLECT) -> dict:
     """``{group: [q(p) for p in probs]}`` with linear interpolation (type 7)."""
     by = list(by)
-    counts = {_key_tuple(r, by): r["n"] for r in
-              df.filter(F.col(col).isNotNull()).groupBy(*by).agg(F.count("*").alias("n"))
-              .limit(MAX_TARGETS + 1).collect()}
+    stats = group_stats(df, col, by)
+    counts = {g: v[2] for g, v in stats.items()}
     targets = {}
     plan = {}
     for g, n in counts.items():
@@ -129,7 +144,7 @@ def quantiles(df: DataFrame, col: str, probs: list[float], by: list[str] = (),
             ks.update([lo, hi])
             plan[(g, p)] = (lo, hi, h - lo)
         targets[g] = sorted(ks)
-    vals = kth_values(df, col, targets, by, max_collect)
+    vals = kth_values(df, col, targets, by, max_collect, stats=stats)
     out = {}
     for g in counts:
         qs = []
