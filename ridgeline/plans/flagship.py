@@ -14,13 +14,19 @@ from ..operators import linear as lin
 from ..operators import recode as rc
 from ..operators import resampling as rs
 from ..operators import tables as tb
+from ..session import cut_lineage
 from . import fixtures as fx
 
 
 def model_frame(spark, sf_dir):
-    """hh with full dummies and the split column (the modelling input)."""
+    """hh with full dummies and the split column (the modelling input).
+
+    Written once as a reliable checkpoint in the shared checkpoint folder:
+    every model below makes several passes over it, and the checkpoint both
+    cuts the lineage back to the raw tables and survives executor loss.
+    """
     hh = rc.dummies_full(fx.hh(spark, sf_dir), fx.HH_NOMINAL)
-    return rs.stratified_split(hh, fx.HH_Y, 0.75, "hhid", seed=7)
+    return cut_lineage(rs.stratified_split(hh, fx.HH_Y, 0.75, "hhid", seed=7))
 
 
 def features(df):
