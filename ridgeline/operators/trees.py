@@ -236,6 +236,24 @@ class Tree:
     def transform(self, df: DataFrame, out: str = "prediction") -> DataFrame:
         return df.withColumn(out, self.expr())
 
+    def path_expr(self) -> Column:
+        """Array of node ids from the root to the row's leaf."""
+        def build(i, anc):
+            nd = self.nodes[i]
+            here = anc + [i]
+            if nd.is_leaf:
+                return F.array(*[F.lit(int(a)) for a in here])
+            return F.when(F.col(nd.feature) <= F.lit(nd.cut), build(nd.left, here)).otherwise(build(nd.right, here))
+        return build(self.root, [])
+
+    def parents(self) -> dict:
+        out = {}
+        for i, nd in self.nodes.items():
+            if not nd.is_leaf:
+                out[nd.left] = i
+                out[nd.right] = i
+        return out
+
     def truncate(self, max_depth: int) -> "Tree":
         t = self.copy()
         for i in [j for j, nd in t.nodes.items() if nd.depth == max_depth and not nd.is_leaf]:
