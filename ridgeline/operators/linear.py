@@ -229,7 +229,7 @@ def default_lambdas(s: Standardized, alpha: float, nlambda: int = 100) -> np.nda
     return np.exp(np.linspace(math.log(lmax), math.log(lmax * ratio), nlambda))
 
 
-def _cd(s: Standardized, alpha: float, lam: float, b: np.ndarray, tol=1e-7, max_sweeps=100_000) -> np.ndarray:
+def _cd(s: Standardized, alpha: float, lam: float, b: np.ndarray, tol=1e-14, max_sweeps=100_000) -> np.ndarray:
     """Covariance-mode coordinate descent on the standardised problem.
 
     Keeps the gradient ``r = c - C b`` up to date with one vector update per
