@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from ..functions.fixed_values import BOOTSTRAP_DRAWS, SPLIT_BREAKS
 from ..functions.hashing import hash_uniform, poisson_weight
-from .quantiles import kth_values, quantiles
+from .quantiles import group_stats, kth_values, quantiles
 
 
 def _lookup(pairs, key: Column) -> Column:
@@ -57,17 +57,23 @@ def stratified_split(df: DataFrame, y: str, p: float, key: str, seed: int = 1,
         strat = strata_expr(narrow, y, breaks)
         u = hash_uniform(seed, key)
         d = narrow.select(key, strat.alias("_stratum"), u.alias("_u"))
-        counts = {r["_stratum"]: r["count"] for r in d.groupBy("_stratum").count().collect()}
-        need = {g: math.ceil(n * p) for g, n in counts.items()}
+        stats = group_stats(d, "_u", ["_stratum"])           # (min, max, n) per stratum, one job
+        need = {g[0]: math.ceil(v[2] * p) for g, v in stats.items()}
         targets = {(g,): [k - 1] for g, k in need.items() if k > 0}
-        cut = kth_values(d, "_u", targets, by=["_stratum"]) if targets else {}
+        cut = kth_values(d, "_u", targets, by=["_stratum"],
+                         stats={(g,): stats[(g,)] for g in need if need[g] > 0}) if targets else {}
         t_u = {g: cut[((g,), need[g] - 1)][0] for g in need if need[g] > 0}
         m = {g: need[g] - cut[((g,), need[g] - 1)][1] for g in t_u}
         t_key = {}
         if t_u:
             tie_rows = d.filter(F.col("_u") == _lookup(t_u.items(), F.col("_stratum")))
-            tk = kth_values(tie_rows, key, {(g,): [m[g] - 1] for g in t_u}, by=["_stratum"])
-            t_key = {g: tk[((g,), m[g] - 1)][0] for g in t_u}
+            ties = {r["_stratum"]: (r["c"], r["k"]) for r in
+                    tie_rows.groupBy("_stratum").agg(F.count("*").alias("c"), F.min(key).alias("k")).collect()}
+            if all(ties[g][0] == 1 for g in t_u):   # the usual case: no hash collision at the cut
+                t_key = {g: ties[g][1] for g in t_u}
+            else:
+                tk = kth_values(tie_rows, key, {(g,): [m[g] - 1] for g in t_u}, by=["_stratum"])
+                t_key = {g: tk[((g,), m[g] - 1)][0] for g in t_u}
     finally:
         narrow.unpersist()
     if not t_u:

@@ -25,7 +25,7 @@ def model_frame(spark, sf_dir):
     every model below makes several passes over it, and the checkpoint both
     cuts the lineage back to the raw tables and survives executor loss.
     """
-    hh = rc.dummies_full(fx.hh(spark, sf_dir), fx.HH_NOMINAL)
+    hh = rc.dummies_full(cut_lineage(fx.hh(spark, sf_dir)), fx.HH_NOMINAL)
     return cut_lineage(rs.stratified_split(hh, fx.HH_Y, 0.75, "hhid", seed=7))
 
 
