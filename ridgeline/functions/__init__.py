@@ -1,0 +1 @@
+"""Column helpers, fixed values and distribution tails."""

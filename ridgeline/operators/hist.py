@@ -73,9 +73,13 @@ def make_bins(df: DataFrame, features: list[str], max_bins: int = 64) -> Bins:
     return Bins(list(features), bin_features(df, features, max_bins))
 
 
-def hist(df: DataFrame, node: Column, bins: Bins, stats: dict[str, Column], with_x: bool = False) -> pd.DataFrame:
+def hist(df: DataFrame, node: Column, bins: Bins, stats: dict[str, Column], with_x: bool = False,
+         n_nodes: int = 1) -> pd.DataFrame:
     """Sums of ``stats`` per (node, feature index, bin) -- one aggregate, collected.
 
+    The result size is bounded by construction: ``n_nodes`` x features x
+    (cuts + 1); the bound is checked before the job runs.
+
     With ``with_x`` the per-bin weighted sums of x, x^2 and x*y are added for
     association tests (``n`` must be the weight stat and ``y`` the weighted y).
     """
@@ -92,11 +96,10 @@ def hist(df: DataFrame, node: Column, bins: Bins, stats: dict[str, Column], with
         aggs += [F.sum(F.col("x") * F.col("n")).alias("sx"),
                  F.sum(F.col("x") * F.col("x") * F.col("n")).alias("sxx"),
                  F.sum(F.col("x") * F.col("y")).alias("sxy")]
-    out = st.groupBy("_node", "f", "b").agg(*aggs)
-    rows = out.limit(MAX_HIST_ROWS + 1).toPandas()
-    if len(rows) > MAX_HIST_ROWS:
+    bound = n_nodes * sum(len(bins.cuts[f]) + 1 for f in bins.features)
+    if bound > MAX_HIST_ROWS:
         raise ValueError("histogram larger than the driver bound; use fewer bins or nodes")
-    return rows
+    return st.groupBy("_node", "f", "b").agg(*aggs).toPandas()
 
 
 # ---------------------------------------------------------------- trees ---
@@ -158,6 +161,31 @@ def _split_children(t: HTree, i: int, feature: str, cut: float, gain: float, lv:
     t.nodes[2 * i + 1] = HNode(2 * i + 1, nd.depth + 1, rv, rn)
 
 
+def _assoc(hf: pd.DataFrame):
+    """(n-1) r^2 of x and y from one feature's per-bin sums (None if x or y is constant)."""
+    n = hf["n"].sum()
+    sx, sxx = hf["sx"].sum(), hf["sxx"].sum()
+    sy, syy, sxy = hf["y"].sum(), hf["yy"].sum(), hf["sxy"].sum()
+    vx = sxx - sx * sx / n
+    vy = syy - sy * sy / n
+    if vx <= 1e-12 * max(1.0, abs(sxx)) or vy <= 0:
+        return None
+    return (n - 1) * (sxy - sx * sy / n) ** 2 / (vx * vy)
+
+
+def association_statistics(df: DataFrame, y: str, features: list[str], max_bins: int = 64) -> dict:
+    """Root-node statistics of the inference tree, one HIST pass."""
+    bins = make_bins(df, features, max_bins)
+    d = df.select(*features, F.col(y).cast("double").alias("_y"))
+    h = hist(d, F.lit(1), bins, {"n": F.lit(1.0), "y": F.col("_y"), "yy": F.col("_y") * F.col("_y")}, with_x=True)
+    out = {}
+    for fi, hf in h.groupby("f"):
+        st = _assoc(hf)
+        if st is not None:
+            out[bins.features[fi]] = st
+    return out
+
+
 def ctree(df: DataFrame, y: str, features: list[str], mincriterion: float = 0.95, minsplit: int = 20,
           minbucket: int = 7, maxdepth: int = 30, bins: Bins | None = None, weight: Column | None = None,
           max_bins: int = 64) -> HTree:
@@ -181,7 +209,7 @@ def ctree(df: DataFrame, y: str, features: list[str], mincriterion: float = 0.95
     while frontier:
         node = t.node_expr()
         stats = {"n": F.col("_w"), "y": F.col("_w") * F.col("_y"), "yy": F.col("_w") * F.col("_y") * F.col("_y")}
-        h = hist(d.filter(node.isin(frontier)), node, bins, stats, with_x=True)
+        h = hist(d.filter(node.isin(frontier)), node, bins, stats, with_x=True, n_nodes=len(frontier))
         nxt = []
         for i in frontier:
             nd = t.nodes[i]
@@ -192,16 +220,10 @@ def ctree(df: DataFrame, y: str, features: list[str], mincriterion: float = 0.95
             m = 0
             per_f = {}
             for fi, hf in hi.groupby("f"):
-                n = hf["n"].sum()
-                sx, sxx = hf["sx"].sum(), hf["sxx"].sum()
-                sy, syy, sxy = hf["y"].sum(), hf["yy"].sum(), hf["sxy"].sum()
-                vx = sxx - sx * sx / n
-                vy = syy - sy * sy / n
-                if vx <= 1e-12 * max(1.0, sxx) or vy <= 0:
+                stat = _assoc(hf)
+                if stat is None:
                     continue
                 m += 1
-                r2 = (sxy - sx * sy / n) ** 2 / (vx * vy)
-                stat = (n - 1) * r2
                 per_f[fi] = chi2_sf(stat, 1)
             if not per_f:
                 continue
@@ -334,7 +356,7 @@ def xgb(df: DataFrame, y: str, features: list[str], key: str, rounds: int = 50,
         frontier = [1]
         stats = {"g": F.col("_f") - F.col(y), "h": F.lit(1.0)}
         while frontier:
-            h = hist(train.filter(t.node_expr().isin(frontier)), t.node_expr(), sub, stats)
+            h = hist(train.filter(t.node_expr().isin(frontier)), t.node_expr(), sub, stats, n_nodes=len(frontier))
             nxt = []
             for i in frontier:
                 hi = h[h["_node"] == i]

@@ -89,7 +89,7 @@ def forward(X: np.ndarray, mats) -> list[np.ndarray]:
     acts = [X]
     for i, W in enumerate(mats):
         z = acts[-1] @ W[1:] + W[0]
-        acts.append(z if i == len(mats) - 1 else 1.0 / (1.0 + np.exp(-z)))
+        acts.append(z if i == len(mats) - 1 else 1.0 / (1.0 + np.exp(-np.clip(z, -60.0, 60.0))))
     return acts
 
 

@@ -339,40 +339,51 @@ def prune(t: Tree, cp: float, seq: list | None = None) -> Tree:
 
 
 def cp_table(t: Tree) -> list[tuple[float, int, float]]:
-    """(cp, splits, rel_error) for each subtree of the pruning sequence."""
+    """(cp, splits, rel_error) for every subtree of the weakest-link sequence.
+
+    Root first.  A row's cp is where that subtree becomes optimal, so
+    ``prune(t, cp)`` returns exactly that subtree; the full tree has cp 0.
+    """
     seq = prune_sequence(t)
     root_dev = t.nodes[t.root].dev
-    out = []
+
+    def row(tree, cp):
+        return (cp, len(tree.leaves()) - 1, sum(tree.nodes[j].dev for j in tree.leaves()) / root_dev)
+
     cur = t.copy()
-    levels = sorted(set(a for a, _ in seq))
-    rel = sum(cur.nodes[j].dev for j in cur.leaves()) / root_dev
-    out.append((levels[0] / root_dev if levels else 0.0, len(cur.leaves()) - 1, rel))
-    for k, lev in enumerate(levels):
+    rows = [row(cur, 0.0)]
+    for lev in sorted(set(a for a, _ in seq)):
         for a, i in seq:
             if a <= lev and i in cur.nodes:
                 cur.collapse(i)
-        rel = sum(cur.nodes[j].dev for j in cur.leaves()) / root_dev
-        nxt = levels[k + 1] / root_dev if k + 1 < len(levels) else 0.0
-        out.append((nxt if k + 1 < len(levels) else lev / root_dev, len(cur.leaves()) - 1, rel))
-    # rpart reports each subtree with the cp at which it stops being optimal
-    res, seen = [], set()
-    for cpv, s, r in out:
-        if s not in seen:
-            res.append((cpv, s, r))
-            seen.add(s)
-    return res
+        rows.append(row(cur, lev / root_dev))
+    return rows[::-1]
 
 
 def assembled(df: DataFrame, features: list[str], out: str = "features") -> DataFrame:
     return VectorAssembler(inputCols=features, outputCol=out).transform(df)
 
 
+def prestop_gain(df: DataFrame, y: str, cp: float) -> float:
+    """Safe pre-stop for growth at complexity ``cp``.
+
+    rpart splits node t only if its RSS drop is at least ``cp * RSS(root)``;
+    MLlib's gain is that drop divided by ``n_t <= n_root``, so every split rpart
+    would make has gain >= ``cp * Var(root)``.  Using that as ``minInfoGain``
+    never blocks such a split; weaker splits are left to the pruning step.
+    """
+    if cp <= 0:
+        return 0.0
+    v = df.agg(F.var_pop(y)).first()[0] or 0.0
+    return cp * v * (1.0 - 1e-9)
+
+
 def grow(df: DataFrame, y: str, features: list[str], minbucket: int = 7, maxdepth: int = 30,
-         max_bins: int = 256, weight: str | None = None, seed: int = 1):
-    """Grow the full CART tree with MLlib (the growth step of T2)."""
+         max_bins: int = 256, weight: str | None = None, seed: int = 1, min_info_gain: float = 0.0):
+    """Grow the CART tree with MLlib (the growth step of T2)."""
     dt = DecisionTreeRegressor(featuresCol="features", labelCol=y, maxDepth=min(maxdepth, 30),
-                               minInstancesPerNode=minbucket, minInfoGain=0.0, maxBins=max_bins, seed=seed,
-                               cacheNodeIds=True, checkpointInterval=10)
+                               minInstancesPerNode=minbucket, minInfoGain=min_info_gain, maxBins=max_bins,
+                               seed=seed, cacheNodeIds=True, checkpointInterval=10)
     if weight:
         dt = dt.setWeightCol(weight)
     return dt.fit(assembled(df.select(y, *features, *([weight] if weight else [])), features))
@@ -383,7 +394,8 @@ def regression_tree(df: DataFrame, y: str, features: list[str], cp: float = 0.01
                     weight: str | None = None) -> Tree:
     """Rpart-style tree = grow fully, apply minsplit, prune at cp."""
     minbucket = minbucket if minbucket is not None else max(1, round(minsplit / 3))
-    m = grow(df, y, features, minbucket, maxdepth, max_bins, weight)
+    m = grow(df, y, features, minbucket, maxdepth, max_bins, weight,
+             min_info_gain=prestop_gain(df, y, cp) if weight is None else 0.0)
     t = apply_minsplit(tree_from_mllib(m, features, df.sparkSession), minsplit)
     return prune(t, cp)
 
@@ -412,18 +424,36 @@ def importance_gain(t: Tree, spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([(k, float(v)) for k, v in rows], "feature string, importance double")
 
 
-def fold_prune_errors(train_tree: Tree, held: DataFrame, y: str, cps: list[float]) -> list[float]:
-    """Held-out SSE of ``train_tree`` pruned at each cp, in ONE aggregate.
+def held_out_leaf_stats(t: Tree, held: DataFrame, y: str) -> dict:
+    """(n, sum y, sum y^2) of held-out rows per leaf of ``t`` -- one aggregate."""
+    rows = (held.groupBy(t.node_expr().alias("_leaf"))
+            .agg(F.count("*").alias("n"), F.sum(F.col(y)).alias("sy"), F.sum(F.col(y) * F.col(y)).alias("syy"))
+            .collect())
+    return {r["_leaf"]: (float(r["n"]), float(r["sy"]), float(r["syy"])) for r in rows}
+
 
-    Every pruned variant is a CASE column; one ``agg`` scores them all.
+def variant_sse(full: Tree, variant: Tree, stats: dict) -> float:
+    """Held-out SSE of a pruned/truncated ``variant`` of ``full`` from per-leaf sums.
+
+    Each full-tree leaf maps to its nearest ancestor that is a leaf of the
+    variant; that node's training mean is the prediction for all its rows.
     """
+    parents = full.parents()
+    sse = 0.0
+    for leaf, (n, sy, syy) in stats.items():
+        node = leaf
+        while not (node in variant.nodes and variant.nodes[node].is_leaf):
+            node = parents[node]
+        pred = variant.nodes[node].value
+        sse += syy - 2.0 * pred * sy + pred * pred * n
+    return sse
+
+
+def fold_prune_errors(train_tree: Tree, held: DataFrame, y: str, cps: list[float]) -> list[float]:
+    """Held-out SSE of ``train_tree`` pruned at each cp from ONE held-out aggregate."""
     seq = prune_sequence(train_tree)
-    exprs = []
-    for k, cp in enumerate(cps):
-        pt = prune(train_tree, cp, seq)
-        exprs.append(F.sum(F.pow(F.col(y) - pt.expr(), 2)).alias(f"e{k}"))
-    row = held.agg(*exprs).first()
-    return [float(row[f"e{k}"]) for k in range(len(cps))]
+    stats = held_out_leaf_stats(train_tree, held, y)
+    return [variant_sse(train_tree, prune(train_tree, cp, seq), stats) for cp in cps]
 
 
 def cv_cp(df: DataFrame, y: str, features: list[str], fold_col: str, cps: list[float], minsplit: int = 20,
@@ -435,13 +465,16 @@ def cv_cp(df: DataFrame, y: str, features: list[str], fold_col: str, cps: list[f
     """
     minbucket = minbucket if minbucket is not None else max(1, round(minsplit / 3))
     folds = sorted(r[0] for r in df.select(fold_col).distinct().collect())
+    gain = prestop_gain(df, y, min(cps))
 
     def one(f):
         tr = df.filter(F.col(fold_col) != f)
         te = df.filter(F.col(fold_col) == f)
-        m = grow(tr, y, features, minbucket, maxdepth, max_bins)
+        m = grow(tr, y, features, minbucket, maxdepth, max_bins, min_info_gain=gain)
         t = apply_minsplit(tree_from_mllib(m, features, df.sparkSession), minsplit)
-        return fold_prune_errors(t, te, y, cps), te.count()
+        seq = prune_sequence(t)
+        stats = held_out_leaf_stats(t, te, y)
+        return [variant_sse(t, prune(t, cp, seq), stats) for cp in cps], sum(v[0] for v in stats.values())
 
     res = parallel_map(one, folds)
     per_fold = [r[0] for r in res]

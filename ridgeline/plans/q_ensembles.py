@@ -146,11 +146,13 @@ def b10_grid_search_valid(spark, sf_dir):
     x = [c for c in d.columns if c not in ("hhid", Y, "in_train", "in_valid")]
     tr_ = d.filter(F.col("in_train") & ~F.col("in_valid"))
     va = d.filter(F.col("in_valid"))
-    rows = []
-    for p in tu.grid_points({"num_leaves": [4, 8], "max_depth": [3, -1]}):
+
+    def fit_one(p):
         m, _, _ = hs.leafwise_boost(tr_, Y, x, "hhid", rounds=10, learning_rate=0.2, **p)
         pv = m.transform(va)
-        rows.append({**p, "valid_rmse": float(pv.agg(tb.rmse(pv, "prediction", Y)).first()[0])})
+        return {**p, "valid_rmse": float(pv.agg(tb.rmse(pv, "prediction", Y)).first()[0])}
+
+    rows = tr.parallel_map(fit_one, tu.grid_points({"num_leaves": [4, 8], "max_depth": [3, -1]}))
     res = spark.createDataFrame(rows)
     best = tb.best_row(res, "valid_rmse", ["num_leaves", "max_depth"]).first()
     return res.withColumn("best", (F.col("num_leaves") == best["num_leaves"]) & (F.col("max_depth") == best["max_depth"]))
@@ -318,3 +320,16 @@ def k2_mlp_two_layer(spark, sf_dir):
     u = hash_uniform(23, "hhid")
     rows = nn.mlp_random_search(train.filter(u >= 0.2), train.filter(u < 0.2), Y, x, n=3, seed=4, maxit=15)
     return spark.createDataFrame(rows, "hidden1 int, hidden2 int, valid_rmse double")
+
+
+_T11X = [*fx.HH_NUMERIC, *fx.HH_NOMINAL]
+
+
+@register("t11_root_statistic", with_ctes(HH_RAW, HH) + " UNION ALL ".join(
+    f"SELECT '{c}' AS feature, {r4s(f'(count(*) - 1) * power(corr({c}, {Y}), 2)')} AS statistic FROM hh"
+    for c in _T11X))
+def t11_root_statistic(spark, sf_dir):
+    """Root-node association statistics of the inference tree, (n-1) r^2 per feature, from one HIST pass."""
+    hh = fx.hh(spark, sf_dir)
+    st = hs.association_statistics(hh, Y, _T11X)
+    return r4(spark.createDataFrame([(f, float(v)) for f, v in st.items()], "feature string, statistic double"))

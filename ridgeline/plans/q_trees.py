@@ -186,9 +186,9 @@ def t6_tune_maxdepth(spark, sf_dir):
     def one(f):
         trn, held = d.filter(F.col("fold") != f), d.filter(F.col("fold") == f)
         t = tr.prune(tr.apply_minsplit(tr.tree_from_mllib(tr.grow(trn, Y, x, 7, maxdepth=8), x, spark), 20), 0.001)
-        row = held.agg(F.count("*").alias("n"), *[F.sum(F.pow(F.col(Y) - t.truncate(k).expr(), 2)).alias(f"e{k}")
-                                                  for k in depths]).first()
-        return [np.sqrt(row[f"e{k}"] / row["n"]) for k in depths]
+        stats = tr.held_out_leaf_stats(t, held, Y)
+        n = sum(v[0] for v in stats.values())
+        return [np.sqrt(tr.variant_sse(t, t.truncate(k), stats) / n) for k in depths]
 
     errs = tr.parallel_map(one, list(range(10)))
     E = np.array(errs)

@@ -68,3 +68,21 @@ def test_ctree_stops_on_noise(spark, hh):
     noisy = hh.withColumn("noise", (F.col("hhid") * 7919 % 101).cast("double"))
     t = hs.ctree(noisy, "noise", ["prov", "computer"], mincriterion=0.999)
     assert len(t.leaves()) <= 3
+
+
+def test_cp_table_rows_are_prunable(spark, hh):
+    t = tr.tree_from_mllib(tr.grow(hh, Y, X, minbucket=5, maxdepth=6), X, spark)
+    table = tr.cp_table(t)
+    assert table[0][1] == 0 and abs(table[0][2] - 1.0) < 1e-12
+    assert table[-1][0] == 0.0 and table[-1][1] == len(t.leaves()) - 1
+    for cp, nsplit, rel in table:
+        p = tr.prune(t, cp)
+        assert len(p.leaves()) - 1 == nsplit
+
+
+def test_variant_sse_matches_scoring(spark, hh):
+    t = tr.tree_from_mllib(tr.grow(hh, Y, X, minbucket=5, maxdepth=6), X, spark)
+    stats = tr.held_out_leaf_stats(t, hh, Y)
+    for variant in (tr.prune(t, 0.01), t.truncate(2)):
+        want = variant.transform(hh).agg(F.sum(F.pow(F.col(Y) - F.col("prediction"), 2))).first()[0]
+        assert abs(tr.variant_sse(t, variant, stats) - want) < 1e-6 * want
