@@ -21,6 +21,7 @@ import math
 from dataclasses import dataclass, field
 
 import numpy as np
+import pandas as pd
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import DecisionTreeRegressor
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -307,23 +308,46 @@ def prune_sequence(t: Tree) -> list[tuple[float, int]]:
 
     alpha of an internal node = (R(node) - R(subtree)) / (leaves - 1); the
     node with the smallest alpha is collapsed first (CART, Breiman et al. 1984).
+    Subtree risk and leaf counts are computed bottom-up once and, after each
+    collapse, updated only along the collapsed node's ancestors.
     """
-    t = t.copy()
-    seq = []
-    cur = 0.0
-    while not t.nodes[t.root].is_leaf:
+    parents = t.parents()
+    r_sub, n_leaves, internal = {}, {}, set()
+    for i in sorted(t.nodes, key=lambda j: -t.nodes[j].depth):
+        nd = t.nodes[i]
+        if nd.is_leaf:
+            r_sub[i], n_leaves[i] = nd.dev, 1
+        else:
+            r_sub[i] = r_sub[nd.left] + r_sub[nd.right]
+            n_leaves[i] = n_leaves[nd.left] + n_leaves[nd.right]
+            internal.add(i)
+    seq, cur = [], 0.0
+    while internal:
         best, best_a = None, math.inf
-        for i, nd in t.nodes.items():
-            if nd.is_leaf:
-                continue
-            lv = t.leaves(i)
-            r_sub = sum(t.nodes[j].dev for j in lv)
-            a = (nd.dev - r_sub) / (len(lv) - 1)
-            if a < best_a - 1e-12 or (abs(a - best_a) <= 1e-12 and best is not None and i > best):
+        for i in internal:
+            a = (t.nodes[i].dev - r_sub[i]) / (n_leaves[i] - 1)
+            if a < best_a - 1e-12 or (abs(a - best_a) <= 1e-12 and i > best):
                 best, best_a = i, a
         cur = max(cur, best_a)
         seq.append((cur, best))
-        t.collapse(best)
+        # collapse: drop the internal nodes below ``best``, update ancestors
+        stack = [best]
+        while stack:
+            j = stack.pop()
+            internal.discard(j)
+            nd = t.nodes[j]
+            if not nd.is_leaf and (j == best or j not in internal):
+                for c in (nd.left, nd.right):
+                    if c in internal:
+                        stack.append(c)
+        d_r = t.nodes[best].dev - r_sub[best]
+        d_l = 1 - n_leaves[best]
+        r_sub[best], n_leaves[best] = t.nodes[best].dev, 1
+        j = best
+        while j in parents:
+            j = parents[j]
+            r_sub[j] += d_r
+            n_leaves[j] += d_l
     return seq
 
 
@@ -424,12 +448,58 @@ def importance_gain(t: Tree, spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([(k, float(v)) for k, v in rows], "feature string, importance double")
 
 
+def _tree_arrays(t: Tree, features: list[str]):
+    ids = sorted(t.nodes)
+    pos = {i: k for k, i in enumerate(ids)}
+    feat = np.array([features.index(t.nodes[i].feature) if not t.nodes[i].is_leaf else -1 for i in ids])
+    cut = np.array([t.nodes[i].cut if not t.nodes[i].is_leaf else 0.0 for i in ids], dtype=float)
+    left = np.array([pos[t.nodes[i].left] if not t.nodes[i].is_leaf else k for k, i in enumerate(ids)])
+    right = np.array([pos[t.nodes[i].right] if not t.nodes[i].is_leaf else k for k, i in enumerate(ids)])
+    return np.array(ids), feat, cut, left, right, pos[t.root]
+
+
 def held_out_leaf_stats(t: Tree, held: DataFrame, y: str) -> dict:
-    """(n, sum y, sum y^2) of held-out rows per leaf of ``t`` -- one aggregate."""
-    rows = (held.groupBy(t.node_expr().alias("_leaf"))
-            .agg(F.count("*").alias("n"), F.sum(F.col(y)).alias("sy"), F.sum(F.col(y) * F.col(y)).alias("syy"))
-            .collect())
-    return {r["_leaf"]: (float(r["n"]), float(r["sy"]), float(r["syy"])) for r in rows}
+    """(n, sum y, sum y^2) of held-out rows per leaf of ``t`` -- one aggregate.
+
+    Rows are routed through the tree with vectorised numpy steps (one array
+    step per level) inside ``mapInPandas``, so deep, wide trees never become
+    a giant expression; partitions emit per-leaf partial sums only.
+    """
+    feats = sorted({nd.feature for nd in t.nodes.values() if not nd.is_leaf})
+    if not feats:
+        r = held.agg(F.count("*").alias("n"), F.sum(y).alias("sy"), F.sum(F.col(y) * F.col(y)).alias("syy")).first()
+        return {t.root: (float(r["n"]), float(r["sy"] or 0.0), float(r["syy"] or 0.0))} if r["n"] else {}
+    ids, feat, cut, left, right, root = _tree_arrays(t, feats)
+    depth = t.depth()
+
+    def route(batches):
+        acc = {}
+        for pdf in batches:
+            if pdf.empty:
+                continue
+            X = pdf[feats].to_numpy(dtype=np.float64)
+            yv = pdf[y].to_numpy(dtype=np.float64)
+            node = np.full(len(pdf), root)
+            rows = np.arange(len(pdf))
+            for _ in range(depth):
+                f = feat[node]
+                go = f >= 0
+                xv = X[rows, np.where(go, f, 0)]
+                node = np.where(go, np.where(xv <= cut[node], left[node], right[node]), node)
+            for leaf in np.unique(node):
+                m = node == leaf
+                a = acc.setdefault(int(ids[leaf]), [0.0, 0.0, 0.0])
+                a[0] += m.sum()
+                a[1] += yv[m].sum()
+                a[2] += (yv[m] ** 2).sum()
+        yield pd.DataFrame({"_leaf": list(acc), "n": [v[0] for v in acc.values()],
+                            "sy": [v[1] for v in acc.values()], "syy": [v[2] for v in acc.values()]})
+
+    out = (held.select(*feats, F.col(y).cast("double").alias(y))
+           .mapInPandas(route, "_leaf long, n double, sy double, syy double")
+           .groupBy("_leaf").agg(F.sum("n").alias("n"), F.sum("sy").alias("sy"), F.sum("syy").alias("syy"))
+           .collect())
+    return {r["_leaf"]: (float(r["n"]), float(r["sy"]), float(r["syy"])) for r in out}
 
 
 def variant_sse(full: Tree, variant: Tree, stats: dict) -> float:
