@@ -19,9 +19,11 @@ from .trees import assembled
 
 # Histogram-aggregation budget per pass: deep forests split more nodes per
 # pass with a larger budget (256 MB default -> 1 GB measured ~12% faster at
-# sf0.1).  Node-id caching stays on: without it, deep trees re-route every
-# row from the root each level (~4x slower measured).
+# sf0.1).  Node-id caching pays off only for deep trees: without it a
+# depth-30 forest re-routes every row from the root each level (~4x slower
+# measured), while depth-4 boosting is ~38% faster without the cache.
 AGG_MEMORY_MB = 1024
+CACHE_NODE_IDS_ABOVE_DEPTH = 8
 
 
 class VectorModel:
@@ -59,8 +61,9 @@ def random_forest(df: DataFrame, y: str, features: list[str], trees: int = 100,
     strat = str(mtry) if isinstance(mtry, int) or str(mtry).isdigit() else mtry
     rf = RandomForestRegressor(featuresCol="features", labelCol=y, numTrees=trees, featureSubsetStrategy=strat,
                                minInstancesPerNode=min_node, subsamplingRate=sample_frac, bootstrap=True,
-                               maxDepth=min(max_depth, 30), maxBins=max_bins, seed=seed, cacheNodeIds=True,
-                               checkpointInterval=10, maxMemoryInMB=AGG_MEMORY_MB)
+                               maxDepth=min(max_depth, 30), maxBins=max_bins, seed=seed,
+                               cacheNodeIds=max_depth > CACHE_NODE_IDS_ABOVE_DEPTH, checkpointInterval=10,
+                               maxMemoryInMB=AGG_MEMORY_MB)
     return VectorModel(rf.fit(_prep(df, y, features)), features)
 
 
@@ -70,7 +73,8 @@ def gbm(df: DataFrame, y: str, features: list[str], trees: int = 100, depth: int
     """Squared-loss gradient boosting of regression trees."""
     gb = GBTRegressor(featuresCol="features", labelCol=y, maxIter=trees, maxDepth=depth, stepSize=shrinkage,
                       minInstancesPerNode=min_obs, subsamplingRate=bag_fraction, maxBins=max_bins, seed=seed,
-                      lossType="squared", cacheNodeIds=True, checkpointInterval=10, maxMemoryInMB=AGG_MEMORY_MB)
+                      lossType="squared", cacheNodeIds=depth > CACHE_NODE_IDS_ABOVE_DEPTH, checkpointInterval=10,
+                      maxMemoryInMB=AGG_MEMORY_MB)
     extra = []
     if validation_col:
         gb = gb.setValidationIndicatorCol(validation_col)

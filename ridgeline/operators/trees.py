@@ -407,7 +407,7 @@ def grow(df: DataFrame, y: str, features: list[str], minbucket: int = 7, maxdept
     """Grow the CART tree with MLlib (the growth step of T2)."""
     dt = DecisionTreeRegressor(featuresCol="features", labelCol=y, maxDepth=min(maxdepth, 30),
                                minInstancesPerNode=minbucket, minInfoGain=min_info_gain, maxBins=max_bins,
-                               seed=seed, cacheNodeIds=True, checkpointInterval=10)
+                               seed=seed, cacheNodeIds=maxdepth > 8, checkpointInterval=10)
     if weight:
         dt = dt.setWeightCol(weight)
     return dt.fit(assembled(df.select(y, *features, *([weight] if weight else [])), features))
