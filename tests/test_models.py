@@ -44,3 +44,28 @@ def test_partial_dependence_of_linear_model(spark, hh, hh_pd):
     pd_ = {r["value"]: r["yhat"] for r in tu.partial_dependence(m, hh, "members", [1, 3]).collect()}
     want = m.coef[0] + m.coef[1] * 3 + m.coef[2] * hh_pd["rooms"].mean()
     assert abs(pd_[3.0] - want) < 1e-9
+
+
+def test_model_tree_at_root_is_ols(spark, hh):
+    from ridgeline.operators import model_trees as mt
+    x = ["members", "rooms", "head_age"]
+    m = mt.model_tree(hh, Y, x, cp=1.0, smoothed=False)
+    assert len(m.tree.leaves()) == 1
+    ols = lin.ols(hh, Y, x)
+    assert np.allclose(m.coefs[m.tree.root], ols.coef, atol=1e-8)
+    c = mt.rule_committee(hh, Y, x, committees=1, cp=1.0)
+    a = c.transform(hh).select(F.sum("prediction")).first()[0]
+    b = m.transform(hh).select(F.sum("prediction")).first()[0]
+    assert abs(a - b) < 1e-8 * abs(b)
+
+
+def test_xgb_stump_leaf_values_are_child_means(spark, hh, hh_pd):
+    from ridgeline.operators import hist as hs
+    m, _, _ = hs.xgb(hh, Y, ["members", "rooms"], "hhid", rounds=1, max_depth=1, eta=1.0, lam=0.0,
+                     min_child_weight=1.0, max_bins=255)
+    t = m.trees[0]
+    root = t.nodes[1]
+    left = hh_pd[hh_pd[root.feature] <= root.cut][Y]
+    right = hh_pd[hh_pd[root.feature] > root.cut][Y]
+    assert abs(m.base + t.nodes[2].value - left.mean()) < 1e-9
+    assert abs(m.base + t.nodes[3].value - right.mean()) < 1e-9
