@@ -74,3 +74,9 @@ def test_stepwise_first_step_is_best_single(spark, hh, hh_pd):
     assert first == max(r2, key=r2.get)
     back = lin.stepwise(g, X, Y, "backward")
     assert [s for s, _, _ in back] == [1, 2, 3, 4]
+
+
+def test_gram_is_partition_invariant(spark, hh):
+    a = lin.ols(hh.repartition(1), Y, X).coef
+    b = lin.ols(hh.repartition(9, "prov"), Y, X).coef
+    assert np.allclose(a, b, rtol=0, atol=1e-9)

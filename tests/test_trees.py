@@ -86,3 +86,13 @@ def test_variant_sse_matches_scoring(spark, hh):
     for variant in (tr.prune(t, 0.01), t.truncate(2)):
         want = variant.transform(hh).agg(F.sum(F.pow(F.col(Y) - F.col("prediction"), 2))).first()[0]
         assert abs(tr.variant_sse(t, variant, stats) - want) < 1e-6 * want
+
+
+def test_leafwise_subtraction_gives_leaf_means(spark, hh):
+    m, _, _ = hs.leafwise_boost(hh, Y, X, "hhid", rounds=1, num_leaves=4, learning_rate=1.0, lam=0.0,
+                                min_data_in_leaf=1, min_child_weight=1.0, max_bin=255)
+    t = m.trees[0]
+    assert len(t.leaves()) == 4
+    p = hh.withColumn("_leaf", t.node_expr()).groupBy("_leaf").agg(F.avg(Y).alias("m")).collect()
+    for r in p:
+        assert abs(m.base + t.nodes[r["_leaf"]].value - r["m"]) < 1e-9
