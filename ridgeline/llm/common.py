@@ -10,9 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ridgeline.session import checkpoint_dir, cut_lineage, scratch_path
+from ridgeline.session import cut_lineage, scratch_path
 
-__all__ = ["checkpoint_dir", "cut_lineage", "scratch_path"]
 
 MASK64 = (1 << 64) - 1
 

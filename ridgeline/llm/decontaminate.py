@@ -117,4 +117,5 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, text: str = "text") ->
 def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document against every benchmark item: verdict, items and number of leaked spans."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return flag(docs, table(spark, sf_dir, "benchmark")).drop("text")
+    out = flag(docs, table(spark, sf_dir, "benchmark")).drop("text")
+    return out.withColumn("item_ids", F.array_join(F.transform("item_ids", lambda i: i.cast("string")), ","))

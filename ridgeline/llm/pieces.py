@@ -195,14 +195,14 @@ def decode_frame(df: DataFrame, ids: str = "piece_ids", text: str = "decoded", p
     return _by_batch(df, {text: "string"}, fn)
 
 
-def op10_pieces(spark: SparkSession, sf_dir: str, path: str = DEFAULT_MODEL) -> DataFrame:
-    """Piece ids of every document, and whether decoding them gives the text back."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    shared = _shared_model(spark, path)
+def encode_and_check(docs: DataFrame, cols: list[str], text: str = "text", path: str = DEFAULT_MODEL) -> DataFrame:
+    """``cols`` with ``piece_ids``, ``n_pieces``, ``n_byte_pieces`` and whether decoding gave the text back (``round_trip``)."""
+    given = docs.select(*[F.col(f"`{c}`") for c in cols], F.col(f"`{text}`").alias("_encoded"))
+    shared = _shared_model(docs.sparkSession, path)
 
     def fn(b):
         c, ids, n, fell, same = codec(shared.value), [], [], [], []
-        for x in b.column(1):
+        for x in b.column(b.num_columns - 1):
             t = x.as_py()
             v = None if t is None else c.encode(t)
             ids.append(v)
@@ -211,7 +211,10 @@ def op10_pieces(spark: SparkSession, sf_dir: str, path: str = DEFAULT_MODEL) ->
             same.append(t is None or c.decode(v) == t)
         return [pa.array(ids, pa.list_(pa.int32())), pa.array(n, pa.int64()), pa.array(fell, pa.int64()), pa.array(same, pa.bool_())]
 
-    out = _by_batch(docs, {"piece_ids": "array<int>", "n_pieces": "bigint", "n_byte_pieces": "bigint", "round_trip": "boolean"}, fn)
-    return out.drop("text")
+    out = _by_batch(given, {"piece_ids": "array<int>", "n_pieces": "bigint", "n_byte_pieces": "bigint", "round_trip": "boolean"}, fn)
+    return out.drop("_encoded")
 
 
+def op10_pieces(spark: SparkSession, sf_dir: str, path: str = DEFAULT_MODEL) -> DataFrame:
+    """Piece ids of every document, and whether decoding them gives the text back."""
+    return encode_and_check(table(spark, sf_dir, "documents"), ["doc_id"], path=path)
