@@ -43,14 +43,14 @@ def _keys(text) -> list:
 
 def _seeds(h, masks=MASKS) -> F.Column:
     """All ``(pos, seed)`` of an array of token hashes; the mask number is part of the hash."""
+    def at(k, ones):
+        return lambda p: F.struct(p.alias("pos"), F.xxhash64(F.lit(k), *[F.get(h, p + i) for i in ones]).alias("seed"))
+
     parts = []
     for k, m in enumerate(masks):
-        ones = [i for i, c in enumerate(m) if c == "1"]
         last = F.size(h) - len(m)
-        parts.append(F.when(last >= 0, F.transform(
-            F.sequence(F.lit(0), F.greatest(last, F.lit(0))),
-            lambda p, ones=ones, k=k: F.struct(p.alias("pos"), F.xxhash64(F.lit(k), *[F.get(h, p + i) for i in ones]).alias("seed")),
-        )).otherwise(F.array().cast("array<struct<pos:int,seed:bigint>>")))
+        spots = F.transform(F.sequence(F.lit(0), F.greatest(last, F.lit(0))), at(k, [i for i, c in enumerate(m) if c == "1"]))
+        parts.append(F.when(last >= 0, spots).otherwise(F.array().cast("array<struct<pos:int,seed:bigint>>")))
     return F.concat(*parts)
 
 

@@ -45,10 +45,10 @@ SELECT conv_id, count(*) AS n_turns,
 FROM t GROUP BY conv_id""",
     "op5_decontamination": r"""
 WITH i AS (
-  SELECT item_id, list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+'), x -> x <> '') AS it FROM benchmark),
+  SELECT item_id, list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+'), lambda x: x <> '') AS it FROM benchmark),
 ip AS (SELECT item_id, len(it) AS n, unnest(it) AS w, unnest(range(len(it))) AS p FROM (SELECT DISTINCT * FROM i) WHERE len(it) >= 8),
 d AS (
-  SELECT doc_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\p{L}\p{N}]+'), x -> x <> '') AS dt FROM documents),
+  SELECT doc_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\p{L}\p{N}]+'), lambda x: x <> '') AS dt FROM documents),
 dp AS (SELECT doc_id, unnest(dt) AS w, unnest(range(len(dt))) AS q FROM d),
 m AS (
   SELECT doc_id, item_id, q - p AS diag, p, n, CAST(ceil(least(13, n) * 80 / 100.0) AS INT) AS need FROM dp JOIN ip USING (w)),
@@ -70,7 +70,7 @@ FROM documents LEFT JOIN f USING (doc_id)""",
     "op8_jaccard_join": r"""
 WITH RECURSIVE w AS (
   SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
-                                                   '[\x20\x09-\x0D]+'), x -> x <> '') AS ws FROM documents),
+                                                   '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM documents),
 g AS (
   SELECT doc_id, len(ws) AS n, CASE WHEN len(ws) < 4 THEN array_to_string(ws, ' ')
          ELSE ws[k] || ' ' || ws[k + 1] || ' ' || ws[k + 2] || ' ' || ws[k + 3] END AS s
