@@ -4,10 +4,10 @@
 (node, feature, bin), the sums of a few statistics -- (1, y, y^2, x, x^2, xy)
 for inference trees, (g, h) for second-order boosting, residual sums for
 componentwise boosting.  Features are binned once (all distinct values when
-few, approximate quantiles otherwise); every row is stacked to one
-(feature, bin) struct per feature and Spark aggregates with map-side
-partial sums, so the shuffle and the driver see ``nodes x features x bins``
-numbers whatever the row count.
+few, approximate quantiles otherwise); every task folds its Arrow batches into
+``bincount`` arrays and Spark adds the partial sums, so the shuffle and the driver
+see ``nodes x features x bins`` numbers whatever the row count.  y and x are taken
+about their means, so a large mean costs no digits.
 
 Trees grow level by level (one HIST job per level) or best-first (one job per
 split, sibling histogram by subtraction).  A row's current node is a nested
@@ -32,7 +32,7 @@ from ..functions.stats import chi2_sf
 from ..session import cut_lineage
 from .trees import bin_features
 
-MAX_HIST_ROWS = 5_000_000
+MAX_HIST_ROWS = 1_000_000  # histogram rows of one pass; more nodes take more passes
 CHECKPOINT_EVERY = 5
 
 
@@ -74,32 +74,72 @@ def make_bins(df: DataFrame, features: list[str], max_bins: int = 64) -> Bins:
 
 
 def hist(df: DataFrame, node: Column, bins: Bins, stats: dict[str, Column], with_x: bool = False,
-         n_nodes: int = 1) -> pd.DataFrame:
-    """Sums of ``stats`` per (node, feature index, bin) -- one aggregate, collected.
+         nodes: list[int] | None = None, centers: dict | None = None) -> pd.DataFrame:
+    """Sums of ``stats`` per (node, feature index, bin), collected.
 
-    The result size is bounded by construction: ``n_nodes`` x features x
-    (cuts + 1); the bound is checked before the job runs.
+    Each task folds its Arrow batches into dense ``bincount`` arrays and emits
+    one row per non-empty (node, feature, bin); Spark adds those up.  Rows are
+    read once, whatever the number of features.  ``nodes`` are the node ids
+    counted (rows of others are skipped); when nodes x bins passes
+    ``MAX_HIST_ROWS`` the nodes are counted in several passes.
 
     With ``with_x`` the per-bin weighted sums of x, x^2 and x*y are added for
-    association tests (``n`` must be the weight stat and ``y`` the weighted y).
+    association tests (``n`` must be the weight stat and ``y`` the weighted y);
+    x is taken relative to ``centers[feature]``.  A NULL predictor falls in the
+    last bin (it goes right) and adds nothing to the sums of x.
     """
-    structs = []
-    for i, f in enumerate(bins.features):
-        parts = [F.lit(i).alias("f"), bins.index(f).alias("b")]
-        if with_x:
-            parts.append(F.col(f).cast("double").alias("x"))
-        structs.append(F.struct(*parts))
-    st = df.select(node.alias("_node"), *[c.alias(k) for k, c in stats.items()],
-                   F.explode(F.array(*structs)).alias("_s")).select("_node", *stats, "_s.*")
-    aggs = [F.sum(k).alias(k) for k in stats]
-    if with_x:
-        aggs += [F.sum(F.col("x") * F.col("n")).alias("sx"),
-                 F.sum(F.col("x") * F.col("x") * F.col("n")).alias("sxx"),
-                 F.sum(F.col("x") * F.col("y")).alias("sxy")]
-    bound = n_nodes * sum(len(bins.cuts[f]) + 1 for f in bins.features)
-    if bound > MAX_HIST_ROWS:
-        raise ValueError("histogram larger than the driver bound; use fewer bins or nodes")
-    return st.groupBy("_node", "f", "b").agg(*aggs).toPandas()
+    ids = np.array(sorted(nodes or [1]), dtype=np.int64)
+    width = sum(len(bins.cuts[f]) + 1 for f in bins.features)
+    step = max(1, MAX_HIST_ROWS // width)
+    if len(ids) > step:
+        return pd.concat([hist(df, node, bins, stats, with_x, ids[k:k + step].tolist(), centers)
+                          for k in range(0, len(ids), step)], ignore_index=True)
+    names, mid = list(stats), centers or {}
+    extra = ["sx", "sxx", "sxy"] if with_x else []
+    binned = [f in bins.materialized for f in bins.features]
+    cuts = [np.asarray(bins.cuts[f], dtype=float) for f in bins.features]
+    shift = [float(mid.get(f, 0.0)) for f in bins.features]
+    cols = [F.col(bins.materialized[f]).cast("double").alias(f"_b{i}") for i, f in enumerate(bins.features) if binned[i]]
+    cols += [F.col(f).cast("double").alias(f"_x{i}") for i, f in enumerate(bins.features) if with_x or not binned[i]]
+    sel = df.select(node.cast("bigint").alias("_node"), *[c.cast("double").alias(k) for k, c in stats.items()], *cols)
+
+    def fold(batches):
+        acc = [np.zeros((len(ids) * (len(c) + 1), 1 + len(names) + len(extra))) for c in cuts]
+        for pdf in batches:
+            nd = pdf["_node"].to_numpy()
+            pos = np.minimum(np.searchsorted(ids, nd), len(ids) - 1)
+            use = ids[pos] == nd
+            if not use.all():
+                pdf, pos = pdf[use], pos[use]
+            if not len(pdf):
+                continue
+            st = [pdf[k].to_numpy(dtype=float) for k in names]
+            for i, c in enumerate(cuts):
+                nb = len(c) + 1
+                if with_x or not binned[i]:
+                    x = pdf[f"_x{i}"].to_numpy(dtype=float)
+                b = pdf[f"_b{i}"].to_numpy().astype(np.int64) if binned[i] else np.searchsorted(c, x, side="left")
+                at = pos * nb + b
+                w = [None, *st]
+                if with_x:
+                    xc = np.nan_to_num(x - shift[i])
+                    n, yv = pdf["n"].to_numpy(dtype=float), pdf["y"].to_numpy(dtype=float)
+                    w += [n * xc, n * xc * xc, yv * xc]
+                for k, v in enumerate(w):
+                    acc[i][:, k] += np.bincount(at, v, minlength=len(ids) * nb)
+        out = []
+        for i, c in enumerate(cuts):
+            hit = np.flatnonzero(acc[i][:, 0])
+            part = pd.DataFrame(acc[i][hit, 1:], columns=names + extra)
+            part.insert(0, "b", (hit % (len(c) + 1)).astype(np.int32))
+            part.insert(0, "f", np.int32(i))
+            part.insert(0, "_node", ids[hit // (len(c) + 1)])
+            out.append(part)
+        yield pd.concat(out, ignore_index=True)
+
+    schema = "_node bigint, f int, b int, " + ", ".join(f"{k} double" for k in names + extra)
+    return (sel.mapInPandas(fold, schema).groupBy("_node", "f", "b")
+            .agg(*[F.sum(k).alias(k) for k in names + extra]).toPandas())
 
 
 # ---------------------------------------------------------------- trees ---
@@ -152,13 +192,57 @@ class HTree:
         return max(self.nodes[i].depth for i in self.leaves())
 
 
+def _flat(trees: list) -> tuple:
+    """Node arrays of a list of trees: feature number, cut, left, right, value, roots."""
+    feats = sorted({n.feature for t in trees for n in t.nodes.values() if not n.is_leaf})
+    no, at = {f: k for k, f in enumerate(feats)}, 0
+    feature, cut, left, right, value, roots = [], [], [], [], [], []
+    for t in trees:
+        ids = sorted(t.nodes)
+        pos = {i: at + k for k, i in enumerate(ids)}
+        roots.append(pos[1])
+        for i in ids:
+            n = t.nodes[i]
+            feature.append(-1 if n.is_leaf else no[n.feature])
+            cut.append(0.0 if n.is_leaf else n.cut)
+            left.append(pos[i] if n.is_leaf else pos[n.left])
+            right.append(pos[i] if n.is_leaf else pos[n.right])
+            value.append(n.value)
+        at += len(ids)
+    return feats, tuple(np.array(v) for v in (feature, cut, left, right, value, roots))
+
+
+def sum_of_trees(trees: list, scale: float, base: float = 0.0) -> Column:
+    """``base + scale * sum of the trees`` by vectorised steps over node arrays, for any number of trees.
+
+    The plan holds one Arrow UDF instead of one nested CASE per tree.  NULL goes right.
+    """
+    feats, (feature, cut, left, right, value, roots) = _flat(trees)
+    if not feats:
+        return F.lit(float(base + scale * sum(t.nodes[1].value for t in trees)))
+
+    @F.pandas_udf("double")
+    def score(*cols: pd.Series) -> pd.Series:
+        x = np.stack([c.to_numpy(dtype=float) for c in cols], 1)
+        rows, out = np.arange(len(x)), np.full(len(x), float(base))
+        for r in roots:
+            at = np.full(len(x), r)
+            while (feature[at] >= 0).any():
+                f = feature[at]
+                at = np.where(x[rows, np.where(f >= 0, f, 0)] <= cut[at], left[at], right[at])
+            out += scale * value[at]
+        return pd.Series(out)
+
+    return score(*[F.col(f).cast("double") for f in feats])
+
+
 def _split_children(t: HTree, i: int, feature: str, cut: float, gain: float, lv: float, rv: float,
                     ln: float, rn: float) -> None:
     nd = t.nodes[i]
     nd.feature, nd.cut, nd.gain = feature, cut, gain
-    nd.left, nd.right = 2 * i, 2 * i + 1
-    t.nodes[2 * i] = HNode(2 * i, nd.depth + 1, lv, ln)
-    t.nodes[2 * i + 1] = HNode(2 * i + 1, nd.depth + 1, rv, rn)
+    nd.left, nd.right = len(t.nodes) + 1, len(t.nodes) + 2  # ids by creation: any depth
+    t.nodes[nd.left] = HNode(nd.left, nd.depth + 1, lv, ln)
+    t.nodes[nd.right] = HNode(nd.right, nd.depth + 1, rv, rn)
 
 
 def _assoc(hf: pd.DataFrame):
@@ -173,11 +257,19 @@ def _assoc(hf: pd.DataFrame):
     return (n - 1) * (sxy - sx * sy / n) ** 2 / (vx * vy)
 
 
+def _means(df: DataFrame, cols: list[str], w: Column) -> dict:
+    """Weighted means, so that sums of squares are taken about them (large means cost no digits)."""
+    r = df.agg(*[(F.sum(w * F.col(c).cast("double")) / F.sum(F.when(F.col(c).isNotNull(), w))).alias(f"m{i}")
+                 for i, c in enumerate(cols)]).first()
+    return {c: float(r[i] or 0.0) for i, c in enumerate(cols)}
+
+
 def association_statistics(df: DataFrame, y: str, features: list[str], max_bins: int = 64) -> dict:
     """Root-node statistics of the inference tree, one HIST pass."""
     bins = make_bins(df, features, max_bins)
-    d = df.select(*features, F.col(y).cast("double").alias("_y"))
-    h = hist(d, F.lit(1), bins, {"n": F.lit(1.0), "y": F.col("_y"), "yy": F.col("_y") * F.col("_y")}, with_x=True)
+    mid = _means(df, [y, *features], F.lit(1.0))
+    d = df.select(*features, (F.col(y).cast("double") - F.lit(mid[y])).alias("_y"))
+    h = hist(d, F.lit(1), bins, {"n": F.lit(1.0), "y": F.col("_y"), "yy": F.col("_y") * F.col("_y")}, with_x=True, centers=mid)
     out = {}
     for fi, hf in h.groupby("f"):
         st = _assoc(hf)
@@ -203,13 +295,16 @@ def ctree(df: DataFrame, y: str, features: list[str], mincriterion: float = 0.95
     keep = list(features) + [c for c in bins.materialized.values() if c in df.columns]
     d = df.select(*keep, F.col(y).cast("double").alias("_y"), w.cast("double").alias("_w"))
     d = d.filter(F.col("_w") > 0)
-    tot = d.agg(F.sum("_w").alias("n"), F.sum(F.col("_w") * F.col("_y")).alias("sy")).first()
-    t = HTree({1: HNode(1, 0, tot["sy"] / tot["n"], tot["n"])})
+    mid = _means(d, ["_y", *features], F.col("_w"))
+    n_all = d.agg(F.sum("_w")).first()[0]
+    base = mid["_y"]
+    t = HTree({1: HNode(1, 0, base, n_all)})
+    yc = F.col("_y") - F.lit(base)
+    stats = {"n": F.col("_w"), "y": F.col("_w") * yc, "yy": F.col("_w") * yc * yc}
     frontier = [1]
     while frontier:
         node = t.node_expr()
-        stats = {"n": F.col("_w"), "y": F.col("_w") * F.col("_y"), "yy": F.col("_w") * F.col("_y") * F.col("_y")}
-        h = hist(d.filter(node.isin(frontier)), node, bins, stats, with_x=True, n_nodes=len(frontier))
+        h = hist(d, node, bins, stats, with_x=True, nodes=frontier, centers=mid)
         nxt = []
         for i in frontier:
             nd = t.nodes[i]
@@ -248,10 +343,10 @@ def ctree(df: DataFrame, y: str, features: list[str], mincriterion: float = 0.95
             b = int(hf["b"].to_numpy()[k])
             if b >= len(bins.cuts[f]):
                 continue
-            _split_children(t, i, f, bins.threshold(f, b), float(gain[k]), cy[k] / cn[k], (s - cy[k]) / (n - cn[k]),
-                            float(cn[k]), float(n - cn[k]))
+            _split_children(t, i, f, bins.threshold(f, b), float(gain[k]), base + cy[k] / cn[k],
+                            base + (s - cy[k]) / (n - cn[k]), float(cn[k]), float(n - cn[k]))
             t.nodes[i].stat = {"p_adj": best_p}
-            nxt += [2 * i, 2 * i + 1]
+            nxt += [nd.left, nd.right]
         frontier = nxt
     return t
 
@@ -288,14 +383,7 @@ class BoostModel:
         return e
 
     def transform(self, df: DataFrame, out: str = "prediction") -> DataFrame:
-        # trees are added in groups so one generated method stays small
-        d = df.withColumn(out, F.lit(float(self.base)))
-        for k in range(0, len(self.trees), 10):
-            part = F.lit(0.0)
-            for t in self.trees[k:k + 10]:
-                part = part + t.expr()
-            d = d.withColumn(out, F.col(out) + F.lit(self.eta) * part)
-        return d
+        return df.withColumn(out, sum_of_trees(self.trees, self.eta, self.base))
 
 
 def _margin_loop(df: DataFrame, y: str, key: str, rounds: int, eta: float, grow_one, seed: int,
@@ -331,6 +419,8 @@ def _margin_loop(df: DataFrame, y: str, key: str, rounds: int, eta: float, grow_
                 best, best_round = v, r + 1
             elif patience is not None and r + 1 - best_round >= patience:
                 break
+    if valid_col and patience is not None:
+        trees = trees[:best_round]  # rounds after the best one are not part of the model
     return BoostModel(f0, trees, eta), curve, best_round
 
 
@@ -356,7 +446,7 @@ def xgb(df: DataFrame, y: str, features: list[str], key: str, rounds: int = 50,
         frontier = [1]
         stats = {"g": F.col("_f") - F.col(y), "h": F.lit(1.0)}
         while frontier:
-            h = hist(train.filter(t.node_expr().isin(frontier)), t.node_expr(), sub, stats, n_nodes=len(frontier))
+            h = hist(train, t.node_expr(), sub, stats, nodes=frontier)
             nxt = []
             for i in frontier:
                 hi = h[h["_node"] == i]
@@ -380,7 +470,7 @@ def xgb(df: DataFrame, y: str, features: list[str], key: str, rounds: int = 50,
                 b = int(hf["b"].to_numpy()[k])
                 _split_children(t, i, f, sub.threshold(f, b), gain, -gl / (hl + lam), -(g - gl) / (hh - hl + lam),
                                 hl, hh - hl)
-                nxt += [2 * i, 2 * i + 1]
+                nxt += [t.nodes[i].left, t.nodes[i].right]
             frontier = nxt
         return t
 
@@ -446,10 +536,9 @@ def leafwise_boost(df: DataFrame, y: str, features: list[str], key: str, rounds:
             b = int(hf["b"].to_numpy()[k])
             cut = sub.threshold(f, b)
             _split_children(t, i, f, cut, gain, -gl / (hl + lam), -(g - gl) / (hh - hl + lam), hl, hh - hl)
-            small, big = (2 * i, 2 * i + 1) if hl <= hh - hl else (2 * i + 1, 2 * i)
-            side = (F.col(f) <= F.lit(cut)) if small == 2 * i else (F.col(f) > F.lit(cut))
-            rows = train.filter((t.node_expr() == F.lit(small)) & side)
-            hs = hist(rows, F.lit(small), sub, stats).drop(columns=["_node"])
+            left, right = t.nodes[i].left, t.nodes[i].right
+            small, big = (left, right) if hl <= hh - hl else (right, left)
+            hs = hist(train, t.node_expr(), sub, stats, nodes=[small]).drop(columns=["_node"])
             hp = hists.pop(i).set_index(["f", "b"])
             hs_i = hs.set_index(["f", "b"]).reindex(hp.index, fill_value=0.0)
             hists[small] = hs_i.reset_index()
@@ -505,10 +594,7 @@ def conditional_forest(df: DataFrame, y: str, features: list[str], key: str, tre
 
 
 def forest_expr(trees: list[HTree]) -> Column:
-    e = F.lit(0.0)
-    for t in trees:
-        e = e + t.expr()
-    return e / F.lit(float(len(trees)))
+    return sum_of_trees(trees, 1.0 / len(trees))
 
 
 # --------------------------------------------- componentwise boosting ---
@@ -547,7 +633,7 @@ def componentwise_boost(df: DataFrame, y: str, features: list[str], key: str, ms
     d = cut_lineage(d)
     model = ComponentwiseModel(f0, [], bins, nu)
     for r in range(mstop):
-        h = hist(d, F.lit(0), mb, {"n": F.lit(1.0), "r": F.col(y) - F.col("_f")})
+        h = hist(d, F.lit(1), mb, {"n": F.lit(1.0), "r": F.col(y) - F.col("_f")})
         best = None
         for fi, hf in h.groupby("f"):
             vals = hf["r"] / (hf["n"] + penalty)

@@ -6,17 +6,15 @@
   feature over its *distinct values* only.  That window is bounded by the
   feature's cardinality, which is checked (``MAX_DISTINCT``); continuous
   features beyond it must be binned first (``bin_features``).
-* A CART tree (T2) is grown by MLlib's ``DecisionTreeRegressor`` with
-  ``minInfoGain = 0`` and ``minInstancesPerNode = minbucket``; the node table
-  (n, sum y, sum y^2 per node) is read back from the saved model, and
-  rpart-style controls are applied on that table: ``minsplit`` collapses
-  nodes that are too small to split, and cost-complexity pruning (T3)
-  uses the weakest-link sequence with cp relative to the root deviance.
-  The pruned tree scores as one nested ``CASE`` column expression.
+* A CART tree (T2) is grown by ``cart.grow_cart`` with rpart's complexity
+  rule, which bounds its size by 1 / cp.  Cost-complexity pruning (T3) uses
+  the weakest-link sequence (a heap, n log n) with cp relative to the root
+  deviance.  The pruned tree scores as one nested ``CASE`` column expression.
 """
 
 from __future__ import annotations
 
+import heapq
 import math
 from dataclasses import dataclass, field
 
@@ -43,9 +41,11 @@ def parallel_map(fn, items, workers: int = FOLD_PARALLELISM):
 
 
 def value_stats(df: DataFrame, y: str, features: list[str], weight: str | None = None) -> DataFrame:
-    """Per (feature, value): n, sum y, sum y^2 (one aggregate over the stacked frame)."""
+    """Per (feature, value): n, sum and sum of squares of y about its mean (one aggregate over the stacked frame)."""
     w = F.col(weight).cast("double") if weight else F.lit(1.0)
-    st = df.select(F.col(y).cast("double").alias("_y"), w.alias("_w"), F.explode(F.array(*[
+    # about the mean of y: gains are differences of sums of squares and lose their digits with a large mean
+    mean = df.agg(F.sum(w * F.col(y).cast("double")) / F.sum(F.when(F.col(y).isNotNull(), w))).first()[0] or 0.0
+    st = df.select((F.col(y).cast("double") - F.lit(float(mean))).alias("_y"), w.alias("_w"), F.explode(F.array(*[
         F.struct(F.lit(c).alias("feature"), F.col(c).cast("double").alias("value")) for c in features
     ])).alias("_s")).select("_y", "_w", "_s.feature", "_s.value")
     agg = st.groupBy("feature", "value").agg(F.sum("_w").alias("n"), F.sum(F.col("_w") * F.col("_y")).alias("sy"),
@@ -129,23 +129,28 @@ def surrogate_splits(df: DataFrame, goes_left: Column, features: list[str], k: i
 
 
 def bin_features(df: DataFrame, features: list[str], max_bins: int = 40, rel_err: float = 1e-3) -> dict:
-    """Cut points per feature: all distinct values if few, else approximate quantiles.
+    """Cut points per feature: all its distinct values when these are at most ``max_bins``, else ``max_bins`` quantiles.
 
-    Returns ``{feature: sorted cut list}``; ``bucket_expr`` maps a value to its bin.
+    The number of distinct values is exact.  Returns ``{feature: sorted cut list}``.
     """
     out = {}
-    counts = {r["feature"]: r["c"] for r in
-              df.select(F.explode(F.array(*[F.struct(F.lit(c).alias("feature"), F.col(c).cast("double").alias("v"))
-                                            for c in features])).alias("s"))
-              .select("s.*").groupBy("feature").agg(F.approx_count_distinct("v").alias("c")).collect()}
-    need_q = [c for c in features if counts.get(c, 0) > max_bins]
-    small = [c for c in features if c not in need_q]
-    if small:
-        vals = (df.select(F.explode(F.array(*[F.struct(F.lit(c).alias("feature"), F.col(c).cast("double").alias("v"))
-                                              for c in small])).alias("s"))
-                .select("s.*").distinct().limit(len(small) * (max_bins * 2 + 1)).collect())
-        for c in small:
-            out[c] = sorted(r["v"] for r in vals if r["feature"] == c and r["v"] is not None)[:-1]
+    names = list(features)
+
+    def lowest(batches):
+        # a task's lowest max_bins + 1 distinct values per feature: enough to decide, and all of them when there are few
+        seen = [np.zeros(0)] * len(names)
+        for pdf in batches:
+            for k, c in enumerate(names):
+                v = pdf[c].to_numpy(dtype=float)
+                seen[k] = np.unique(np.concatenate([seen[k], v[~np.isnan(v)]]))[:max_bins + 1]
+        yield pd.DataFrame({"feature": np.repeat(names, [len(v) for v in seen]), "v": np.concatenate(seen)})
+
+    parts = df.select(*[F.col(c).cast("double").alias(c) for c in names]).mapInPandas(lowest, "feature string, v double")
+    vals = {r["feature"]: sorted(r["vs"]) for r in parts.groupBy("feature").agg(F.collect_set("v").alias("vs")).collect()}
+    need_q = [c for c in features if len(vals.get(c, ())) > max_bins]
+    for c in features:
+        if c not in need_q:
+            out[c] = [float(v) for v in vals.get(c, ())][:-1]
     if need_q:
         probs = [i / max_bins for i in range(1, max_bins)]
         qs = df.approxQuantile(need_q, probs, rel_err)
@@ -168,10 +173,11 @@ class Node:
     left: int | None = None
     right: int | None = None
     gain: float = 0.0
+    shift: float = 0.0  # sy and syy are sums of y - shift
 
     @property
     def value(self) -> float:
-        return self.sy / self.n if self.n else 0.0
+        return self.shift + (self.sy / self.n if self.n else 0.0)
 
     @property
     def dev(self) -> float:
@@ -321,33 +327,33 @@ def prune_sequence(t: Tree) -> list[tuple[float, int]]:
             r_sub[i] = r_sub[nd.left] + r_sub[nd.right]
             n_leaves[i] = n_leaves[nd.left] + n_leaves[nd.right]
             internal.add(i)
+    def alpha(i):
+        return (t.nodes[i].dev - r_sub[i]) / (n_leaves[i] - 1)
+
     seq, cur = [], 0.0
-    while internal:
-        best, best_a = None, math.inf
-        for i in internal:
-            a = (t.nodes[i].dev - r_sub[i]) / (n_leaves[i] - 1)
-            if a < best_a - 1e-12 or (abs(a - best_a) <= 1e-12 and i > best):
-                best, best_a = i, a
-        cur = max(cur, best_a)
-        seq.append((cur, best))
-        # collapse: drop the internal nodes below ``best``, update ancestors
-        stack = [best]
+    heap = [(alpha(i), -i) for i in internal]
+    heapq.heapify(heap)
+    while heap:
+        a, i = heapq.heappop(heap)
+        i = -i
+        # collapsed meanwhile, or an entry from before its subtree changed
+        if i not in internal or a != alpha(i):
+            continue
+        cur = max(cur, a)
+        seq.append((cur, i))
+        stack = [i]
         while stack:
             j = stack.pop()
             internal.discard(j)
-            nd = t.nodes[j]
-            if not nd.is_leaf and (j == best or j not in internal):
-                for c in (nd.left, nd.right):
-                    if c in internal:
-                        stack.append(c)
-        d_r = t.nodes[best].dev - r_sub[best]
-        d_l = 1 - n_leaves[best]
-        r_sub[best], n_leaves[best] = t.nodes[best].dev, 1
-        j = best
+            stack += [c for c in (t.nodes[j].left, t.nodes[j].right) if c in internal]
+        d_r, d_l = t.nodes[i].dev - r_sub[i], 1 - n_leaves[i]
+        r_sub[i], n_leaves[i] = t.nodes[i].dev, 1
+        j = i
         while j in parents:
             j = parents[j]
             r_sub[j] += d_r
             n_leaves[j] += d_l
+            heapq.heappush(heap, (alpha(j), -j))
     return seq
 
 
@@ -355,10 +361,15 @@ def prune(t: Tree, cp: float, seq: list | None = None) -> Tree:
     """Collapse every weakest link whose alpha <= cp * R(root)."""
     seq = prune_sequence(t) if seq is None else seq
     root_dev = t.nodes[t.root].dev
-    out = t.copy()
-    for a, i in seq:
-        if a <= cp * root_dev + 1e-12 * root_dev and i in out.nodes:
-            out.collapse(i)
+    gone = {i for a, i in seq if a <= cp * root_dev + 1e-12 * root_dev}
+    out, todo = Tree({}, t.root), [t.root]
+    while todo:
+        nd = Node(**vars(t.nodes[todo.pop()]))
+        if nd.id in gone and not nd.is_leaf:
+            nd.left = nd.right = nd.feature = nd.cut = None
+            nd.gain = 0.0
+        out.nodes[nd.id] = nd
+        todo += [] if nd.is_leaf else [nd.left, nd.right]
     return out
 
 
@@ -367,20 +378,27 @@ def cp_table(t: Tree) -> list[tuple[float, int, float]]:
 
     Root first.  A row's cp is where that subtree becomes optimal, so
     ``prune(t, cp)`` returns exactly that subtree; the full tree has cp 0.
+    Splits and deviance are updated per collapse: one pass over the sequence.
     """
     seq = prune_sequence(t)
     root_dev = t.nodes[t.root].dev
-
-    def row(tree, cp):
-        return (cp, len(tree.leaves()) - 1, sum(tree.nodes[j].dev for j in tree.leaves()) / root_dev)
-
-    cur = t.copy()
-    rows = [row(cur, 0.0)]
-    for lev in sorted(set(a for a, _ in seq)):
-        for a, i in seq:
-            if a <= lev and i in cur.nodes:
-                cur.collapse(i)
-        rows.append(row(cur, lev / root_dev))
+    leaves = t.leaves()
+    splits, dev = len(leaves) - 1, sum(t.nodes[j].dev for j in leaves)
+    rows, gone = [(0.0, splits, dev / root_dev if root_dev else 1.0)], set()
+    for k, (a, i) in enumerate(seq):
+        stack = [i]
+        while stack:
+            j = stack.pop()
+            nd = t.nodes[j]
+            if nd.is_leaf or j in gone:
+                dev -= nd.dev
+                continue
+            gone.add(j)
+            splits -= 1
+            stack += [nd.left, nd.right]
+        dev += t.nodes[i].dev
+        if k + 1 == len(seq) or seq[k + 1][0] > a:
+            rows.append((a / root_dev, splits, dev / root_dev))
     return rows[::-1]
 
 
@@ -388,24 +406,12 @@ def assembled(df: DataFrame, features: list[str], out: str = "features") -> Data
     return VectorAssembler(inputCols=features, outputCol=out).transform(df)
 
 
-def prestop_gain(df: DataFrame, y: str, cp: float) -> float:
-    """Safe pre-stop for growth at complexity ``cp``.
-
-    rpart splits node t only if its RSS drop is at least ``cp * RSS(root)``;
-    MLlib's gain is that drop divided by ``n_t <= n_root``, so every split rpart
-    would make has gain >= ``cp * Var(root)``.  Using that as ``minInfoGain``
-    never blocks such a split; weaker splits are left to the pruning step.
-    """
-    if cp <= 0:
-        return 0.0
-    v = df.agg(F.var_pop(y)).first()[0] or 0.0
-    return cp * v * (1.0 - 1e-9)
-
-
 def grow(df: DataFrame, y: str, features: list[str], minbucket: int = 7, maxdepth: int = 30,
          max_bins: int = 256, weight: str | None = None, seed: int = 1, min_info_gain: float = 0.0):
-    """Grow the CART tree with MLlib (the growth step of T2)."""
-    dt = DecisionTreeRegressor(featuresCol="features", labelCol=y, maxDepth=min(maxdepth, 30),
+    """A tree grown by MLlib: full growth to ``minbucket``, for rows that are few enough that their nodes fit the driver."""
+    if maxdepth > 30:
+        raise ValueError("MLlib trees have at most 30 levels")
+    dt = DecisionTreeRegressor(featuresCol="features", labelCol=y, maxDepth=maxdepth,
                                minInstancesPerNode=minbucket, minInfoGain=min_info_gain, maxBins=max_bins,
                                seed=seed, cacheNodeIds=maxdepth > 8, checkpointInterval=10)
     if weight:
@@ -416,12 +422,9 @@ def grow(df: DataFrame, y: str, features: list[str], minbucket: int = 7, maxdept
 def regression_tree(df: DataFrame, y: str, features: list[str], cp: float = 0.01, minsplit: int = 20,
                     minbucket: int | None = None, maxdepth: int = 30, max_bins: int = 256,
                     weight: str | None = None) -> Tree:
-    """Rpart-style tree = grow fully, apply minsplit, prune at cp."""
-    minbucket = minbucket if minbucket is not None else max(1, round(minsplit / 3))
-    m = grow(df, y, features, minbucket, maxdepth, max_bins, weight,
-             min_info_gain=prestop_gain(df, y, cp) if weight is None else 0.0)
-    t = apply_minsplit(tree_from_mllib(m, features, df.sparkSession), minsplit)
-    return prune(t, cp)
+    """Rpart-style tree = grow with the complexity rule, then prune at cp."""
+    from .cart import grow_cart
+    return prune(grow_cart(df, y, features, cp, minsplit, minbucket, maxdepth, max_bins, weight), cp)
 
 
 def tree_nodes(t: Tree, spark: SparkSession) -> DataFrame:
@@ -459,13 +462,14 @@ def _tree_arrays(t: Tree, features: list[str]):
 
 
 def held_out_leaf_stats(t: Tree, held: DataFrame, y: str) -> dict:
-    """(n, sum y, sum y^2) of held-out rows per leaf of ``t`` -- one aggregate.
+    """(n, sum, sum of squares) of y - shift of held-out rows per leaf of ``t`` -- one aggregate.
 
     Rows are routed through the tree with vectorised numpy steps (one array
     step per level) inside ``mapInPandas``, so deep, wide trees never become
     a giant expression; partitions emit per-leaf partial sums only.
     """
     feats = sorted({nd.feature for nd in t.nodes.values() if not nd.is_leaf})
+    held = held.withColumn(y, F.col(y).cast("double") - F.lit(t.nodes[t.root].shift))
     if not feats:
         r = held.agg(F.count("*").alias("n"), F.sum(y).alias("sy"), F.sum(F.col(y) * F.col(y)).alias("syy")).first()
         return {t.root: (float(r["n"]), float(r["sy"] or 0.0), float(r["syy"] or 0.0))} if r["n"] else {}
@@ -514,18 +518,11 @@ def variant_sse(full: Tree, variant: Tree, stats: dict) -> float:
         node = leaf
         while not (node in variant.nodes and variant.nodes[node].is_leaf):
             node = parents[node]
-        pred = variant.nodes[node].value
+        pred = variant.nodes[node].value - variant.nodes[node].shift
         sse += syy - 2.0 * pred * sy + pred * pred * n
     return sse
 
 
-def fold_prune_errors(train_tree: Tree, held: DataFrame, y: str, cps: list[float]) -> list[float]:
-    """Held-out SSE of ``train_tree`` pruned at each cp from ONE held-out aggregate."""
-    seq = prune_sequence(train_tree)
-    stats = held_out_leaf_stats(train_tree, held, y)
-    return [variant_sse(train_tree, prune(train_tree, cp, seq), stats) for cp in cps]
-
-
 def cv_cp(df: DataFrame, y: str, features: list[str], fold_col: str, cps: list[float], minsplit: int = 20,
           minbucket: int | None = None, maxdepth: int = 30, max_bins: int = 256):
     """T4/T5: per fold one deep tree, pruned at every cp (no refit per cp).
@@ -533,15 +530,16 @@ def cv_cp(df: DataFrame, y: str, features: list[str], fold_col: str, cps: list[f
     Returns ``{cp: (mean fold RMSE, sd of fold RMSE, xerror, xstd)}`` where
     xerror is the pooled held-out SSE over the root deviance (rpart units).
     """
-    minbucket = minbucket if minbucket is not None else max(1, round(minsplit / 3))
+    from .cart import grow_cart
+    from .hist import make_bins
     folds = sorted(r[0] for r in df.select(fold_col).distinct().collect())
-    gain = prestop_gain(df, y, min(cps))
+    least = min(c for c in cps if c > 0)  # the smallest positive cp bounds the trees; cp 0 is the tree grown with it
+    bins = make_bins(df, features, max_bins)
 
     def one(f):
         tr = df.filter(F.col(fold_col) != f)
         te = df.filter(F.col(fold_col) == f)
-        m = grow(tr, y, features, minbucket, maxdepth, max_bins, min_info_gain=gain)
-        t = apply_minsplit(tree_from_mllib(m, features, df.sparkSession), minsplit)
+        t = grow_cart(tr, y, features, least, minsplit, minbucket, maxdepth, max_bins, bins=bins)
         seq = prune_sequence(t)
         stats = held_out_leaf_stats(t, te, y)
         return [variant_sse(t, prune(t, cp, seq), stats) for cp in cps], sum(v[0] for v in stats.values())

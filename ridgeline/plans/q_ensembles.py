@@ -7,6 +7,7 @@ import json
 from pyspark.sql import functions as F
 
 from ..functions.hashing import hash_uniform_sql
+from ..operators import cart as ca
 from ..operators import ensembles as en
 from ..operators import hist as hs
 from ..operators import linear as lin
@@ -228,8 +229,7 @@ def m2_random_tune(spark, sf_dir):
 def m3_default_grid(spark, sf_dir):
     """Automatic grids of length 5: tree cps from the data's pruning sequence, forest mtry from p."""
     train, _, x = _frame(spark, sf_dir)
-    full = tr.apply_minsplit(tr.tree_from_mllib(tr.grow(train, Y, x, 7), x, spark), 20)
-    cps = [c for c, _, _ in tr.cp_table(full)]
+    cps = [c for c, _, _ in tr.cp_table(ca.grow_cart(train, Y, x, cp=0.0005))]
     rows = []
     for method in ("tree", "forest", "gbm", "enet"):
         for p in tu.default_grid(method, 5, len(x), cps):

@@ -5,6 +5,7 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import functions as F
 
+from ..operators import cart as ca
 from ..operators import resampling as rs
 from ..operators import tables as tb
 from ..operators import trees as tr
@@ -114,10 +115,9 @@ def t2_regression_tree(spark, sf_dir):
 
 @register("t3_cost_complexity_prune")
 def t3_cost_complexity_prune(spark, sf_dir):
-    """One deep tree pruned at cp 0.03 / 0.01 / 0.001 (no refit): size and test RMSE of each."""
+    """One tree grown at cp 0.001, pruned at cp 0.03 / 0.01 / 0.001 (no refit): size and test RMSE of each."""
     train, te, x = _frame(spark, sf_dir)
-    m = tr.grow(train, Y, x, minbucket=7)
-    full = tr.apply_minsplit(tr.tree_from_mllib(m, x, spark), 20)
+    full = ca.grow_cart(train, Y, x, cp=0.001)
     seq = tr.prune_sequence(full)
     rows = None
     for cp in (0.03, 0.01, 0.001):
@@ -154,9 +154,7 @@ CP_GRID = [0.1, 0.05, 0.03, 0.02, 0.01, 0.005, 0.003, 0.002, 0.001]
 def t4_cp_table(spark, sf_dir):
     """cp, splits, relative error of the pruning sequence, plus 10-fold xerror / xstd per cp."""
     train, _, x = _frame(spark, sf_dir)
-    m = tr.grow(train, Y, x, minbucket=7)
-    full = tr.apply_minsplit(tr.tree_from_mllib(m, x, spark), 20)
-    table = [r for r in tr.cp_table(full) if r[0] >= 0.001]
+    table = tr.cp_table(ca.grow_cart(train, Y, x, cp=0.001))
     cps = [r[0] for r in table]
     cv = tr.cv_cp(rs.kfold(train, 10, "hhid", seed=3), Y, x, "fold", cps)
     rows = [(float(c), int(s), float(re), cv[c][2], cv[c][3]) for c, s, re in table]
@@ -185,7 +183,7 @@ def t6_tune_maxdepth(spark, sf_dir):
 
     def one(f):
         trn, held = d.filter(F.col("fold") != f), d.filter(F.col("fold") == f)
-        t = tr.prune(tr.apply_minsplit(tr.tree_from_mllib(tr.grow(trn, Y, x, 7, maxdepth=8), x, spark), 20), 0.001)
+        t = tr.prune(ca.grow_cart(trn, Y, x, 0.001, maxdepth=8), 0.001)
         stats = tr.held_out_leaf_stats(t, held, Y)
         n = sum(v[0] for v in stats.values())
         return [np.sqrt(tr.variant_sse(t, t.truncate(k), stats) / n) for k in depths]

@@ -96,3 +96,52 @@ def test_leafwise_subtraction_gives_leaf_means(spark, hh):
     p = hh.withColumn("_leaf", t.node_expr()).groupBy("_leaf").agg(F.avg(Y).alias("m")).collect()
     for r in p:
         assert abs(m.base + t.nodes[r["_leaf"]].value - r["m"]) < 1e-9
+
+
+def test_cart_grower_equals_brute_force_root_and_bounds_its_size(spark, hh, hh_pd):
+    from ridgeline.operators import cart as ca
+    t = ca.grow_cart(hh, Y, X, cp=0.002)
+    best = tr.competitor_splits(hh, Y, X, k=1).first()
+    root = t.nodes[t.root]
+    assert root.feature == best["feature"] and abs(root.gain - best["gain"]) < 1e-6 * best["gain"]
+    assert len(t.leaves()) - 1 <= 1 / 0.002
+    assert all(nd.gain >= 0.002 * root.dev - 1e-9 for nd in t.nodes.values() if not nd.is_leaf)
+    again = ca.grow_cart(hh.repartition(7), Y, X, cp=0.002)
+    assert {i: (n.feature, n.cut) for i, n in t.nodes.items()} == {i: (n.feature, n.cut) for i, n in again.nodes.items()}
+
+
+def test_large_means_do_not_change_splits(spark):
+    from ridgeline.operators import hist as hs
+    d = spark.range(20000).selectExpr("id", "cast(id % 10 as double) as a", "cast((id * 7919) % 13 as double) as b",
+                                      "1e9 + cast(id % 10 > 4 as int) as y")
+    top = tr.competitor_splits(d, "y", ["a", "b"], k=1).first()
+    assert (top["feature"], top["cut"]) == ("a", 4.5) and abs(top["gain"] - 5000) < 1e-3
+    t = hs.ctree(d, "y", ["a", "b"])
+    assert len(t.leaves()) == 2 and t.nodes[1].feature == "a"
+    r = tr.regression_tree(d, "y", ["a", "b"])
+    assert r.nodes[0].feature == "a" and abs(r.nodes[r.nodes[0].right].value - (1e9 + 1)) < 1e-6
+
+
+def test_weakest_link_is_nearly_linear_and_matches_the_table(spark):
+    import random
+    import time
+    rnd = random.Random(1)
+    t = tr.Tree({0: tr.Node(0, 2.0 ** 14, 0.0, 1e6, 0)}, 0)
+    todo = [0]
+    while todo:
+        i = todo.pop()
+        nd = t.nodes[i]
+        if nd.depth == 14:
+            continue
+        share, left = rnd.uniform(0.6, 0.95), rnd.uniform(0.3, 0.7)
+        nd.feature, nd.cut, nd.left, nd.right = "x", 0.0, len(t.nodes), len(t.nodes) + 1
+        for j, p in ((nd.left, left), (nd.right, 1 - left)):
+            t.nodes[j] = tr.Node(j, nd.n / 2, 0.0, nd.syy * share * p, nd.depth + 1)
+            todo.append(j)
+    t0 = time.time()
+    table = tr.cp_table(t)
+    assert time.time() - t0 < 5 and table[-1][1] == 2 ** 14 - 1 and table[0][1] == 0
+    for cp, splits, err in table[::max(1, len(table) // 5)]:
+        p = tr.prune(t, cp)
+        assert len(p.leaves()) - 1 == splits
+        assert abs(sum(p.nodes[j].dev for j in p.leaves()) / t.nodes[0].dev - err) < 1e-9
