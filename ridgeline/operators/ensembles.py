@@ -10,7 +10,6 @@ from __future__ import annotations
 
 import math
 
-from pyspark.ml.evaluation import RegressionEvaluator
 from pyspark.ml.regression import GBTRegressor, RandomForestRegressor
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -58,10 +57,12 @@ def random_forest(df: DataFrame, y: str, features: list[str], trees: int = 100,
                   min_node: int = 5, sample_frac: float = 1.0, max_depth: int = 30, max_bins: int = 64,
                   seed: int = 1) -> VectorModel:
     """B2: random forest; ``mtry`` as a count or an MLlib strategy name."""
+    if max_depth > 30:
+        raise ValueError("MLlib trees have at most 30 levels")
     strat = str(mtry) if isinstance(mtry, int) or str(mtry).isdigit() else mtry
     rf = RandomForestRegressor(featuresCol="features", labelCol=y, numTrees=trees, featureSubsetStrategy=strat,
                                minInstancesPerNode=min_node, subsamplingRate=sample_frac, bootstrap=True,
-                               maxDepth=min(max_depth, 30), maxBins=max_bins, seed=seed,
+                               maxDepth=max_depth, maxBins=max_bins, seed=seed,
                                cacheNodeIds=max_depth > CACHE_NODE_IDS_ABOVE_DEPTH, checkpointInterval=10,
                                maxMemoryInMB=AGG_MEMORY_MB)
     return VectorModel(rf.fit(_prep(df, y, features)), features)
@@ -90,8 +91,4 @@ def gbm_rounds(model: VectorModel, df: DataFrame, y: str, spark) -> DataFrame:
     return spark.createDataFrame(rows, "trees int, rmse double")
 
 
-def evaluate_rmse(pred: DataFrame, y: str, p: str = "prediction") -> float:
-    return RegressionEvaluator(labelCol=y, predictionCol=p, metricName="rmse").evaluate(pred)
-
-
-__all__ = ["VectorModel", "bagged_trees", "random_forest", "gbm", "gbm_rounds", "evaluate_rmse", "F"]
+__all__ = ["VectorModel", "bagged_trees", "random_forest", "gbm", "gbm_rounds", "F"]

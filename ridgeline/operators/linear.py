@@ -367,6 +367,7 @@ class CVResult:
     cvsd: np.ndarray
     lambda_min: float
     lambda_1se: float
+    fold_rmse: np.ndarray | None = None  # folds x lambdas
 
 
 def cv_path(df: DataFrame, y: str, x: list[str], alpha: float, fold_col: str,
@@ -392,7 +393,7 @@ def cv_path(df: DataFrame, y: str, x: list[str], alpha: float, fold_col: str,
     cvsd = E.std(axis=0, ddof=1) / math.sqrt(len(errs)) if len(errs) > 1 else np.zeros(len(lams))
     i = int(np.argmin(cvm))
     ok = np.where(cvm <= cvm[i] + cvsd[i])[0]
-    return CVResult(lams, cvm, cvsd, float(lams[i]), float(lams[ok].max()))
+    return CVResult(lams, cvm, cvsd, float(lams[i]), float(lams[ok].max()), np.sqrt(E))
 
 
 def lasso_fraction(df: DataFrame, y: str, x: list[str], fractions) -> tuple[np.ndarray, np.ndarray]:
@@ -422,66 +423,85 @@ def lasso_fraction(df: DataFrame, y: str, x: list[str], fractions) -> tuple[np.n
 
 # ------------------------------------------------------- subset search ---
 
-def _rss_subset(g: np.ndarray, xi: list[int], yi: int) -> float:
-    idx = [0] + xi
-    a = g[np.ix_(idx, idx)]
-    b = g[idx, yi]
-    try:
-        beta = np.linalg.solve(a, b)
-    except np.linalg.LinAlgError:
-        beta = np.linalg.lstsq(a, b, rcond=None)[0]
-    return float(g[yi, yi] - beta @ b)
+def _sweep(a: np.ndarray, k: int) -> np.ndarray:
+    """Goodnight's sweep on pivot k; sweeping the same pivot again takes it back."""
+    d = a[k, k]
+    row, col = a[k] / d, a[:, k].copy()
+    out = a - np.outer(col, row)
+    out[k], out[:, k], out[k, k] = row, -col / d, 1.0 / d
+    return out
+
+
+ALIAS_TOL = 1e-9  # a candidate with less than this share of its variance left is an alias of the chosen ones
 
 
 def stepwise(g: Gram, x: list[str], y: str, method: str = "forward", nvmax: int | None = None):
     """Best subset of each size by forward, backward or sequential replacement.
 
-    Returns ``[(size, [names], rss)]``.  All candidates are scored from the
-    Gram; no rescans.
+    Returns ``[(size, [names], rss)]``.  One swept Gram holds the current model:
+    the RSS of every one-column change is read off its last column, so a step costs one
+    sweep and no solve.  Columns that are linear combinations of the chosen ones are
+    never added, so the sizes end at the rank of the candidates.
     """
-    G = g.total()
-    cand = [g.index(c) for c in x]
-    yi = g.index(y)
+    g0 = g.total()
+    cand, yi = [g.index(c) for c in x], g.index(y)
     nvmax = nvmax or len(x)
     name = {g.index(c): c for c in x}
-    out = []
+    base = _sweep(g0, 0)
+    var = {j: base[j, j] for j in cand}
+
+    def free(a, cur):
+        return [j for j in cand if j not in cur and var[j] > 0 and a[j, j] > ALIAS_TOL * var[j]]
+
+    def gains(a, js):
+        return [a[j, yi] ** 2 / a[j, j] for j in js]
+
+    out, a, cur = [], base, []
     if method in ("forward", "seqrep"):
-        cur: list[int] = []
-        for size in range(1, nvmax + 1):
-            best = min((j for j in cand if j not in cur), key=lambda j: (_rss_subset(G, cur + [j], yi), j))
-            cur = cur + [best]
+        while len(cur) < nvmax:
+            js = free(a, cur)
+            if not js:
+                break
+            v = gains(a, js)
+            j = js[max(range(len(js)), key=lambda k: (v[k], -js[k]))]
+            cur, a = cur + [j], _sweep(a, j)
             if method == "seqrep":
                 improved = True
                 while improved:
                     improved = False
-                    base = _rss_subset(G, cur, yi)
                     for pos in range(len(cur)):
-                        for j in cand:
-                            if j in cur:
-                                continue
-                            trial = cur[:pos] + [j] + cur[pos + 1:]
-                            r = _rss_subset(G, trial, yi)
-                            if r < base - 1e-9 * max(abs(base), 1.0):
-                                cur, base, improved = trial, r, True
-            out.append((size, [name[j] for j in cur], _rss_subset(G, cur, yi)))
+                        without = _sweep(a, cur[pos])
+                        js = free(without, cur[:pos] + cur[pos + 1:])
+                        v = gains(without, js)
+                        k = max(range(len(js)), key=lambda q: (v[q], -js[q]))
+                        r = without[yi, yi] - v[k]
+                        if js[k] != cur[pos] and r < a[yi, yi] - 1e-9 * max(abs(a[yi, yi]), 1.0):
+                            cur, a, improved = cur[:pos] + [js[k]] + cur[pos + 1:], _sweep(without, js[k]), True
+            out.append((len(cur), [name[j] for j in cur], float(a[yi, yi])))
     elif method == "backward":
-        cur = list(cand)
-        path = [(len(cur), list(cur), _rss_subset(G, cur, yi))]
+        for j in cand:  # the full model of full rank: later aliases of earlier columns stay out
+            if j in free(a, cur):
+                cur, a = cur + [j], _sweep(a, j)
+        path = [(len(cur), list(cur), float(a[yi, yi]))]
         while len(cur) > 1:
-            drop = min(cur, key=lambda j: (_rss_subset(G, [k for k in cur if k != j], yi), j))
-            cur = [k for k in cur if k != drop]
-            path.append((len(cur), list(cur), _rss_subset(G, cur, yi)))
+            j = min(cur, key=lambda k: (a[k, yi] ** 2 / a[k, k], k))
+            cur, a = [k for k in cur if k != j], _sweep(a, j)
+            path.append((len(cur), list(cur), float(a[yi, yi])))
         out = [(s, [name[j] for j in c], r) for s, c, r in sorted(path) if s <= nvmax]
     else:
         raise ValueError(method)
     return out
 
 
-def subset_criteria(spark: SparkSession, models, n: float, tss: float) -> DataFrame:
-    """BIC and adjusted R2 per subset size; best size flagged."""
+def subset_criteria(spark: SparkSession, models, n: float, tss: float, x: list[str]) -> DataFrame:
+    """BIC and adjusted R2 per subset size, the best size by each, and one 0/1 column ``in_<name>`` per candidate."""
     rows = []
     for size, names, rss in models:
         bic = n * math.log(rss / n) + (size + 1) * math.log(n)
         adj = 1.0 - (rss / (n - size - 1)) / (tss / (n - 1))
-        rows.append((size, ",".join(names), float(rss), float(bic), float(adj)))
-    return spark.createDataFrame(rows, "size int, variables string, rss double, bic double, adj_r2 double")
+        rows.append((size, ",".join(names), float(rss), float(bic), float(adj), [int(c in names) for c in x]))
+    top_bic = min(rows, key=lambda r: (r[3], r[0]))[0] if rows else None
+    top_adj = max(rows, key=lambda r: (r[4], -r[0]))[0] if rows else None
+    flat = [(*r[:5], r[0] == top_bic, r[0] == top_adj, *r[5]) for r in rows]
+    return spark.createDataFrame(flat, "size int, variables string, rss double, bic double, adj_r2 double, best_bic boolean, "
+                                       "best_adj_r2 boolean" + "".join(f", `in_{c}` int" for c in x))

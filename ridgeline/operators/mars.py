@@ -18,7 +18,6 @@ from pyspark.sql import functions as F
 
 from ..functions.hashing import hash_uniform, poisson_weight
 from .gram import gram
-from .linear import _rss_subset
 
 
 class HingeModel:
@@ -52,6 +51,13 @@ def hinge_basis(df: DataFrame, numeric: list[str], binary: list[str], knots: int
     return basis, groups
 
 
+def _rss_subset(g: np.ndarray, xi: list[int], yi: int) -> float:
+    """RSS of the outcome on the columns xi and the intercept, from a Gram (minimum norm where they are aliased)."""
+    idx = [0] + xi
+    a, b = g[np.ix_(idx, idx)], g[idx, yi]
+    return float(g[yi, yi] - np.linalg.lstsq(a, b, rcond=None)[0] @ b)
+
+
 def _gcv(rss, n, terms, penalty=2.0):
     c = terms + penalty * (terms - 1) / 2.0
     return (rss / n) / max(1.0 - c / n, 1e-12) ** 2

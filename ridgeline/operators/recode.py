@@ -15,6 +15,8 @@ from itertools import chain
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import snapshot
+
 MAX_LEVELS = 5000
 
 
@@ -135,20 +137,25 @@ def factor_index(df: DataFrame, col: str, levels: list | None = None,
 def level_position(df: DataFrame, col: str, out: str | None = None) -> DataFrame:
     """1-based position of each value among the sorted distinct values.
 
-    The distinct values are range-partitioned and sorted by Spark, numbered
-    with ``zipWithIndex`` (one small counting job per partition, no single
-    task sees all values), and joined back on the value.  The join is a
-    normal shuffle join; AQE turns it into a broadcast only when the
-    distinct set is measured small at run time.
+    The distinct values are dealt by range and numbered inside their range; the
+    ranges' sizes (one number each) give the offsets.  No task sees all values and
+    nothing leaves the JVM.  The join back is a normal shuffle join; AQE turns it into a
+    broadcast only when the distinct set is measured small at run time.
     """
-    spark = df.sparkSession
-    distinct = df.select(col).filter(F.col(col).isNotNull()).distinct().orderBy(col)
-    numbered = distinct.rdd.zipWithIndex().map(lambda t: (t[0][0], t[1] + 1))
-    dtype = df.schema[col].dataType
-    ranks = spark.createDataFrame(numbered, f"`{col}` {dtype.simpleString()}, _pos bigint")
+    distinct = df.select(col).filter(F.col(col).isNotNull()).distinct()
+    # written once: the ranges must be the same for the sizes and for the numbers
+    dealt = snapshot(distinct.repartitionByRange(col).withColumn("_part", F.spark_partition_id()))
+    sizes = sorted((r["_part"], r["count"]) for r in dealt.groupBy("_part").count().collect())
+    offsets, total = [], 0
+    for p, n in sizes:
+        offsets.append((p, total))
+        total += n
+    start = _map_literal(offsets)[F.col("_part")] if offsets else F.lit(0)
+    place = F.row_number().over(Window.partitionBy("_part").orderBy(col))
+    ranks = dealt.select(col, (start + place).cast("bigint").alias("_pos"))
     joined = df.join(ranks, on=col, how="left")
     target = out or col
-    return joined.withColumn(target, F.col("_pos").cast("int")).drop("_pos") \
+    return joined.withColumn(target, F.col("_pos")).drop("_pos") \
         .select(*[c for c in df.columns] + ([target] if target not in df.columns else []))
 
 
@@ -231,7 +238,7 @@ class Standardizer:
             aggs += [F.avg(c).alias(f"m_{c}"), F.stddev_samp(c).alias(f"s_{c}")]
         row = df.agg(*aggs).first()
         self.means = {c: row[f"m_{c}"] for c in self.cols}
-        self.sds = {c: row[f"s_{c}"] for c in self.cols}
+        self.sds = {c: row[f"s_{c}"] or 0.0 for c in self.cols}
         return self
 
     def params(self, spark) -> DataFrame:
@@ -245,7 +252,8 @@ class Standardizer:
             if self.center:
                 e = e - F.lit(self.means[c])
             if self.scale:
-                e = e / F.lit(self.sds[c])
+                # a constant column (or one row) has no spread: it is centred and not scaled
+                e = e / F.lit(float(self.sds[c] or 1.0))
             out[c] = e
         return df.withColumns(out)
 

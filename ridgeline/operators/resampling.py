@@ -138,14 +138,6 @@ def log_grid(lo: Column | float, hi: Column | float, n: int) -> Column:
     return F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: F.pow(F.lit(10.0), lo + i * step))
 
 
-def lin_grid(lo: Column | float, hi: Column | float, n: int) -> Column:
-    """``n`` evenly spaced values in [lo, hi] (array column)."""
-    lo = F.lit(lo) if not isinstance(lo, Column) else lo
-    hi = F.lit(hi) if not isinstance(hi, Column) else hi
-    step = (hi - lo) / F.lit(float(max(n - 1, 1)))
-    return F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: lo + i * step)
-
-
 def random_design(bounds: DataFrame, space: dict[str, tuple], n: int, seed: int = 1) -> DataFrame:
     """``n`` uniform points in a typed box.
 

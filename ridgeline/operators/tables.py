@@ -75,8 +75,10 @@ def corr_matrix(df: DataFrame, cols: list[str]) -> DataFrame:
 
 
 def drop_correlated(corr: DataFrame, cutoff: float = CORRELATION_CUTOFF) -> list[str]:
-    """For each pair over the cut-off drop the one with larger mean |r|.
+    """For each pair over the cut-off drop the one with the larger mean |r|.
 
+    Columns are visited by falling mean |r|; after every removal the means are
+    taken again over the columns that are left.  Ties keep the column named first.
     Runs on the p x p correlation table (bounded by the GRAM column cap).
     """
     rows = corr.collect()
@@ -85,15 +87,19 @@ def drop_correlated(corr: DataFrame, cutoff: float = CORRELATION_CUTOFF) -> list
     R = np.zeros((len(names), len(names)))
     for r in rows:
         R[idx[r["var1"]], idx[r["var2"]]] = abs(r["r"]) if r["r"] is not None else 0.0
-    avg = R.mean(axis=0)
-    drop = []
-    for j in range(len(names)):
-        for i in range(j):
+    np.fill_diagonal(R, 0.0)
+    left = list(range(len(names)))
+
+    def mean(i):
+        return R[i, left].sum() / max(1, len(left) - 1)
+
+    for i in sorted(left, key=lambda k: (-mean(k), k)):
+        for j in [k for k in left if k != i]:
+            if i not in left:
+                break
             if R[i, j] > cutoff:
-                d = j if avg[j] > avg[i] else i
-                if names[d] not in drop:
-                    drop.append(names[d])
-    return drop
+                left.remove(max(i, j, key=lambda k: (mean(k), k)))
+    return [names[i] for i in range(len(names)) if i not in left]
 
 
 def rmse(pred: DataFrame, p: str = "prediction", y: str = "label", weight: str | None = None) -> Column:

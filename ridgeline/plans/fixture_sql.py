@@ -4,7 +4,9 @@ from .fixtures import VALUE_LABEL_ROWS
 
 HH_RAW = """hh_raw AS (
 SELECT o.o_orderkey AS hhid,
-       o.o_totalprice AS hhincome,
+       o.o_totalprice * (CAST(1.0 AS DOUBLE) + CAST(0.04 AS DOUBLE) * ((o.o_orderkey * 7 + o.o_custkey) % 29))
+         * CAST(CASE WHEN c.c_mktsegment = 'MACHINERY' THEN 1.5 ELSE 1.0 END AS DOUBLE)
+         * (CAST(1.0 AS DOUBLE) + CAST(0.2 AS DOUBLE) * n.n_regionkey) AS hhincome,
        CAST(l.n_lines AS INT) AS hhsizer,
        CAST(CASE WHEN o.o_orderkey % 89 = 0 THEN -3 ELSE l.n_numbers END AS INT) AS h_dwlrms,
        CAST(CASE WHEN o.o_orderkey % 97 = 0 THEN -8 ELSE 17 + l.max_qty END AS INT) AS head_age,

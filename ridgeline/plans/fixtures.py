@@ -36,10 +36,12 @@ def hh_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("o_orderkey")
     d = (o.join(lines, o.o_orderkey == lines.l_orderkey)
          .join(c, c.c_custkey == o.o_custkey)
-         .join(F.broadcast(n), n.n_nationkey == c.c_nationkey))
+         .join(n, n.n_nationkey == c.c_nationkey))
     return d.select(
         k.alias("hhid"),
-        F.col("o_totalprice").alias("hhincome"),
+        (F.col("o_totalprice") * (F.lit(1.0) + F.lit(0.04) * ((k * 7 + F.col("o_custkey")) % 29))
+         * F.when(F.col("c_mktsegment") == "MACHINERY", F.lit(1.5)).otherwise(F.lit(1.0))
+         * (F.lit(1.0) + F.lit(0.2) * F.col("n_regionkey"))).alias("hhincome"),
         F.col("n_lines").cast("int").alias("hhsizer"),
         F.when(k % 89 == 0, -3).otherwise(F.col("n_numbers")).cast("int").alias("h_dwlrms"),
         F.when(k % 97 == 0, -8).otherwise(F.lit(17) + F.col("max_qty")).cast("int").alias("head_age"),

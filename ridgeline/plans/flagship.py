@@ -14,19 +14,19 @@ from ..operators import linear as lin
 from ..operators import recode as rc
 from ..operators import resampling as rs
 from ..operators import tables as tb
-from ..session import cut_lineage
+from ..session import snapshot
 from . import fixtures as fx
 
 
 def model_frame(spark, sf_dir):
     """hh with full dummies and the split column (the modelling input).
 
-    Written once as a reliable checkpoint in the shared checkpoint folder:
-    every model below makes several passes over it, and the checkpoint both
-    cuts the lineage back to the raw tables and survives executor loss.
+    The coded columns and the split are written once as parquet in the shared
+    folder: every model below makes several passes over them, reads the columns it
+    needs and pushes the split down.  The dummies are projections of that table.
     """
-    hh = rc.dummies_full(cut_lineage(fx.hh(spark, sf_dir)), fx.HH_NOMINAL)
-    return cut_lineage(rs.stratified_split(hh, fx.HH_Y, 0.75, "hhid", seed=7))
+    coded = snapshot(rs.stratified_split(fx.hh(spark, sf_dir), fx.HH_Y, 0.75, "hhid", seed=7))
+    return rc.dummies_full(coded, fx.HH_NOMINAL)
 
 
 def features(df):

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import pickle
 import time
 
 import numpy as np
@@ -175,7 +176,6 @@ def l11_stepwise_forward(spark, sf_dir):
 
 def _subset_rows(spark, sf_dir, method):
     tr, _, x = _train(spark, sf_dir)
-    x = [c for c in x if c not in ("dwelling_1", "prov_1", "computer_1", "washer_1", "head_gender_1")]
     g = gram(tr, x + [Y])
     res = lin.stepwise(g, x, Y, method)
     rows = [(s, ",".join(names), float(r)) for s, names, r in res]
@@ -200,13 +200,13 @@ def l13_stepwise_seqrep(spark, sf_dir):
 
 @register("l14_subset_criteria")
 def l14_subset_criteria(spark, sf_dir):
-    """BIC and adjusted R2 per size of the forward path."""
-    _, g, res, _ = _subset_rows(spark, sf_dir, "forward")
+    """BIC, adjusted R2 and members per size of the forward path; best sizes flagged."""
+    _, g, res, x = _subset_rows(spark, sf_dir, "forward")
     G = g.total()
     n = G[0, 0]
     yi = g.index(Y)
     tss = G[yi, yi] - G[0, yi] ** 2 / n
-    return lin.subset_criteria(spark, res, n, tss)
+    return lin.subset_criteria(spark, res, n, tss, x)
 
 
 @register("l15_subset_predict")
@@ -262,16 +262,19 @@ def linear_comparison_rows(spark, sf_dir):
     ols = lin.ols(tr, Y, x)
     sec = time.time() - t0
     cv0 = lin.cv_path(trf, Y, x, 0.0, "fold", lambdas=[0.0])
-    out.append(tb.compare_rmse(spark, "ols", math.sqrt(cv0.cvm[0]), None, ols.transform(tr), ols.transform(te),
-                               Y, seconds=sec))
+    def add(name, cv, i, m, seconds):
+        fold = cv.fold_rmse[:, i]
+        out.append(tb.compare_rmse(spark, name, float(fold.mean()), float(fold.std(ddof=1)), m.transform(tr), m.transform(te),
+                                   Y, seconds=seconds, size_mb=len(pickle.dumps(m)) / 1e6))
+
+    add("ols", cv0, 0, ols, sec)
     for name, a in (("ridge", 0.0), ("lasso", 1.0), ("elastic_net", 0.5)):
         t0 = time.time()
         cv = lin.cv_path(trf, Y, x, a, "fold", nlambda=30)
         m = lin.PenalizedPath(tr, Y, x, a, [cv.lambda_min]).model(0)
         sec = time.time() - t0
         i = int(np.argmin(cv.cvm))
-        out.append(tb.compare_rmse(spark, name, math.sqrt(cv.cvm[i]), None, m.transform(tr), m.transform(te), Y,
-                                   seconds=sec))
+        add(name, cv, i, m, sec)
     return out
 
 

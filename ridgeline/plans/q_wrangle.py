@@ -327,7 +327,7 @@ def r9_factor_index(spark, sf_dir):
     return rc.factor_index(d, "hhprov", out="prov_index").select("hhid", "prov_index")
 
 
-@register("r10_level_position", with_ctes(HH_RAW) + "SELECT hhid, CAST(dense_rank() OVER (ORDER BY hhincome) AS INT)"
+@register("r10_level_position", with_ctes(HH_RAW) + "SELECT hhid, CAST(dense_rank() OVER (ORDER BY hhincome) AS BIGINT)"
           " AS income_position FROM hh_raw")
 def r10_level_position(spark, sf_dir):
     d = fx.hh_raw(spark, sf_dir).select("hhid", "hhincome")

@@ -44,7 +44,8 @@ def checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder for checkpoints and written intermediate tables.
 
     Order: the context's checkpoint dir, then ``spark.checkpoint.dir`` from
-    the conf; only when neither is set (local runs) a fresh temp folder.
+    the conf; when neither is set, a fresh temp folder on a local master and
+    an error on a cluster, where a machine's own folder is not shared.
     """
     sc = spark.sparkContext
     d = sc.getCheckpointDir()
@@ -57,7 +58,9 @@ def checkpoint_dir(spark: SparkSession) -> str:
         except Exception:  # noqa: BLE001 - unset key
             d = None
     if not d:
-        d = tempfile.mkdtemp(prefix="ridgeline-ckpt-", dir="/tmp")
+        if not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        d = tempfile.mkdtemp(prefix="ridgeline-ckpt-", dir="/tmp")  # one machine: its own folder is shared
     sc.setCheckpointDir(d)
     return sc.getCheckpointDir() or d
 
@@ -68,6 +71,13 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{base.rstrip('/')}/ridgeline-tables/{uuid.uuid4().hex}/{name}"
 
 
+def snapshot(df):
+    """``df`` written once as parquet in the shared folder and read back: columns prune, filters push down."""
+    path = scratch_path(df.sparkSession, "snapshot")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def cut_lineage(df, eager: bool = True):
     """Reliable checkpoint (survives executor loss); never a local one."""
     checkpoint_dir(df.sparkSession)
