@@ -77,18 +77,18 @@ def components(edges: DataFrame, max_rounds: int = 100) -> DataFrame:
     ``comp`` is the smallest node of the component.  Every round each node takes
     the smallest label among itself and its neighbours, then the label of that
     label (pointer jump), until nothing changes; stars settle in two rounds.
-    Only aggregates with map-side combine and joins; every round is checkpointed.
+    Only aggregates with map-side combine and joins; every round is written.
     """
     both = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    both = cut_lineage(both.where("a <> b").distinct())
-    lab = cut_lineage(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m"))
+    both = stash(both.where("a <> b").distinct())
+    lab = stash(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m"))
                       .select("node", F.least("node", "m").alias("comp")))
     for _ in range(max_rounds):
         near = (both.join(lab.select(F.col("node").alias("b"), "comp"), "b")
                 .groupBy(F.col("a").alias("node")).agg(F.min("comp").alias("m")))
         step = lab.join(near, "node").select("node", F.least("comp", "m").alias("l"), F.col("comp").alias("old"))
         jump = lab.select(F.col("node").alias("l"), F.col("comp").alias("j"))
-        new = cut_lineage(step.join(jump, "l", "left").select(
+        new = stash(step.join(jump, "l", "left").select(
             "node", F.coalesce(F.least("l", "j"), "l").alias("comp"), "old"))
         changed = new.where("comp <> old").limit(1).count()
         lab = new.select("node", "comp")

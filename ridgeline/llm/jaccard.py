@@ -26,7 +26,7 @@ and components equal those of the full join.
 
 Null and empty texts, and texts of white space, have empty sets: each is its own
 component.  Rows with a null id keep a null component unless they link with an id.
-Repeated rows come back each.  Extra columns are ignored.  Shingles are 64-bit hashes.
+Repeated rows come back each.  Extra columns are ignored.  Shingles and classes are told apart by 64-bit hashes.
 """
 
 from __future__ import annotations
@@ -39,7 +39,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import components, cut_lineage, lower_words, shingle_hashes, table, word_hashes
+from .common import components, cut_lineage, lower_words, shingle_hashes, stash, table, word_hashes
 
 COUNTERS = 1 << 18
 CHUNK = 1 << 12
@@ -60,24 +60,50 @@ def prefix_size(n: int, percent: int) -> int:
     return n - -(-percent * n // 100) + 1
 
 
-def _counts(texts: DataFrame, shingle: int) -> np.ndarray:
-    """Occurrence counters of all shingles, by hash: one blob per task and chunk, summed per chunk."""
-    def count(batches: Iterator[pa.RecordBatch]):
+def _range_counts(s: np.ndarray) -> bytes:
+    """Elements per hash range; clipped counts bound the difference of two sets from below all the same."""
+    n = np.bincount((s >> np.uint64(58)).astype(np.int64), minlength=RANGES)
+    return np.minimum(n, 65535).astype("<u2").tobytes()
+
+
+_FIRST = "chunk int, counts binary, id {id}, rid string, cls bigint, n bigint, ranges binary"
+
+
+def _first_pass(texts: DataFrame, shingle: int) -> tuple[DataFrame, np.ndarray]:
+    """``(rows, counters)``: class, size and range counts of every row, and the occurrence counters of all shingles.
+
+    Both come from one reading of the texts; each task sends its counters as one blob per chunk.
+    """
+    id_type = dict(texts.dtypes)["id"]
+    id_arrow = texts.select("id").limit(0).toArrow().schema.field("id").type
+    names = ["chunk", "counts", "id", "rid", "cls", "n", "ranges"]
+
+    def read(batches: Iterator[pa.RecordBatch]):
         total = np.zeros(COUNTERS, np.int64)
         for b in batches:
-            held, size = [], 0
-            for t in b.column(0):
-                held.append(shingle_set(t.as_py(), shingle))
-                size += len(held[-1])
-                if size > 1 << 20:
+            cls, size, ranges, held, waiting = [], [], [], [], 0
+            for t in b.column(2):
+                s = shingle_set(t.as_py(), shingle)
+                cls.append(xxhash.xxh3_64_intdigest(s.tobytes()))
+                size.append(len(s))
+                ranges.append(_range_counts(s))
+                held.append(s)
+                waiting += len(s)
+                if waiting > 1 << 20:
                     total += np.bincount(_slot(np.concatenate(held)), minlength=COUNTERS)
-                    held, size = [], 0
-            if size:
+                    held, waiting = [], 0
+            if waiting:
                 total += np.bincount(_slot(np.concatenate(held)), minlength=COUNTERS)
+            k = b.num_rows
+            yield pa.RecordBatch.from_arrays(
+                [pa.nulls(k, pa.int32()), pa.nulls(k, pa.binary()), b.column(0), b.column(1), pa.array(np.array(cls, np.uint64).view(np.int64)),
+                 pa.array(size, pa.int64()), pa.array(ranges, pa.binary())], names=names)
         part = total.reshape(-1, CHUNK)
         keep = np.flatnonzero(part.any(1))
+        k = len(keep)
         yield pa.RecordBatch.from_arrays(
-            [pa.array(keep, pa.int32()), pa.array([part[k].astype("<i8").tobytes() for k in keep], pa.binary())], names=["chunk", "counts"])
+            [pa.array(keep, pa.int32()), pa.array([part[c].astype("<i8").tobytes() for c in keep], pa.binary()), pa.nulls(k, id_arrow),
+             pa.nulls(k, pa.string()), pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64()), pa.nulls(k, pa.binary())], names=names)
 
     def add(batches: Iterator[pa.RecordBatch]):
         sums: dict[int, np.ndarray] = {}
@@ -87,22 +113,19 @@ def _counts(texts: DataFrame, shingle: int) -> np.ndarray:
         yield pa.RecordBatch.from_arrays(
             [pa.array(list(sums), pa.int32()), pa.array([v.tobytes() for v in sums.values()], pa.binary())], names=["chunk", "counts"])
 
-    schema = "chunk int, counts binary"
-    rows = texts.mapInArrow(count, schema).repartition(COUNTERS // CHUNK, "chunk").mapInArrow(add, schema).collect()
+    both = stash(texts.mapInArrow(read, _FIRST.format(id=id_type)))
+    blobs = both.where("chunk is not null").select("chunk", "counts")
     out = np.zeros((COUNTERS // CHUNK, CHUNK), np.int64)
-    for r in rows:
+    for r in blobs.repartition(COUNTERS // CHUNK, "chunk").mapInArrow(add, "chunk int, counts binary").collect():
         out[r["chunk"]] = np.frombuffer(r["counts"], "<i8")
-    return np.minimum(out.reshape(-1), np.iinfo(np.int32).max).astype(np.int32)
+    counters = np.minimum(out.reshape(-1), np.iinfo(np.int32).max).astype(np.int32)
+    return both.where("chunk is null").select("id", "rid", "cls", "n", "ranges"), counters
 
 
 def _rare_first(s: np.ndarray, counts: np.ndarray) -> np.ndarray:
     return s[np.lexsort((s, counts[_slot(s)]))]
 
 
-def _range_counts(s: np.ndarray) -> np.ndarray:
-    return np.bincount((s >> np.uint64(58)).astype(np.int64), minlength=RANGES)
-
-
 def _key(text: str) -> F.Column:
     return F.md5(F.coalesce(F.col(text), F.lit(""))).alias("rid")
 
@@ -110,51 +133,69 @@ def _key(text: str) -> F.Column:
 BROADCAST_KEYS = 1_000_000  # text keys (md5, class) sent to every executor at most, about 100 MB
 
 
+def _small(df: DataFrame) -> DataFrame:
+    """A written key table, marked for broadcast when it has at most ``BROADCAST_KEYS`` rows."""
+    df = stash(df)
+    return F.broadcast(df) if df.count() <= BROADCAST_KEYS else df
+
+
+def _at(left: DataFrame, right: DataFrame, how: str) -> DataFrame:
+    """``left`` joined with ``right`` on text key and (null-safe) id; columns of ``left`` and the rest of ``right``."""
+    r = right.withColumnsRenamed({"id": "_rid_id", "rid": "_rid_key"})
+    out = left.join(r, (F.col("rid") == F.col("_rid_key")) & F.col("id").eqNullSafe(F.col("_rid_id")), how)
+    return out.drop("_rid_id", "_rid_key")
+
+
 def link_classes(texts: DataFrame, percent: int, shingle: int) -> tuple[DataFrame, DataFrame]:
     """``(members, labels)`` of a frame with columns ``id`` and ``text``.
 
     members: ``id, rid, cls, n`` per row; labels: ``cls, comp`` for the classes that link with another.
     """
     spark = texts.sparkSession
-    counts = spark.sparkContext.broadcast(_counts(texts.select("text"), shingle))
     texts = texts.select("id", _key("text"), "text")
-    id_type = dict(texts.dtypes)["id"]
-
-    def prepare(batches: Iterator[pa.RecordBatch]):
+    rows, counters = _first_pass(texts, shingle)
+    shared = spark.sparkContext.broadcast(counters)
+    members = rows.select("id", "rid", "cls", "n")
+    classes = stash(rows.where("n > 0").groupBy("cls").agg(
+        F.count(F.lit(1)).alias("copies"), F.first("n").alias("n"), F.first("ranges").alias("ranges"), F.min(F.struct("rid", "id")).alias("one")))
+    # rows of classes with copies: one of them stands for the class
+    multi = classes.where("copies > 1").select("cls", "copies", "one")
+    marks = members.join(multi, "cls").select("id", "rid", "copies", ((F.col("one.rid") == F.col("rid")) & F.col("one.id").eqNullSafe(F.col("id"))).alias("stands"))
+    marked = _at(texts, _small(marks.distinct()), "left").where("coalesce(stands, true)")
+
+    def prefix(batches: Iterator[pa.RecordBatch]):
         for b in batches:
-            cls, size, keys, ranges = [], [], [], []
-            for t in b.column(2):
+            key, cls, size, place, many = [], [], [], [], []
+            for t, k in zip(b.column(0), b.column(1).to_pylist()):
                 s = shingle_set(t.as_py(), shingle)
-                cls.append(xxhash.xxh3_128_digest(s.tobytes()))
-                size.append(len(s))
-                p = _rare_first(s, counts.value)[:prefix_size(len(s), percent)] if len(s) else s
-                keys.append(p.view(np.int64))
-                ranges.append(_range_counts(s).astype("<i4").tobytes() if len(s) else None)
-            yield pa.RecordBatch.from_arrays(
-                [b.column(0), b.column(1), pa.array(cls, pa.binary()), pa.array(size, pa.int64()), pa.array(keys, pa.list_(pa.int64())),
-                 pa.array(ranges, pa.binary())], names=["id", "rid", "cls", "n", "keys", "ranges"])
-
-    prep = cut_lineage(texts.mapInArrow(
-        prepare, f"id {id_type}, rid string, cls binary, n bigint, keys array<bigint>, ranges binary"))
-    members = prep.select("id", "rid", "cls", "n")
-    classes = (prep.where("n > 0").groupBy("cls").agg(F.count(F.lit(1)).alias("copies"), F.first("n").alias("n"),
-                                                      F.first("keys").alias("keys")))
-    posts = classes.select("cls", "n", "copies", F.posexplode("keys").alias("i", "key"))
-    alive = posts.groupBy("key").agg(F.min("cls").alias("lo"), F.max("cls").alias("hi")).where("lo < hi").select("key")
-    posts = cut_lineage(posts.join(alive, "key", "left_semi"))
+                if len(s):
+                    p = _rare_first(s, shared.value)[:prefix_size(len(s), percent)]
+                    key.append(p >> np.uint64(16))
+                    cls.append(np.full(len(p), xxhash.xxh3_64_intdigest(s.tobytes()), np.uint64))
+                    size.append(np.full(len(p), len(s), np.int32))
+                    place.append(np.arange(len(p), dtype=np.int32))
+                    many.append(np.full(len(p), min(k, 1 << 20), np.int32))
+            if key:
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.concatenate(key).view(np.int64)), pa.array(np.concatenate(cls).view(np.int64)), pa.array(np.concatenate(size)),
+                     pa.array(np.concatenate(place)), pa.array(np.concatenate(many))], names=["key", "cls", "n", "i", "copies"])
+
+    # 48 bits of the shingle are enough for a join key: a clash is one more candidate
+    posts = marked.select("text", F.coalesce("copies", F.lit(1)).alias("copies")).mapInArrow(prefix, "key bigint, cls bigint, n int, i int, copies int")
+    alive = posts.groupBy("key").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("key")
+    posts = stash(posts.join(alive, "key", "left_semi"))
     edges, labels = None, None
     for step in range(PIVOT_ROUNDS + 1):
-        here = posts if labels is None else posts.join(
+        here = posts.withColumn("c", F.col("cls")) if labels is None else posts.join(
             labels.withColumnRenamed("comp", "c"), "cls", "left").withColumn("c", F.coalesce("c", "cls"))
-        if labels is None:
-            here = here.withColumn("c", F.col("cls"))
         # the most copied member first; then members drawn alike in all lists
-        draw = F.col("copies") if step == 0 else F.xxhash64("cls", F.lit(step))
-        lists = here.groupBy("key").agg(
-            F.min("c").alias("lo"), F.max("c").alias("hi"),
-            F.max(F.struct(draw.alias("draw"), "cls", "n", "i", "c")).alias("pivot")).where("lo < hi")
+        mixed = F.pmod(F.xxhash64("cls", F.lit(step)), F.lit(1 << 40))
+        draw = F.col("copies").cast("bigint") * (1 << 40) + mixed if step == 0 else mixed
+        here = here.withColumn("draw", draw)
+        lists = here.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi"),
+                                        *[F.max_by(v, "draw").alias(v) for v in ("cls", "n", "i", "c")]).where("lo < hi")
         if step < PIVOT_ROUNDS:
-            left = lists.select("key", "pivot.cls", "pivot.n", "pivot.i", "pivot.c")
+            left = lists.select("key", "cls", "n", "i", "c")
         else:
             left = here.join(lists.select("key"), "key", "left_semi").select("key", "cls", "n", "i", "c")
         a, b = left.alias("a"), here.alias("b")
@@ -165,43 +206,44 @@ def link_classes(texts: DataFrame, percent: int, shingle: int) -> tuple[DataFram
                        & (100 * F.least("a.n", "b.n") >= percent * F.greatest("a.n", "b.n")) & (room >= need))
         if step == PIVOT_ROUNDS:
             pairs = pairs.where(F.col("a.cls") < F.col("b.cls"))
-        pairs = pairs.select(F.least("a.cls", "b.cls").alias("x"), F.greatest("a.cls", "b.cls").alias("y")).distinct()
-        found = _verify(cut_lineage(pairs), prep, texts, percent, shingle)
-        edges = found if edges is None else cut_lineage(edges.union(found))
+        pairs = stash(pairs.select(F.col("a.cls").alias("x"), F.col("b.cls").alias("y")).distinct())
+        found = _verify(pairs, classes, texts, percent, shingle)
+        edges = found if edges is None else edges.union(found)
         labels = components(edges).select(F.col("node").alias("cls"), "comp")
     return members, labels
 
 
-def _verify(pairs: DataFrame, prep: DataFrame, texts: DataFrame, percent: int, shingle: int) -> DataFrame:
-    """The pairs ``(x, y)`` of classes that link, as edges ``(a, b)``: suffix filter, then the exact sets."""
-    ranges = prep.groupBy("cls").agg(F.first("ranges").alias("r"), F.first("n").alias("n"))
-    with_r = (pairs.join(ranges.select(F.col("cls").alias("x"), F.col("r").alias("rx"), F.col("n").alias("nx")), "x")
-              .join(ranges.select(F.col("cls").alias("y"), F.col("r").alias("ry"), F.col("n").alias("ny")), "y"))
+def _verify(pairs: DataFrame, classes: DataFrame, texts: DataFrame, percent: int, shingle: int) -> DataFrame:
+    """The pairs ``(x, y)`` of classes that link, as edges ``(a, b)``: suffix filter, then the exact sets.
+
+    x is the side with fewer different classes (pivots): its sets travel once per class, those of y with their pairs.
+    """
+    side = lambda c: classes.select(F.col("cls").alias(c), F.col("ranges").alias(f"r{c}"), F.col("n").alias(f"n{c}"))
+    with_r = pairs.join(side("x"), "x").join(side("y"), "y")
 
     def near(batches: Iterator[pa.RecordBatch]):
         for b in batches:
             if not b.num_rows:
                 continue
-            rx, ry = (np.stack([np.frombuffer(v, "<i4") for v in b.column(k).to_pylist()]) for k in ("rx", "ry"))
+            rx, ry = (np.stack([np.frombuffer(v, "<u2") for v in b.column(k).to_pylist()]).astype(np.int64) for k in ("rx", "ry"))
             n = b.column("nx").to_numpy() + b.column("ny").to_numpy()
             apart = np.abs(rx - ry).sum(1)
             # common = (n - apart) / 2 at most, and union = n - common
             ok = (100 + percent) * (n - apart) >= 2 * percent * n
             yield pa.RecordBatch.from_arrays([b.column("x"), b.column("y")], names=["x", "y"]).filter(pa.array(ok))
 
-    left = cut_lineage(with_r.mapInArrow(near, "x binary, y binary"))
-    used = left.select(F.col("x").alias("cls")).union(left.select(F.col("y").alias("cls"))).distinct()
+    left = stash(with_r.mapInArrow(near, "x bigint, y bigint"))
 
-    def sets(batches: Iterator[pa.RecordBatch]):
-        for b in batches:
-            yield pa.RecordBatch.from_arrays(
-                [b.column(0), pa.array([shingle_set(t.as_py(), shingle).view(np.int64) for t in b.column(1)], pa.list_(pa.int64()))],
-                names=["cls", "set"])
+    def sets_of(c):
+        one = classes.join(left.select(F.col(c).alias("cls")).distinct(), "cls", "left_semi").select("cls", "one.id", "one.rid")
+
+        def sets(batches: Iterator[pa.RecordBatch]):
+            for b in batches:
+                yield pa.RecordBatch.from_arrays(
+                    [b.column(0), pa.array([shingle_set(t.as_py(), shingle).view(np.int64) for t in b.column(1)], pa.list_(pa.int64()))],
+                    names=[c, f"s{c}"])
 
-    one = cut_lineage(used.join(prep.groupBy("cls").agg(F.min("rid").alias("rid")), "cls"))
-    few = one.count() <= BROADCAST_KEYS
-    body = texts.join(F.broadcast(one) if few else one, "rid").select("cls", "text").dropDuplicates(["cls"]).mapInArrow(sets, "cls binary, set array<bigint>")
-    body = cut_lineage(body)
+        return _at(texts, _small(one), "inner").select("cls", "text").mapInArrow(sets, f"{c} bigint, s{c} array<bigint>")
 
     def same(batches: Iterator[pa.RecordBatch]):
         for b in batches:
@@ -212,9 +254,8 @@ def _verify(pairs: DataFrame, prep: DataFrame, texts: DataFrame, percent: int, s
                 ok.append(100 * common >= percent * (len(p) + len(q) - common))
             yield pa.RecordBatch.from_arrays([b.column("x"), b.column("y")], names=["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
-    full = (left.join(body.select(F.col("cls").alias("x"), F.col("set").alias("sx")), "x")
-            .join(body.select(F.col("cls").alias("y"), F.col("set").alias("sy")), "y"))
-    return cut_lineage(full.mapInArrow(same, "a binary, b binary"))
+    full = left.join(sets_of("y"), "y").join(sets_of("x"), "x")
+    return stash(full.mapInArrow(same, "a bigint, b bigint").distinct())
 
 
 def jaccard_groups(docs: DataFrame, percent: int = 80, shingle: int = 5, id_col: str = "doc_id", text: str = "text") -> DataFrame:
@@ -233,7 +274,7 @@ def keep_one(docs: DataFrame, percent: int = 80, shingle: int = 5, id_col: str =
     Rows without shingles all stay.  Rows that share both the smallest id and the
     group are one document given twice: one of them stays.
     """
-    groups = cut_lineage(jaccard_groups(docs, percent, shingle, id_col, text))
+    groups = stash(jaccard_groups(docs, percent, shingle, id_col, text))
     real = groups.where("n_shingles > 0 and component_id is not null")
     drop = real.where("id is null or id <> component_id").select("id", "rid").distinct()
     same = lambda g: F.col("_id").eqNullSafe(F.col(f"{g}.id")) & (F.col("_rid") == F.col(f"{g}.rid"))
