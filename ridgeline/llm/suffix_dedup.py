@@ -165,7 +165,7 @@ def _some(texts: DataFrame, keyed: DataFrame) -> DataFrame:
 
 def _round(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     """``(starts, nodes)``: nodes proven to be repeated, and those that go on with their weight (partners: 2)."""
-    shared = rows.groupBy("core").agg(F.sum("w").alias("n")).where("n > 1").select("core")
+    shared = stash(rows.groupBy("core").agg(F.sum("w").alias("n")).where("n > 1").select("core"))
     alive = stash(rows.join(shared, "core", "left_semi"))
     hulls = stash(alive.groupBy("core", "hull").agg(F.sum("w").alias("n"), F.min(F.struct("tid", "node")).alias("one")))
     sure = hulls.where("n > 1").select("core", "hull")
