@@ -2,7 +2,8 @@
 
 Log rows: ``conv_id, turn, seq, kind, role, text``.  Kinds, applied per turn in
 ``seq`` order: ``message`` and ``edit`` set the text, ``regenerate`` empties it
-(a new answer is streamed next), ``delta`` appends, ``delete`` removes the turn.
+(a new answer is streamed next), ``delta`` appends, ``delete`` removes the turn until a
+``message``, ``edit`` or ``regenerate``.
 Ties in ``seq`` are applied in the order of kind, role and text, so the result
 never depends on the partitioning.
 

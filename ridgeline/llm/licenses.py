@@ -3,8 +3,8 @@
 Template tokens (lower-cased runs of letters, digits and inner ``.+-``) are hashed in
 runs of ``K`` tokens and winnowed (the smallest hash of every ``WINNOW`` consecutive
 runs).  The inverted index hash -> (template, position) is bounded by the templates
-and broadcast.  A text is winnowed the same way; any ``WINNOW + K - 1`` tokens that
-agree with a template share a fingerprint.  Hits of one template whose diagonals lie
+and broadcast.  Every run of a text is looked up (a short notice has one run only); any
+``WINNOW + K - 1`` tokens that agree with a template share a fingerprint.  Hits of one template whose diagonals lie
 within the band are one candidate.  Each candidate is aligned (global for the template,
 free ends in the text) inside a band around its diagonals; unit costs for
 substitution, insertion and deletion.  A match is reported when at least
@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import mix, shingle_hashes, table, word_hashes
+from .common import mix, parts, shingle_hashes, table, word_hashes
 from .license_texts import TEMPLATES
 
 K, WINNOW = 3, 2
@@ -85,7 +85,7 @@ class Index:
 
     def candidates(self, h: np.ndarray, band: int = BAND) -> list[tuple[int, int, int]]:
         """``(template, lowest diagonal, highest diagonal)`` of hits whose diagonals chain within the band."""
-        f, at = fingerprints(h)
+        f, at = fingerprints(h, w=1)
         if not len(f) or not len(self.f):
             return []
         lo, hi = np.searchsorted(self.f, f, "left"), np.searchsorted(self.f, f, "right")
@@ -164,7 +164,7 @@ def scan_licenses(docs: DataFrame, cols: list[str], text: str = "text", template
 
     def run(batches: Iterator[pa.RecordBatch]):
         index = shared.value
-        for b in batches:
+        for b in parts(batches):
             got = [index.scan(t.as_py()) for t in b.column(b.num_columns - 1)]
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array([len(g) for g in got], pa.int64()), pa.array(got, _MATCH)],
                                              names=schema.names)

@@ -20,7 +20,9 @@ def fold_one(events):
     """One turn by replaying its events one at a time."""
     text, role, alive = "", None, False
     for seq, kind, r, t in sorted(set(events), key=lambda e: (e[0], e[1], e[2] or "user", e[3] or "")):
-        role, alive = (r or "user", kind != "delete") if kind != "delta" or not alive else (role, alive)
+        if kind == "delta" and not alive:
+            continue  # a deleted turn takes no more text
+        role, alive = (r or "user", kind != "delete") if kind != "delta" else (role, alive)
         text = {"message": t or "", "edit": t or "", "regenerate": "", "delta": text + (t or ""), "delete": ""}[kind]
     return (role, text) if alive else None
 
