@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import shingle_hashes, table, word_hashes, words_of
+from .common import parts, shingle_hashes, table, word_hashes, words_of
 
 MAX_LABELLED = 20_000
 SYMBOLS = "#*$%&|<>"
@@ -189,7 +189,7 @@ def measure(docs: DataFrame, cols: list[str], text: str = "text") -> DataFrame:
         {"base": F.lit(None).cast("array<bigint>"), "x": F.lit(None).cast("array<double>")}).schema
 
     def run(batches: Iterator[pa.RecordBatch]):
-        for b in batches:
+        for b in parts(batches):
             got = [features(t.as_py()) for t in b.column(b.num_columns - 1)]
             yield pa.RecordBatch.from_arrays(
                 [*b.columns[:-1], pa.array([g[0] for g in got], pa.list_(pa.int64())), pa.array([g[1] for g in got], pa.list_(pa.float64()))],
@@ -202,7 +202,8 @@ def train(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED)
     """The model of a bounded sample of labelled documents (smallest id hashes)."""
     lab = (labels.where("quality is not null and doc_id is not null").groupBy("doc_id").agg(F.min("quality").alias("quality"))
            .orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_labelled))
-    known = measure(docs.select("doc_id", "text").join(lab, "doc_id"), ["doc_id", "quality"])
+    # the sample is bounded, so it goes to the documents and no text is shuffled
+    known = measure(docs.select("doc_id", "text").join(F.broadcast(lab), "doc_id"), ["doc_id", "quality"])
     # documents may share an id; one row per id keeps the bound
     rows = known.groupBy("doc_id").agg(F.min(F.struct("x", "quality")).alias("v")).select("v.*", "doc_id").collect()
     rows.sort(key=lambda r: r["doc_id"])
@@ -221,7 +222,7 @@ def judge(docs: DataFrame, forest: Forest, cols: list[str], threshold: float = T
     schema = given.drop("_measured").withColumns({c: F.lit(None).cast(t) for c, t in add.items()}).schema
 
     def run(batches: Iterator[pa.RecordBatch]):
-        for b in batches:
+        for b in parts(batches):
             got = [features(t.as_py()) for t in b.column(b.num_columns - 1)]
             base = np.array([g[0] for g in got], np.int64).reshape(len(got), 5)
             failed = (base[:, 0] < MIN_WORDS) | (100 * base[:, 4] > REPEAT_PERCENT * base[:, 0])
