@@ -105,6 +105,13 @@ def flat_lists(col) -> tuple[np.ndarray, np.ndarray]:
     return col.values.to_numpy(zero_copy_only=False), off
 
 
+def parts(batches, rows: int = 256):
+    """Arrow batches in slices of few rows, so that a task never holds the results of thousands of texts."""
+    for b in batches:
+        for k in range(0, b.num_rows, rows):
+            yield b.slice(k, rows)
+
+
 def stash(df: DataFrame) -> DataFrame:
     """``df`` written once as parquet in the shared folder and read back (compressed, lineage cut)."""
     path = scratch_path(df.sparkSession, "t")

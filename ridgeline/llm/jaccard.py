@@ -39,7 +39,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import components, cut_lineage, lower_words, shingle_hashes, stash, table, word_hashes
+from .common import components, lower_words, parts, shingle_hashes, stash, table, word_hashes
 
 COUNTERS = 1 << 18
 CHUNK = 1 << 12
@@ -80,7 +80,7 @@ def _first_pass(texts: DataFrame, shingle: int) -> tuple[DataFrame, np.ndarray]:
 
     def read(batches: Iterator[pa.RecordBatch]):
         total = np.zeros(COUNTERS, np.int64)
-        for b in batches:
+        for b in parts(batches):
             cls, size, ranges, held, waiting = [], [], [], [], 0
             for t in b.column(2):
                 s = shingle_set(t.as_py(), shingle)
@@ -164,7 +164,7 @@ def link_classes(texts: DataFrame, percent: int, shingle: int) -> tuple[DataFram
     marked = _at(texts, _small(marks.distinct()), "left").where("coalesce(stands, true)")
 
     def prefix(batches: Iterator[pa.RecordBatch]):
-        for b in batches:
+        for b in parts(batches):
             key, cls, size, place, many = [], [], [], [], []
             for t, k in zip(b.column(0), b.column(1).to_pylist()):
                 s = shingle_set(t.as_py(), shingle)
@@ -238,7 +238,7 @@ def _verify(pairs: DataFrame, classes: DataFrame, texts: DataFrame, percent: int
         one = classes.join(left.select(F.col(c).alias("cls")).distinct(), "cls", "left_semi").select("cls", "one.id", "one.rid")
 
         def sets(batches: Iterator[pa.RecordBatch]):
-            for b in batches:
+            for b in parts(batches):
                 yield pa.RecordBatch.from_arrays(
                     [b.column(0), pa.array([shingle_set(t.as_py(), shingle).view(np.int64) for t in b.column(1)], pa.list_(pa.int64()))],
                     names=[c, f"s{c}"])
@@ -246,7 +246,7 @@ def _verify(pairs: DataFrame, classes: DataFrame, texts: DataFrame, percent: int
         return _at(texts, _small(one), "inner").select("cls", "text").mapInArrow(sets, f"{c} bigint, s{c} array<bigint>")
 
     def same(batches: Iterator[pa.RecordBatch]):
-        for b in batches:
+        for b in parts(batches):
             ok = []
             for p, q in zip(b.column("sx"), b.column("sy")):
                 p, q = (np.asarray(v.values).view(np.uint64) for v in (p, q))
@@ -276,7 +276,7 @@ def keep_one(docs: DataFrame, percent: int = 80, shingle: int = 5, id_col: str =
     """
     groups = stash(jaccard_groups(docs, percent, shingle, id_col, text))
     real = groups.where("n_shingles > 0 and component_id is not null")
-    drop = real.where("id is null or id <> component_id").select("id", "rid").distinct()
+    drop = _small(real.where("id is null or id <> component_id").select("id", "rid").distinct())
     same = lambda g: F.col("_id").eqNullSafe(F.col(f"{g}.id")) & (F.col("_rid") == F.col(f"{g}.rid"))
     name = {c: f"_c{i}" for i, c in enumerate(docs.columns)}
     safe = docs.select(*[F.col(f"`{c}`").alias(n) for c, n in name.items()])
@@ -285,7 +285,7 @@ def keep_one(docs: DataFrame, percent: int = 80, shingle: int = 5, id_col: str =
     twice = (real.where("id = component_id").groupBy("component_id").agg(F.count(F.lit(1)).alias("k")).where("k > 1")
              .select(F.col("component_id").alias("id")))
     again = groups.where("n_shingles > 0").join(twice, "id", "left_semi").select("id", "rid").distinct()
-    again = cut_lineage(again)
+    again = _small(again)
     plain = kept.join(again.alias("t"), same("t"), "left_anti")
     dup = kept.join(again.alias("t"), same("t"), "left_semi").dropDuplicates(["_id"])
     return plain.unionByName(dup).select(*[F.col(n).alias(c) for c, n in name.items()])

@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut_lineage, stash, table
+from .common import cut_lineage, parts, stash, table
 
 MIN_WORDS = 50
 BROADCAST_KEYS = 1_000_000  # document keys (id, text hash) sent to every executor at most
@@ -166,7 +166,7 @@ def find_blocks(docs: DataFrame, id_col: str = "doc_id", text: str = "text", min
     key_type = dict(keyed.dtypes)["key"]
 
     def read(batches: Iterator[pa.RecordBatch]):
-        for b in batches:
+        for b in parts(batches):
             got = [read_lines(t.as_py()) for t in b.column(1)]
             rs = [runs(h, n, min_words) for _, h, n in got]
             yield pa.RecordBatch.from_arrays(
@@ -184,7 +184,7 @@ def find_blocks(docs: DataFrame, id_col: str = "doc_id", text: str = "text", min
     body = lines.select("key", "at", "h", "n").dropDuplicates(["key"]).join(shared, "key")
 
     def shorten(batches: Iterator[pa.RecordBatch]):
-        for b in batches:
+        for b in parts(batches):
             out = []
             for at, h, n, spots in zip(*(b.column(c).to_pylist() for c in ("at", "h", "n", "spots"))):
                 use = sorted({k for s in spots for k in range(s["i"], s["j"] + 1)})
@@ -201,7 +201,7 @@ def find_blocks(docs: DataFrame, id_col: str = "doc_id", text: str = "text", min
             .join(short.select("key", "no", "at", "h", "n"), "key"))
 
     def align(batches: Iterator[pa.RecordBatch]):
-        for b in batches:
+        for b in parts(batches):
             out = []
             for no_a, h_a, no, at, h, n in zip(*(b.column(c).to_pylist() for c in ("no_a", "h_a", "no", "at", "h", "n"))):
                 out.append([at[k] for p, q in common_blocks(no_a, h_a, no, h, n, min_words) for k in range(p, q + 1)])

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import parts, table
 
 SPACE = "\u2581"
 HELD = "\ud800"  # stands for a U+2581 of the text; cannot occur in valid UTF-8
@@ -167,7 +167,7 @@ def _by_batch(df: DataFrame, add: dict[str, str], fn) -> DataFrame:
     schema = df.limit(0).selectExpr("*", *[f"cast(null as {t}) as `{c}`" for c, t in add.items()]).schema
 
     def run(batches: Iterator[pa.RecordBatch]):
-        for b in batches:
+        for b in parts(batches):
             yield pa.RecordBatch.from_arrays([*b.columns, *fn(b)], names=[*b.schema.names, *add])
 
     return df.mapInArrow(run, schema)
