@@ -30,6 +30,7 @@ WINDOW = 13
 MIN_TOKENS = 8
 SIMILARITY_PERCENT = 80
 BROADCAST_SEEDS = 1_000_000  # seeds of the benchmark sent to every executor at most (about 32 MB)
+BROADCAST_TEXTS = 1_000_000  # keys of texts with a hit sent to every executor at most (about 32 MB)
 
 
 def _tokens(text) -> F.Column:
@@ -78,7 +79,9 @@ def find_overlaps(docs: DataFrame, benchmark: DataFrame, text: str = "text", ite
     hits = (spots.join(F.broadcast(seeds) if small else seeds, "seed")
             .select("_k1", "_k2", "item_row", (F.col("pos") - F.col("ipos")).alias("start")).distinct())
     hits = cut_lineage(hits)
-    hit_texts = hits.select("_k1", "_k2").distinct()
+    hit_texts = cut_lineage(hits.select("_k1", "_k2").distinct())
+    if hit_texts.count() <= BROADCAST_TEXTS:
+        hit_texts = F.broadcast(hit_texts)
     body = words.join(hit_texts, ["_k1", "_k2"], "left_semi").dropDuplicates(["_k1", "_k2"])
     pairs = hits.join(F.broadcast(items) if small else items, "item_row").join(body, ["_k1", "_k2"])
     eq = F.transform("it", lambda w, j: F.coalesce((F.get("dt", j + F.col("start")) == w).cast("int"), F.lit(0)))
@@ -109,7 +112,9 @@ def flag(docs: DataFrame, benchmark: DataFrame, text: str = "text") -> DataFrame
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, text: str = "text") -> DataFrame:
     """``docs`` without the contaminated rows, columns unchanged."""
-    found = find_overlaps(docs, benchmark, text).select("_k1", "_k2").distinct()
+    found = cut_lineage(find_overlaps(docs, benchmark, text).select("_k1", "_k2").distinct())
+    if found.count() <= BROADCAST_TEXTS:
+        found = F.broadcast(found)
     return (docs.select("*", *_keys(F.col(text))).join(found, ["_k1", "_k2"], "left_anti")
             .select(*[F.col(f"`{c}`") for c in docs.columns]))
 
