@@ -21,8 +21,8 @@ other member is paired with it: linear in the list.  Linked classes merge.
 Members of one component need no more tests among themselves, lists
 with one component left are done, and the next round picks another pivot.  After
 ``PIVOT_ROUNDS`` rounds all pairs of a list that are still in different
-components and pass the filters are tested: so no link between components is missed,
-and components equal those of the full join.
+components and pass the filters are tested, each at its first common shingle only: so no link
+between components is missed, and components equal those of the full join.
 
 Null and empty texts, and texts of white space, have empty sets: each is its own
 component.  Rows with a null id keep a null component unless they link with an id.
@@ -197,15 +197,22 @@ def link_classes(texts: DataFrame, percent: int, shingle: int) -> tuple[DataFram
         if step < PIVOT_ROUNDS:
             left = lists.select("key", "cls", "n", "i", "c")
         else:
-            left = here.join(lists.select("key"), "key", "left_semi").select("key", "cls", "n", "i", "c")
+            # every pair once, at its first common key, where the positional filter is sharpest: each member
+            # carries its own earlier keys (at most a prefix), and lists that share an earlier one pass
+            here = stash(here.join(lists.select("key"), "key", "left_semi").select("key", "cls", "n", "i", "c"))
+            own = here.groupBy("cls").agg(F.collect_list(F.struct("i", "key")).alias("own"))
+            here = (here.join(own, "cls").withColumn("before", F.expr("transform(filter(own, x -> x.i < i), x -> x.key)"))
+                    .select("key", "cls", "n", "i", "c", "before"))
+            left = here
         a, b = left.alias("a"), here.alias("b")
         both = F.col("a.n") + F.col("b.n")
         need = F.ceil(both * percent / F.lit(100 + percent))
         room = 1 + F.least(F.col("a.n") - F.col("a.i") - 1, F.col("b.n") - F.col("b.i") - 1)
-        pairs = a.join(b, (F.col("a.key") == F.col("b.key")) & (F.col("a.c") != F.col("b.c")) & (F.col("a.cls") != F.col("b.cls"))
-                       & (100 * F.least("a.n", "b.n") >= percent * F.greatest("a.n", "b.n")) & (room >= need))
+        on = ((F.col("a.key") == F.col("b.key")) & (F.col("a.c") != F.col("b.c")) & (F.col("a.cls") != F.col("b.cls"))
+              & (100 * F.least("a.n", "b.n") >= percent * F.greatest("a.n", "b.n")) & (room >= need))
         if step == PIVOT_ROUNDS:
-            pairs = pairs.where(F.col("a.cls") < F.col("b.cls"))
+            on = on & (F.col("a.cls") < F.col("b.cls")) & ~F.arrays_overlap("a.before", "b.before")
+        pairs = a.join(b, on)
         pairs = stash(pairs.select(F.col("a.cls").alias("x"), F.col("b.cls").alias("y")).distinct())
         found = _verify(pairs, classes, texts, percent, shingle)
         edges = found if edges is None else edges.union(found)
