@@ -1,10 +1,12 @@
 """Line dedup by pairwise alignment.
 
 Lines are compared with their white space collapsed; lines without a word do not count.  A
-*run* is a line with as many following lines as it takes to reach ``min_words`` (50) words, so
+*run* is a line with as many following lines, or as many lines before it, as it takes to reach
+``min_words`` (50) words, so
 that a frequent short line is only ever looked at together with its rarer neighbours: the
-hash of a run is the rare hash by which overlapping documents are found.  No run
-is left out for being frequent.  Documents are ordered by id (nulls last, then by
+hash of a run is the rare hash by which overlapping documents are found.  Runs of both directions
+cover every line of a common block: the run from its first line those up to 50 words, and the
+runs that end at them the rest.  No run is left out for being frequent.  Documents are ordered by id (nulls last, then by
 text); every shared run points from a later document to its first holder, one pair per document
 and holder, so a group of copies gives pairs linear in its size.
 
@@ -51,17 +53,26 @@ def read_lines(text: str | None) -> tuple[list[int], list[int], list[int]]:
 
 
 def runs(h: list[int], n: list[int], min_words: int) -> list[tuple[int, int, int]]:
-    """``(hash, first, last)`` of the shortest run from every line that has ``min_words`` words."""
-    out, end, total = [], 0, 0
+    """``(hash, first, last)`` of the shortest run that has ``min_words`` words from every line on, then up to every line."""
+    spans, end, total = [], 0, 0
     for k in range(len(h)):
         while end < len(h) and total < min_words:
             total += n[end]
             end += 1
         if total < min_words:
             break
-        out.append((xxhash.xxh3_64_intdigest(np.array(h[k:end], np.int64).tobytes()) - (1 << 63), k, end - 1))
+        spans.append((k, end - 1))
         total -= n[k]
-    return out
+    start, total = 0, 0
+    for k in range(len(h)):
+        total += n[k]
+        while total - n[start] >= min_words:
+            total -= n[start]
+            start += 1
+        if total >= min_words:
+            spans.append((start, k))
+    lines = np.array(h, np.int64)
+    return [(xxhash.xxh3_64_intdigest(lines[p:q + 1].tobytes()) - (1 << 63), p, q) for p, q in dict.fromkeys(spans)]
 
 
 def _chain(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:

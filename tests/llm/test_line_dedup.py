@@ -63,3 +63,53 @@ def test_query_at_small_scale(spark):
     want = brute(rows, L.MIN_WORDS)
     got = {r["doc_id"]: r["kept_chars"] for r in out.collect()}
     assert got == {i: len(want[i, t] or "") for i, t in rows}
+
+
+def blocks_brute(rows, min_words):
+    """Kept text per (id, text) when every line of a maximal common line block with an earlier document goes."""
+    import hashlib
+    order = sorted({(r[0] is None, r[0] or 0, hashlib.md5((r[1] or "").encode()).hexdigest(), r[1]) for r in rows}, key=lambda r: r[:3])
+    read = [(late, i, text, *L.read_lines(text)) for late, i, _, text in order]
+    out = {}
+    for k, (late, i, text, at, h, n) in enumerate(read):
+        gone = set()
+        for *_, other, _ in read[:k]:
+            for d in range(-len(other) + 1, len(h)):  # diagonals: h[j] against other[j - d]
+                j = max(d, 0)
+                while j < min(len(h), len(other) + d):
+                    q = j
+                    while q < min(len(h), len(other) + d) and h[q] == other[q - d]:
+                        q += 1
+                    if sum(n[j:q]) >= min_words:
+                        gone.update(at[j:q])
+                    j = max(q, j + 1)
+        out[(None if late else i, text)] = L.delete_lines(text or "", sorted(gone)) if gone else text
+    return out
+
+
+def _text(*lines):
+    return "\n".join(" ".join(f"{name}{k}" for k in range(words)) for name, words in lines)
+
+
+def test_ends_of_blocks_go(spark):
+    copy = _text(("a", 10), ("b", 22), ("c", 93), ("d", 2))
+    rows = [(4, copy), (5, copy), (6, _text(("x", 60))), (7, _text(("x", 60), ("t", 3), ("u", 4))), (8, _text(("z", 5), ("x", 60), ("t", 3), ("v", 70))),
+            (9, _text(("e", 30), ("f", 10), ("g", 30))), (10, _text(("h", 9), ("e", 30), ("f", 10), ("g", 30), ("i", 1)))]
+    df = spark.createDataFrame([(i, t, len(t)) for i, t in rows], "doc_id bigint, text string, n_chars bigint").repartition(3)
+    got = {r["doc_id"]: r["text"] for r in L.drop_common_blocks(df).collect()}
+    want = blocks_brute(rows, 50)
+    assert got == {i: want[i, t] for i, t in rows if want[i, t].split()}
+    assert 5 not in got and got[7] == _text(("t", 3), ("u", 4)) and got[8] == _text(("z", 5), ("v", 70))
+
+
+def test_query_equals_maximal_blocks(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    rows = [(r["doc_id"], r["text"]) for r in docs.collect()]
+    want = blocks_brute(rows, L.MIN_WORDS)
+    got = {r["doc_id"]: r["kept_chars"] for r in L.op1_lines(spark, "/root/testdata/sf0.001").collect()}
+    assert got == {i: len(want[i, t] or "") for i, t in rows}
+
+
+def test_runs_of_both_directions_cover_every_line():
+    h, n = [1, 2, 3, 4], [10, 22, 93, 2]
+    assert [(a, b) for _, a, b in L.runs(h, n, 50)] == [(0, 2), (1, 2), (2, 2), (2, 3)]
