@@ -24,6 +24,12 @@ with one component left are done, and the next round picks another pivot.  After
 components and pass the filters are tested, each at its first common shingle only: so no link
 between components is missed, and components equal those of the full join.
 
+Links (``jaccard_links``): every link lies inside a component, so the number of links per row comes
+from all pairs of a component's classes, each verified once.  A component's classes are dealt into
+blocks of about ``BLOCK``; every two blocks meet in one task, which holds their texts and sends back sums per
+class.  So no pair becomes a row, and a large group is spread over as many tasks as it has pairs of blocks.
+Exact copies link by multiplicity, a row not with itself.
+
 Null and empty texts, and texts of white space, have empty sets: each is its own
 component.  Rows with a null id keep a null component unless they link with an id.
 Repeated rows come back each.  Extra columns are ignored.  Shingles and classes are told apart by 64-bit hashes.
@@ -45,6 +51,7 @@ COUNTERS = 1 << 18
 CHUNK = 1 << 12
 PIVOT_ROUNDS = 2
 RANGES = 64
+BLOCK = 128  # classes of a component that meet those of another block in a task, about
 
 
 def shingle_set(text: str | None, n: int) -> np.ndarray:
@@ -146,10 +153,11 @@ def _at(left: DataFrame, right: DataFrame, how: str) -> DataFrame:
     return out.drop("_rid_id", "_rid_key")
 
 
-def link_classes(texts: DataFrame, percent: int, shingle: int) -> tuple[DataFrame, DataFrame]:
-    """``(members, labels)`` of a frame with columns ``id`` and ``text``.
+def link_classes(texts: DataFrame, percent: int, shingle: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """``(members, labels, classes)`` of a frame with columns ``id`` and ``text``.
 
-    members: ``id, rid, cls, n`` per row; labels: ``cls, comp`` for the classes that link with another.
+    members: ``id, rid, cls, n`` per row; labels: ``cls, comp`` for the classes that link with another;
+    classes: ``cls, copies, one`` (and filter columns) per class with shingles.
     """
     spark = texts.sparkSession
     texts = texts.select("id", _key("text"), "text")
@@ -217,7 +225,7 @@ def link_classes(texts: DataFrame, percent: int, shingle: int) -> tuple[DataFram
         found = _verify(pairs, classes, texts, percent, shingle)
         edges = found if edges is None else edges.union(found)
         labels = components(edges).select(F.col("node").alias("cls"), "comp")
-    return members, labels
+    return members, labels, classes
 
 
 def _verify(pairs: DataFrame, classes: DataFrame, texts: DataFrame, percent: int, shingle: int) -> DataFrame:
@@ -265,14 +273,76 @@ def _verify(pairs: DataFrame, classes: DataFrame, texts: DataFrame, percent: int
     return stash(full.mapInArrow(same, "a bigint, b bigint").distinct())
 
 
-def jaccard_groups(docs: DataFrame, percent: int = 80, shingle: int = 5, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """Per row: ``id, rid`` (md5 of the text)``, n_shingles, component_id`` (smallest id of the component)."""
-    members, labels = link_classes(docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text}`").alias("text")), percent, shingle)
+def _pair_sums(cls: list[int], sets: list[np.ndarray], copies: np.ndarray, side: np.ndarray, percent: int) -> np.ndarray:
+    """Rows that every class links with among the pairs of sides 0 and 1 (all pairs when there is one side)."""
+    values, place = np.unique(np.concatenate(sets), return_inverse=True)
+    owner = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+    order = np.argsort(place, kind="stable")
+    owner = owner[order]
+    ends = np.cumsum(np.bincount(place, minlength=len(values)))
+    k = len(cls)
+    common = np.zeros((k, k), np.int32)
+    for p, q in zip(np.concatenate([[0], ends[:-1]]).tolist(), ends.tolist()):
+        if q - p > 1:
+            who = owner[p:q]
+            common[np.ix_(who, who)] += 1
+    n = np.array([len(s) for s in sets])
+    link = 100 * common.astype(np.int64) >= percent * (n[:, None] + n[None, :] - common)
+    link &= ~np.eye(k, dtype=bool)
+    if side.any() and not side.all():
+        link &= side[:, None] != side[None, :]
+    return link.astype(np.int64) @ copies
+
+
+def class_links(texts: DataFrame, labels: DataFrame, classes: DataFrame, percent: int, shingle: int) -> DataFrame:
+    """``cls, far``: rows of other classes that a class links with, from every pair of a component's classes once."""
+    texts = texts.select("id", _key("text"), "text")
+    big = labels.groupBy("comp").agg(F.count(F.lit(1)).alias("k")).where(F.col("k") > BLOCK)
+    big = _small(big.select("comp", F.ceil(F.col("k") / BLOCK).cast("int").alias("blocks")))
+    # block p meets every block q: a class of block b goes to (b, q) for q >= b and to (p, b) for p < b
+    dealt = (labels.join(big, "comp", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+             .withColumn("b", F.pmod(F.xxhash64("cls", F.lit(7)), F.col("blocks")).cast("int")))
+    one = dealt.join(classes.select("cls", "copies", "one"), "cls").select("cls", "one.id", "one.rid", "comp", "copies", "blocks", "b")
+    held = _at(texts, _small(one), "inner").select("cls", "comp", "copies", "blocks", "b", "text").dropDuplicates(["cls"])
+    met = (held.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+           .select("comp", F.least("b", "o").alias("p"), F.greatest("b", "o").alias("q"), "b", "cls", "copies", "text"))
+
+    def links(group: pa.Table) -> pa.Table:
+        cls, b, p = (group.column(c).to_pylist() for c in ("cls", "b", "p"))
+        sets = [shingle_set(t.as_py(), shingle) for t in group.column("text")]
+        pairs_of = group.column("q")[0].as_py() != p[0]
+        side = np.array([x != p[0] for x in b])
+        far = np.zeros(len(cls), np.int64)
+        if not pairs_of or (side.any() and not side.all()):
+            far = _pair_sums(cls, sets, group.column("copies").to_numpy().astype(np.int64), side, percent)
+        return pa.table({"cls": pa.array(cls, pa.int64()), "far": pa.array(far, pa.int64())})
+
+    sums = met.groupBy("comp", "p", "q").applyInArrow(links, "cls bigint, far bigint")
+    return stash(sums.where("far > 0").groupBy("cls").agg(F.sum("far").alias("far")))
+
+
+def _rows(members: DataFrame, labels: DataFrame, *more: str) -> DataFrame:
+    """Per row: ``id, rid, n_shingles, component_id`` and the columns ``more`` of ``labels``."""
     rows = members.join(labels, "cls", "left").withColumn("comp", F.coalesce("comp", "cls"))
     least = rows.where("n > 0").groupBy("comp").agg(F.min("id").alias("first"))
     return (rows.join(least, "comp", "left")
             .select("id", "rid", F.col("n").alias("n_shingles"),
-                    F.when(F.col("n") > 0, F.col("first")).otherwise(F.col("id")).alias("component_id")))
+                    F.when(F.col("n") > 0, F.col("first")).otherwise(F.col("id")).alias("component_id"), *more))
+
+
+def jaccard_groups(docs: DataFrame, percent: int = 80, shingle: int = 5, id_col: str = "doc_id", text: str = "text") -> DataFrame:
+    """Per row: ``id, rid`` (md5 of the text)``, n_shingles, component_id`` (smallest id of the component)."""
+    members, labels, _ = link_classes(docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text}`").alias("text")), percent, shingle)
+    return _rows(members, labels)
+
+
+def jaccard_links(docs: DataFrame, percent: int = 80, shingle: int = 5, id_col: str = "doc_id", text: str = "text") -> DataFrame:
+    """As :func:`jaccard_groups`, with ``n_links``: the other rows that a row links with (0 without shingles)."""
+    texts = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text}`").alias("text"))
+    members, labels, classes = link_classes(texts, percent, shingle)
+    per_class = (classes.select("cls", "copies").join(labels, "cls", "left").join(class_links(texts, labels, classes, percent, shingle), "cls", "left")
+                 .select("cls", F.coalesce("comp", "cls").alias("comp"), (F.col("copies") - 1 + F.coalesce("far", F.lit(0))).alias("links")))
+    return _rows(members, per_class, "links").withColumn("n_links", F.coalesce("links", F.lit(0)).cast("bigint")).drop("links")
 
 
 def keep_one(docs: DataFrame, percent: int = 80, shingle: int = 5, id_col: str = "doc_id", text: str = "text") -> DataFrame:
@@ -302,3 +372,9 @@ def op8_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components of the 85 % Jaccard join on 4-word shingles over all documents."""
     out = jaccard_groups(table(spark, sf_dir, "documents"), percent=85, shingle=4)
     return out.select(F.col("id").alias("doc_id"), "n_shingles", "component_id")
+
+
+def op8_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As ``op8_jaccard``, with the number of other documents that each links with."""
+    out = jaccard_links(table(spark, sf_dir, "documents"), percent=85, shingle=4)
+    return out.select(F.col("id").alias("doc_id"), "n_shingles", "component_id", "n_links")

@@ -6,7 +6,7 @@ import corpus_pipeline
 
 from .chat import op4_chat
 from .decontaminate import op5_decontaminate
-from .jaccard import op8_jaccard
+from .jaccard import op8_jaccard, op8_links
 from .licenses import op2_licenses
 from .line_dedup import op1_lines
 from .pieces import op10_pieces
@@ -24,6 +24,7 @@ QUERIES = {
     "op6_suffix_dedup": op6_suffixes,
     "op7_quality_rules": op7_quality,
     "op8_jaccard_join": op8_jaccard,
+    "op8_jaccard_links": op8_links,
     "op9_sharding": op9_shards,
     "op10_sentencepiece": op10_pieces,
     "pipeline": corpus_pipeline.run,

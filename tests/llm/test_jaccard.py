@@ -60,3 +60,29 @@ def test_keep_one(docs, rows, none):
 def test_prefix_size():
     for n in range(1, 200):
         assert 1 <= J.prefix_size(n, 85) <= n and 100 * (n - J.prefix_size(n, 85) + 1) >= 85 * n
+
+
+def links_brute(rows, percent, n):
+    """(id, size, rows linked with) per row, by all pairs."""
+    s = [shingles(r[1], n) for r in rows]
+    near = lambda x, y: bool(x and y) and 100 * len(x & y) >= percent * len(x | y)
+    return Counter((r[0], len(s[i]), sum(near(s[i], s[j]) for j in range(len(rows)) if j != i)) for i, r in enumerate(rows))
+
+
+@pytest.mark.parametrize("percent,n", [(85, 4), (60, 2)])
+def test_links_equal_all_pairs(docs, rows, none, percent, n):
+    got = Counter((r["id"], r["n_shingles"], r["n_links"]) for r in J.jaccard_links(docs, percent, n).collect())
+    assert got == links_brute(rows, percent, n)
+    assert J.jaccard_links(none, percent, n).count() == 0
+
+
+def test_links_inside_a_hot_group(spark, monkeypatch):
+    monkeypatch.setattr(J, "BLOCK", 16)
+    base = [f"w{i}" for i in range(60)]
+    rows = [(k, " ".join([*base[:k % 50], f"new{k}", *base[k % 50 + 1:]]) if k else " ".join(base)) for k in range(120)]
+    rows += [(300 + k, rows[k % 3][1]) for k in range(9)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(7)
+    got = J.jaccard_links(df, 85, 4).collect()
+    assert Counter((r["id"], r["n_shingles"], r["n_links"]) for r in got) == links_brute(rows, 85, 4)
+    assert Counter((r["id"], r["n_shingles"], r["component_id"]) for r in got) == brute(rows, 85, 4)
+    assert sum(r["n_links"] for r in got) > 2 * len(rows)
