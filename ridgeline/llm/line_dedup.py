@@ -12,7 +12,8 @@ and holder, so a group of copies gives pairs linear in its size.
 
 Each pair is aligned by patience diff: lines that occur once on both sides, their
 longest increasing chain, recursion between the links, common heads and tails; what
-is left of the later document is aligned again until nothing is found, so moved blocks count.  Only the
+is left of the later document is aligned again until nothing is found, so moved blocks count; lines
+inside runs that both documents have go too where a chain of other lines passed them over.  Only the
 lines inside shared runs travel, with their places.  Aligned blocks of neighbouring lines with at
 least ``min_words`` words are deleted from the later document.  Every deleted line stays
 in an earlier one, because blocks are judged on the input and point to earlier documents only.
@@ -165,6 +166,22 @@ def common_blocks(pa_: list[int], a: list[int], pb: list[int], b: list[int], n:
     return sorted(found)
 
 
+def shared_lines(pa_: list[int], a: list[int], pb: list[int], b: list[int], n: list[int], min_words: int) -> set[int]:
+    """Indexes into b of the lines inside runs that a has too, whatever their order."""
+    words = dict(zip(b, n))
+
+    def spots(at, lines):
+        start = 0
+        for k in range(1, len(lines) + 1):
+            if k == len(lines) or at[k] != at[k - 1] + 1:
+                for r, p, q in runs(lines[start:k], [words.get(x, 0) for x in lines[start:k]], min_words):
+                    yield r, start + p, start + q
+                start = k
+
+    known = {r for r, _, _ in spots(pa_, a)}
+    return {k for r, p, q in spots(pb, b) if r in known for k in range(p, q + 1)}
+
+
 def _keyed(docs: DataFrame, id_col: str, text: str) -> DataFrame:
     body = F.coalesce(F.col(f"`{text}`"), F.lit(""))
     key = F.struct(F.col(f"`{id_col}`").isNull().alias("late"), F.col(f"`{id_col}`").alias("id"), F.md5(body).alias("tid"))
@@ -215,7 +232,10 @@ def find_blocks(docs: DataFrame, id_col: str = "doc_id", text: str = "text", min
         for b in parts(batches):
             out = []
             for no_a, h_a, no, at, h, n in zip(*(b.column(c).to_pylist() for c in ("no_a", "h_a", "no", "at", "h", "n"))):
-                out.append([at[k] for p, q in common_blocks(no_a, h_a, no, h, n, min_words) for k in range(p, q + 1)])
+                gone = {k for p, q in common_blocks(no_a, h_a, no, h, n, min_words) for k in range(p, q + 1)}
+                if len(gone) < len(h):  # blocks that the chains of the alignment passed over
+                    gone |= shared_lines(no_a, h_a, no, h, n, min_words)
+                out.append([at[k] for k in sorted(gone)])
             yield pa.RecordBatch.from_arrays([b.column("key"), b.column("first"), pa.array(out, pa.list_(pa.int32()))], names=["key", "first", "lines"])
 
     found = both.mapInArrow(align, f"key {key_type}, first {key_type}, lines array<int>").where("size(lines) > 0")

@@ -113,3 +113,22 @@ def test_query_equals_maximal_blocks(spark):
 def test_runs_of_both_directions_cover_every_line():
     h, n = [1, 2, 3, 4], [10, 22, 93, 2]
     assert [(a, b) for _, a, b in L.runs(h, n, 50)] == [(0, 2), (1, 2), (2, 2), (2, 3)]
+
+
+def test_blocks_passed_over_by_the_chain():
+    a, b, n = [1, 2, 9], [9, 1, 5, 2], [60, 3, 2, 3]
+    assert L.common_blocks([0, 1, 2], a, [0, 1, 2, 3], b, n, 50) == []
+    assert L.shared_lines([0, 1, 2], a, [0, 1, 2, 3], b, n, 50) == {0}
+    assert L.shared_lines(list(range(5)), [1, 2, 1, 2, 3], [0, 1, 2], [1, 2, 3], [20, 20, 20], 50) == {0, 1, 2}
+    assert L.shared_lines([0, 2], [1, 2], [0, 1], [1, 2], [30, 30], 50) == set()
+
+
+def test_moved_block_behind_scattered_lines_goes(spark):
+    s1, s2, block, v, w, x = ("s", 3), ("t", 4), ("p", 60), ("v", 50), ("w", 50), ("x", 50)
+    rows = [(0, _text(v, s1, s2)), (1, _text(s1, x)), (2, _text(s2, w)), (3, _text(v, s1, s2, block)), (4, _text(block, s1, x, s2, w))]
+    assert L.common_blocks([0, 1, 2, 3], [1, 2, 3, 4], list(range(5)), [4, 2, 5, 3, 6], [60, 3, 50, 4, 50], 50) == []
+    df = spark.createDataFrame([(i, t, len(t)) for i, t in rows], "doc_id bigint, text string, n_chars bigint").repartition(3)
+    got = {r["doc_id"]: r["text"] for r in L.drop_common_blocks(df).collect()}
+    want = blocks_brute(rows, 50)
+    assert got == {i: want[i, t] for i, t in rows if want[i, t].split()}
+    assert 4 not in got
