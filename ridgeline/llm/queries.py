@@ -9,11 +9,13 @@ from .decontaminate import op5_decontaminate
 from .jaccard import op8_jaccard, op8_links
 from .licenses import op2_licenses
 from .line_dedup import op1_lines
+from .merkle import op13_merkle
 from .pieces import op10_pieces
 from .pitman_yor import op3_pitman_yor
 from .quality import op7_quality
 from .sharding import op9_shards
 from .suffix_dedup import op6_suffixes
+from .twins import MERKLE
 
 QUERIES = {
     "op1_line_dedup": op1_lines,
@@ -27,6 +29,7 @@ QUERIES = {
     "op8_jaccard_links": op8_links,
     "op9_sharding": op9_shards,
     "op10_sentencepiece": op10_pieces,
+    "op13_merkle_manifest": op13_merkle,
     "pipeline": corpus_pipeline.run,
 }
 
@@ -86,4 +89,5 @@ reach AS (
   UNION SELECT reach.a, links.b FROM reach JOIN links ON links.a = reach.b)
 SELECT reach.a AS doc_id, CAST(coalesce(any_value(n.n), 0) AS BIGINT) AS n_shingles, min(reach.b) AS component_id
 FROM reach LEFT JOIN n ON n.doc_id = reach.a GROUP BY reach.a""",
+    "op13_merkle_manifest": MERKLE,
 }
