@@ -14,8 +14,9 @@ from .pieces import op10_pieces
 from .pitman_yor import op3_pitman_yor
 from .quality import op7_quality
 from .sharding import op9_shards
+from .spelling import op11_spelling
 from .suffix_dedup import op6_suffixes
-from .twins import MERKLE
+from .twins import MERKLE, SPELLING
 
 QUERIES = {
     "op1_line_dedup": op1_lines,
@@ -29,6 +30,7 @@ QUERIES = {
     "op8_jaccard_links": op8_links,
     "op9_sharding": op9_shards,
     "op10_sentencepiece": op10_pieces,
+    "op11_spelling_variants": op11_spelling,
     "op13_merkle_manifest": op13_merkle,
     "pipeline": corpus_pipeline.run,
 }
@@ -89,5 +91,6 @@ reach AS (
   UNION SELECT reach.a, links.b FROM reach JOIN links ON links.a = reach.b)
 SELECT reach.a AS doc_id, CAST(coalesce(any_value(n.n), 0) AS BIGINT) AS n_shingles, min(reach.b) AS component_id
 FROM reach LEFT JOIN n ON n.doc_id = reach.a GROUP BY reach.a""",
+    "op11_spelling_variants": SPELLING,
     "op13_merkle_manifest": MERKLE,
 }

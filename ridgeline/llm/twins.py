@@ -52,3 +52,39 @@ done AS (SELECT g, leaf_pos, node, proof FROM up WHERE tree = '#' AND lvl = (SEL
 SELECT doc_id, leaves.h AS leaf, subs.h AS subroot, (SELECT h FROM high WHERE n = 1) AS root, sha256(proof) AS proof_sha256,
        node AS folded_root, node = (SELECT h FROM high WHERE n = 1) AS verified
 FROM leaves JOIN subs USING (g) JOIN done ON done.g = leaves.g AND done.leaf_pos = leaves.pos"""
+
+
+SPELLING = r"""
+WITH RECURSIVE crc AS (
+  SELECT list(c ORDER BY i) AS t FROM (
+    SELECT i, list_reduce(list_prepend(i, range(8)), lambda c, k: CASE WHEN c % 2 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS c
+    FROM (SELECT unnest(range(256)) AS i))),
+runs AS (
+  SELECT doc_id, translate(w, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS run, count(*) AS k
+  FROM (SELECT doc_id, unnest(regexp_extract_all(text, '[A-Za-z\x{C0}-\x{FF}]+')) AS w FROM documents) GROUP BY ALL),
+bytes AS (
+  SELECT run, k, length(run) AS len, flatten(list_transform(string_split(coalesce(doc_id::VARCHAR, '') || ':' || run, ''),
+    lambda c: CASE WHEN unicode(c) < 128 THEN [unicode(c)::BIGINT] ELSE [192 + (unicode(c) >> 6)::BIGINT, 128 + (unicode(c) & 63)::BIGINT] END)) AS b FROM runs),
+hashed AS (
+  SELECT run, k, len, xor(list_reduce(list_prepend(4294967295, b), lambda c, x: xor(c >> 8, t[1 + (xor(c, x) & 255)])), 4294967295) AS h FROM bytes, crc),
+words AS MATERIALIZED (
+  SELECT CASE WHEN h % 97 = 0 THEN substr(run, 1, (h % len)::INT) || substr(run, (h % len)::INT + 2) ELSE run END AS word, sum(k)::BIGINT AS n
+  FROM hashed GROUP BY 1 HAVING length(word) >= 5 AND sum(k) >= 3),
+less AS MATERIALIZED (
+  SELECT word, n, i, substr(word, 1, i::INT - 1) || substr(word, i::INT + 1) AS rest
+  FROM (SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM words)),
+near AS (
+  SELECT a.word, b.word AS other FROM less a JOIN less b ON a.i = b.i AND a.rest = b.rest AND a.word <> b.word
+  UNION SELECT a.word, b.word FROM less a JOIN words b ON a.rest = b.word
+  UNION SELECT b.word, a.word FROM less a JOIN words b ON a.rest = b.word),
+best AS (
+  SELECT near.word, count(*) AS n_near, max(o.n) AS top, list(other ORDER BY o.n DESC, other)[1] AS form
+  FROM near JOIN words o ON o.word = near.other GROUP BY near.word),
+forms AS MATERIALIZED (
+  SELECT word, n, coalesce(n_near, 0) AS n_near, CASE WHEN top >= 2 * n THEN form END AS form, CASE WHEN top >= 2 * n THEN top END AS form_n
+  FROM words LEFT JOIN best USING (word)),
+chain AS (
+  SELECT word, word AS reached FROM forms
+  UNION ALL SELECT chain.word, forms.form FROM chain JOIN forms ON forms.word = chain.reached WHERE forms.form IS NOT NULL),
+ends AS (SELECT chain.word, reached FROM chain JOIN forms ON forms.word = reached WHERE form IS NULL)
+SELECT word, form, reached AS root, n, n_near, form_n FROM forms JOIN ends USING (word)"""
