@@ -6,6 +6,7 @@ import corpus_pipeline
 
 from .chat import op4_chat
 from .decontaminate import op5_decontaminate
+from .html_text import op12_html
 from .jaccard import op8_jaccard, op8_links
 from .licenses import op2_licenses
 from .line_dedup import op1_lines
@@ -31,6 +32,7 @@ QUERIES = {
     "op9_sharding": op9_shards,
     "op10_sentencepiece": op10_pieces,
     "op11_spelling_variants": op11_spelling,
+    "op12_html_extraction": op12_html,
     "op13_merkle_manifest": op13_merkle,
     "pipeline": corpus_pipeline.run,
 }
