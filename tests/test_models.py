@@ -5,7 +5,7 @@ from ridgeline.operators import neighbors as nb
 from ridgeline.operators import tuning as tu
 from ridgeline.operators import linear as lin
 from ridgeline.plans import fixtures as fx
-from conftest import SF_SMALL
+from sf_dirs import SF_SMALL
 
 Y = "log_income_pc"
 

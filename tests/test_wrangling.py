@@ -8,7 +8,7 @@ from ridgeline.operators import tables as tb
 from ridgeline.plans import fixtures as fx
 from ridgeline.session import scratch_path
 from ridgeline.sources import survey as src
-from conftest import SF_SMALL
+from sf_dirs import SF_SMALL
 
 
 def test_level_position_is_dense_rank(spark):
