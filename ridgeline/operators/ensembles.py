@@ -1,26 +1,23 @@
-"""MLlib-backed ensembles (B1, B2, B5, B6, B11) and their helpers.
+"""Forests (B1, B2, grown by ``forest``) and MLlib-backed boosting.
 
-Forests and gradient-boosted trees are MLlib estimators (distributed tree
-growth with binned features and node-id caching).  Every fit goes through
-one small wrapper so the vector assembly, checkpointing interval and
-parameter names stay in one place.
+Gradient-boosted trees are MLlib estimators.  Every fit goes through one
+small wrapper so the vector assembly, checkpointing interval and parameter
+names stay in one place.
 """
 
 from __future__ import annotations
 
 import math
 
-from pyspark.ml.regression import GBTRegressor, RandomForestRegressor
+from pyspark.ml.regression import GBTRegressor
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .forest import Forest, fit_forest
 from .trees import assembled
 
-# Histogram-aggregation budget per pass: deep forests split more nodes per
-# pass with a larger budget (256 MB default -> 1 GB measured ~12% faster at
-# sf0.1).  Node-id caching pays off only for deep trees: without it a
-# depth-30 forest re-routes every row from the root each level (~4x slower
-# measured), while depth-4 boosting is ~38% faster without the cache.
+# Node-id caching pays off only for deep trees: depth-4 boosting is ~38%
+# faster without the cache.
 AGG_MEMORY_MB = 1024
 CACHE_NODE_IDS_ABOVE_DEPTH = 8
 
@@ -46,26 +43,18 @@ def _prep(df: DataFrame, y: str, features: list[str], extra: list[str] = ()) ->
     return assembled(df.select(y, *features, *extra), features)
 
 
-def bagged_trees(df: DataFrame, y: str, features: list[str], trees: int = 25, min_node: int = 5,
-                 max_depth: int = 30, seed: int = 1) -> VectorModel:
+def bagged_trees(df: DataFrame, y: str, features: list[str], key: str, trees: int = 25, min_node: int = 5,
+                 max_depth: int = 10_000, seed: int = 1) -> Forest:
     """B1: bootstrap-aggregated full trees = a forest that tries every feature at each split."""
-    return random_forest(df, y, features, trees=trees, mtry="all", min_node=min_node, max_depth=max_depth,
-                         sample_frac=1.0, seed=seed)
-
-
-def random_forest(df: DataFrame, y: str, features: list[str], trees: int = 100, mtry: int | str = "onethird",
-                  min_node: int = 5, sample_frac: float = 1.0, max_depth: int = 30, max_bins: int = 64,
-                  seed: int = 1) -> VectorModel:
-    """B2: random forest; ``mtry`` as a count or an MLlib strategy name."""
-    if max_depth > 30:
-        raise ValueError("MLlib trees have at most 30 levels")
-    strat = str(mtry) if isinstance(mtry, int) or str(mtry).isdigit() else mtry
-    rf = RandomForestRegressor(featuresCol="features", labelCol=y, numTrees=trees, featureSubsetStrategy=strat,
-                               minInstancesPerNode=min_node, subsamplingRate=sample_frac, bootstrap=True,
-                               maxDepth=max_depth, maxBins=max_bins, seed=seed,
-                               cacheNodeIds=max_depth > CACHE_NODE_IDS_ABOVE_DEPTH, checkpointInterval=10,
-                               maxMemoryInMB=AGG_MEMORY_MB)
-    return VectorModel(rf.fit(_prep(df, y, features)), features)
+    return fit_forest(df, y, features, key, trees=trees, min_node=min_node, max_depth=max_depth, seed=seed)
+
+
+def random_forest(df: DataFrame, y: str, features: list[str], key: str, trees: int = 100, mtry: int | None = None,
+                  min_node: int = 5, sample_frac: float = 1.0, max_depth: int = 10_000, max_bins: int = 64,
+                  seed: int = 1) -> Forest:
+    """B2: random forest; ``mtry`` features at a node (a third of them by default), hashed bootstrap draws by ``key``."""
+    return fit_forest(df, y, features, key, trees=trees, mtry=mtry or max(1, len(features) // 3), min_node=min_node,
+                      sample_frac=sample_frac, max_depth=max_depth, max_bins=max_bins, seed=seed)
 
 
 def gbm(df: DataFrame, y: str, features: list[str], trees: int = 100, depth: int = 3, shrinkage: float = 0.1,

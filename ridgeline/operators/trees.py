@@ -2,10 +2,9 @@
 
 * Split search (T1), competitor splits (T7) and surrogate splits (T8) are
   exact DataFrame aggregates: features are stacked to ``(feature, value)``,
-  aggregated per value (map-side combined), and a cumulative window runs per
-  feature over its *distinct values* only.  That window is bounded by the
-  feature's cardinality, which is checked (``MAX_DISTINCT``); continuous
-  features beyond it must be binned first (``bin_features``).
+  aggregated per value (map-side combined), and the sums over the distinct
+  values run across range partitions (``ranking.running_sums``), so a feature
+  may have any number of values.
 * A CART tree (T2) is grown by ``cart.grow_cart`` with rpart's complexity
   rule, which bounds its size by 1 / cp.  Cost-complexity pruning (T3) uses
   the weakest-link sequence (a heap, n log n) with cp relative to the root
@@ -26,8 +25,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..session import scratch_path
+from .ranking import running_sums
 
-MAX_DISTINCT = 100_000
 FOLD_PARALLELISM = 4
 
 
@@ -53,12 +52,6 @@ def value_stats(df: DataFrame, y: str, features: list[str], weight: str | None =
     return agg
 
 
-def check_cardinality(stats: DataFrame, cap: int = MAX_DISTINCT) -> None:
-    big = stats.groupBy("feature").count().filter(F.col("count") > cap).limit(1).collect()
-    if big:
-        raise ValueError(f"feature {big[0]['feature']} has more than {cap} distinct values; bin it first")
-
-
 def split_search(df: DataFrame, y: str, features: list[str], weight: str | None = None,
                  min_bucket: int = 1) -> DataFrame:
     """RSS reduction of every (feature, cut) -- best first.
@@ -67,16 +60,9 @@ def split_search(df: DataFrame, y: str, features: list[str], weight: str | None
     distinct value (the printed split point).  ``gain`` is the drop in the
     residual sum of squares.
     """
-    vs = value_stats(df, y, features, weight)
-    check_cardinality(vs)
-    w = Window.partitionBy("feature").orderBy("value")
-    run = Window.partitionBy("feature").orderBy("value").rowsBetween(Window.unboundedPreceding, 0)
-    tot = Window.partitionBy("feature")
-    d = vs.select("feature", "value",
-                  F.sum("n").over(run).alias("nl"), F.sum("sy").over(run).alias("sl"),
-                  F.sum("n").over(tot).alias("nt"), F.sum("sy").over(tot).alias("st"),
-                  F.lead("value").over(w).alias("next_value"))
-    d = d.filter(F.col("next_value").isNotNull())
+    vs = value_stats(df, y, features, weight).select("feature", "value", "n", "sy")
+    d = (running_sums(vs, "feature", "value", {"n": "nl", "sy": "sl"}).filter(F.col("next_value").isNotNull())
+         .withColumnsRenamed({"nl_total": "nt", "sl_total": "st"}))
     gain = (F.col("sl") * F.col("sl") / F.col("nl")
             + (F.col("st") - F.col("sl")) * (F.col("st") - F.col("sl")) / (F.col("nt") - F.col("nl"))
             - F.col("st") * F.col("st") / F.col("nt"))
@@ -107,13 +93,8 @@ def surrogate_splits(df: DataFrame, goes_left: Column, features: list[str], k: i
         F.struct(F.lit(c).alias("feature"), F.col(c).cast("double").alias("value")) for c in features
     ])).alias("_s")).select("_l", "_s.feature", "_s.value")
     vs = st.groupBy("feature", "value").agg(F.sum("_l").alias("nl"), F.count("*").alias("n"))
-    check_cardinality(vs)
-    run = Window.partitionBy("feature").orderBy("value").rowsBetween(Window.unboundedPreceding, 0)
-    tot = Window.partitionBy("feature")
-    w = Window.partitionBy("feature").orderBy("value")
-    d = vs.select("feature", "value", F.sum("nl").over(run).alias("cl"), F.sum("n").over(run).alias("cn"),
-                  F.sum("nl").over(tot).alias("tl"), F.sum("n").over(tot).alias("tn"),
-                  F.lead("value").over(w).alias("next_value")).filter(F.col("next_value").isNotNull())
+    d = (running_sums(vs, "feature", "value", {"nl": "cl", "n": "cn"}).filter(F.col("next_value").isNotNull())
+         .withColumnsRenamed({"cl_total": "tl", "cn_total": "tn"}))
     # direction "<=" goes left: agree = left rows at or below + right rows above
     a1 = F.col("cl") + ((F.col("tn") - F.col("tl")) - (F.col("cn") - F.col("cl")))
     a2 = F.col("tn") - a1

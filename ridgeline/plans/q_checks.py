@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from ..functions.hashing import hash_uniform_sql
 from ..operators import cart as ca
 from ..operators import hist as hs
+from ..operators.forest import fit_forest
 from ..operators import linear as lin
 from ..operators import resampling as rs
 from ..operators import tables as tb
@@ -72,6 +73,47 @@ def g2_root_split_predictions(spark, sf_dir):
     return r4(tb.prediction_table(t.transform(hh)))
 
 
+def _grown_sql(depth):
+    """CTEs ``lab0`` to ``lab<depth>``: rows with the node of the tree that splits each node at its best cut."""
+    cols = ", ".join(f"CAST({c} AS DOUBLE) AS {c}" for c in TREE_X)
+    out = with_ctes(HH_RAW, HH) + f", lab0 AS (SELECT hhid, {Y} - (SELECT avg({Y}) FROM hh) AS y, {cols}, 1 AS node FROM hh)"
+    for k in range(depth):
+        stack = " UNION ALL ".join(f"SELECT node, '{c}' AS feature, {c} AS value, y FROM lab{k}" for c in TREE_X)
+        w = "PARTITION BY node, feature"
+        run = f"OVER ({w} ORDER BY value ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"
+        side = " ".join(f"WHEN '{c}' THEN l.{c} > b.value" for c in TREE_X)
+        out += (
+            f", st{k} AS ({stack}), vs{k} AS (SELECT node, feature, value, count(*) AS n, sum(y) AS s FROM st{k} GROUP BY ALL), "
+            f"run{k} AS (SELECT node, feature, value, sum(n) {run} AS nl, sum(s) {run} AS sl, sum(n) OVER ({w}) AS nt, "
+            f"sum(s) OVER ({w}) AS st FROM vs{k}), "
+            f"best{k} AS (SELECT node, feature, value FROM run{k} WHERE nl < nt QUALIFY row_number() OVER (PARTITION BY node ORDER BY "
+            f"sl * sl / nl + (st - sl) * (st - sl) / (nt - nl) - st * st / nt DESC, {_ORDER}, value) = 1), "
+            f"lab{k + 1} AS (SELECT l.* REPLACE (2 * l.node + CAST(CASE b.feature {side} END AS INT) AS node) FROM lab{k} l JOIN best{k} b USING (node)), "
+            f"leaf{k + 1} AS (SELECT node, count(*) AS n, avg(y) + (SELECT avg({Y}) FROM hh) AS value FROM lab{k + 1} GROUP BY node)")
+    return out
+
+
+def _plain_forest(spark, sf_dir, trees, depth, **how):
+    """Forest without resampling that tries every feature at every node."""
+    hh = fx.hh(spark, sf_dir)
+    return hh, fit_forest(hh, Y, TREE_X, "hhid", trees=trees, max_depth=depth, max_bins=256, bootstrap=False, min_node=1, **how)
+
+
+@register("b1_one_tree_leaves", _grown_sql(3) + f" SELECT CAST(n AS BIGINT) AS n, {r4s('value')} AS value FROM leaf3")
+def b1_one_tree_leaves(spark, sf_dir):
+    """Leaves of one unweighted tree of three levels with every feature: two upper levels, the last one in tasks."""
+    hh = fx.hh(spark, sf_dir)
+    _, m = _plain_forest(spark, sf_dir, 1, 3, local_rows=max(1, hh.count() // 3))
+    return r4(m.leaves().select("n", "value"))
+
+
+@register("b2_forest_predictions", _grown_sql(2) + f" SELECT {r4s('value')} AS prediction, CAST(n AS BIGINT) AS n FROM leaf2")
+def b2_forest_predictions(spark, sf_dir):
+    """Predictions of a forest of three equal trees (no resampling, every feature tried), counted."""
+    hh, m = _plain_forest(spark, sf_dir, 3, 2)
+    return r4(m.transform(hh).select(F.round("prediction", 6).alias("prediction"))).groupBy("prediction").agg(F.count("*").alias("n"))
+
+
 def _round_sql(lam, least):
     gain = f"0.5 * (c * c / (n_left + {lam}) + c * c / (n_right + {lam}))"
     return _T1 + (

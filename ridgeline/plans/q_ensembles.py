@@ -41,20 +41,20 @@ def _test_rmse(model, te, label, extra=None):
     return p.agg(*cols)
 
 
-# ------------------------------------------------------ MLlib ensembles ---
+# ------------------------------------------- forests and MLlib boosting ---
 
 @register("b1_bagged_trees")
 def b1_bagged_trees(spark, sf_dir):
     """25 bootstrap trees, every feature tried at each split; test RMSE."""
     train, te, x = _frame(spark, sf_dir)
-    return _test_rmse(en.bagged_trees(train, Y, x, trees=25), te, "bagged_trees")
+    return _test_rmse(en.bagged_trees(train, Y, x, "hhid", trees=25), te, "bagged_trees")
 
 
 @register("b2_random_forest")
 def b2_random_forest(spark, sf_dir):
     """100-tree forest, mtry = p/3, min node 5; test RMSE."""
     train, te, x = _frame(spark, sf_dir)
-    return _test_rmse(en.random_forest(train, Y, x, trees=100, mtry=max(1, len(x) // 3), min_node=5), te, "forest")
+    return _test_rmse(en.random_forest(train, Y, x, "hhid", trees=100, mtry=max(1, len(x) // 3), min_node=5), te, "forest")
 
 
 @register("b5_gbm")
@@ -203,11 +203,11 @@ def b4_bagged_mars(spark, sf_dir):
 
 @register("m1_cv_tune")
 def m1_cv_tune(spark, sf_dir):
-    """5-fold CV of a 30-tree forest over mtry; results per grid point."""
+    """5-fold CV of a 100-tree forest over mtry; results per grid point."""
     train, _, x = _frame(spark, sf_dir)
     grid = [{"mtry": m} for m in (2, 5, 10)]
     rows, _, _ = tu.cv_tune(rs.kfold(train, 5, "hhid", seed=3), Y,
-                            lambda d, mtry: en.random_forest(d, Y, x, trees=30, mtry=mtry), grid, refit=False)
+                            lambda d, mtry: en.random_forest(d, Y, x, "hhid", trees=100, mtry=mtry), grid, refit=False)
     return spark.createDataFrame(rows)
 
 
@@ -265,23 +265,16 @@ def m6_partial_dependence(spark, sf_dir):
 def m6_partial_dependence_forest(spark, sf_dir):
     """Partial dependence of a 50-tree forest on ``members`` over its observed range."""
     train, _, x = _frame(spark, sf_dir)
-    m = en.random_forest(train, Y, x, trees=50, mtry=5)
+    m = en.random_forest(train, Y, x, "hhid", trees=50, mtry=5)
     lo, hi = train.agg(F.min("members"), F.max("members")).first()
     return tu.partial_dependence(m, train, "members", list(range(int(lo), int(hi) + 1)))
 
 
 @register("m7_shadow_selection")
 def m7_shadow_selection(spark, sf_dir):
-    """Shadow-feature selection over 20 rounds: importances are RSS reductions of a tree grown at cp 0.0005."""
+    """Shadow-feature selection over 20 rounds: importances are RSS reductions of 30 forest trees a round."""
     train, _, x = _frame(spark, sf_dir)
-    def imp(d, cols):
-        t = ca.grow_cart(d, Y, cols, cp=0.0005, maxdepth=6)
-        gain = dict.fromkeys(cols, 0.0)
-        for nd in t.nodes.values():
-            if not nd.is_leaf:
-                gain[nd.feature] += nd.gain
-        return gain
-    return tu.shadow_selection(train, Y, "hhid", x, imp, rounds=20, seed=9)
+    return tu.shadow_selection(train, Y, "hhid", x, rounds=20, trees=30, seed=9)
 
 
 # ------------------------------------------------------------ neighbours ---

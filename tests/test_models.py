@@ -32,11 +32,14 @@ def test_permutation_importance_of_unused_feature_is_zero(spark, hh):
     assert abs(imp["rooms"]) < 1e-12 and imp["members"] > 0
 
 
-def test_blocked_permutation_keeps_values(spark, hh):
-    p = tu.blocked_permutation(hh, "hhid", ["rooms"], seed=4, block_rows=50)
-    a = sorted(r[0] for r in hh.select("rooms").collect())
-    b = sorted(r[0] for r in p.select("rooms").collect())
-    assert a == b and p.count() == hh.count()
+def test_permutation_keeps_values_whatever_the_partitions(spark, hh):
+    a = tu.permutation(hh, "hhid", ["rooms", "members"], seed=4)
+    b = tu.permutation(hh.repartition(7), "hhid", ["rooms", "members"], seed=4)
+    rows = sorted(map(tuple, a.select("hhid", "rooms", "members", Y).collect()))
+    assert rows == sorted(map(tuple, b.select("hhid", "rooms", "members", Y).collect()))
+    was = sorted(map(tuple, hh.select("hhid", "rooms", "members", Y).collect()))
+    assert [r[0] for r in rows] == [r[0] for r in was] and [r[3] for r in rows] == [r[3] for r in was]
+    assert sorted(r[1:3] for r in rows) == sorted(r[1:3] for r in was) and [r[1] for r in rows] != [r[1] for r in was]
 
 
 def test_partial_dependence_of_linear_model(spark, hh, hh_pd):
