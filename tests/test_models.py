@@ -25,6 +25,49 @@ def test_knn_matches_brute_force(spark):
         assert abs(got[row.vec_id] - T.label.to_numpy()[order].mean()) < 1e-12
 
 
+def _knn_brute(train, query, k):
+    ids, E, y = (np.array(v) for v in zip(*[(r[0], r[1], r[2]) for r in train if r[1] is not None and r[2] is not None]))
+    out = {}
+    for i, x, *_ in query:
+        if x is None:
+            out[i] = None
+            continue
+        d = np.sqrt(((E - np.asarray(x, float)) ** 2).sum(1))
+        out[i] = float(y[np.lexsort((ids, d))[:k]].mean())
+    return out
+
+
+def test_knn_by_cells_on_clusters_ties_and_nulls(spark):
+    rnd = np.random.default_rng(3)
+    centers = rnd.normal(size=(6, 8)) * 20
+    rows = [(i, (centers[i % 6] + rnd.normal(size=8)).round(2).tolist(), float(i % 17)) for i in range(900)]
+    rows += [(1000 + i, [1.0] * 8, float(i)) for i in range(500)]  # a third of all rows are one vector
+    rows += [(2000, None, 1.0), (2001, [0.0] * 8, None)]
+    schema = "id bigint, v array<double>, y double"
+    queries = rows[::9] + [(5000, [1.0] * 8, None), (5001, None, None), (5002, [500.0] * 8, None)]
+    t, q = spark.createDataFrame(rows, schema), spark.createDataFrame(queries, schema)
+    for k, block, parts in ((1, 16, 1), (5, 64, 7), (7, 2048, 3)):
+        got = {r["id"]: r["prediction"] for r in nb.knn_regress(t.repartition(parts), q, "id", "v", "y", k=k, block_rows=block).collect()}
+        want = _knn_brute(rows, queries, k)
+        assert got.keys() == want.keys()
+        assert all((got[i] is None) == (want[i] is None) and (got[i] is None or abs(got[i] - want[i]) < 1e-9) for i in want)
+    few = nb.knn_regress(t.limit(3), q, "id", "v", "y", k=5)
+    assert few.count() == len(queries) and nb.knn_regress(t.limit(0), q, "id", "v", "y").count() == len(queries)
+
+
+def test_knn_prunes_cells_that_are_far(spark):
+    rnd = np.random.default_rng(3)
+    centers = rnd.normal(size=(6, 4)) * 1000
+    rows = [(i, (centers[i % 6] + rnd.normal(size=4)).tolist(), 1.0) for i in range(1200)]
+    t = spark.createDataFrame(rows, "id bigint, v array<double>, y double")
+    pivots = centers + 0.1
+    blocks = nb._blocks(t, pivots, 3, 64)
+    between, reach = nb._bounds(blocks, pivots, 3)
+    assert blocks.agg(F.sum("n")).first()[0] == 1200 and blocks.count() >= 18
+    far = blocks.groupBy("cell").agg(F.max("far").alias("far")).collect()
+    assert all(between[i, r["cell"]] - 2 * r["far"] > reach[i] + r["far"] for r in far for i in range(6) if i != r["cell"])
+
+
 def test_permutation_importance_of_unused_feature_is_zero(spark, hh):
     m = lin.ols(hh, Y, ["members"])
     imp = {r["feature"]: r["importance"] for r in
