@@ -112,8 +112,19 @@ def parts(batches, rows: int = 256):
             yield b.slice(k, rows)
 
 
+BATCH_BYTES = "8m"
+
+
 def stash(df: DataFrame) -> DataFrame:
-    """``df`` written once as parquet in the shared folder and read back (compressed, lineage cut)."""
-    path = scratch_path(df.sparkSession, "t")
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    """``df`` written once as parquet in the shared folder and read back (compressed, lineage cut).
+
+    While it runs, Arrow batches hold at most ``BATCH_BYTES``, so that long texts and sets do not fill a task.
+    """
+    spark, name = df.sparkSession, "spark.sql.execution.arrow.maxBytesPerBatch"
+    path, before = scratch_path(spark, "t"), spark.conf.get(name)
+    spark.conf.set(name, BATCH_BYTES)
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(name, before)
+    return spark.read.schema(df.schema).parquet(path)

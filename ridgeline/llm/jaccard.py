@@ -205,9 +205,14 @@ def link_classes(texts: DataFrame, percent: int, shingle: int) -> tuple[DataFram
         if step < PIVOT_ROUNDS:
             left = lists.select("key", "cls", "n", "i", "c")
         else:
+            # a member too far behind to link with any partner of the list's sizes leaves it
+            least = here.groupBy("key").agg(F.min("n").alias("low"))
+            open_ = lists.select("key").join(least, "key")
+            partner = F.greatest(F.col("low"), F.ceil(F.col("n") * percent / F.lit(100)))
+            enough = (100 + percent) * (F.col("n") - F.col("i")) >= percent * (F.col("n") + partner)
             # every pair once, at its first common key, where the positional filter is sharpest: each member
             # carries its own earlier keys (at most a prefix), and lists that share an earlier one pass
-            here = stash(here.join(lists.select("key"), "key", "left_semi").select("key", "cls", "n", "i", "c"))
+            here = stash(here.join(open_, "key").where(enough).select("key", "cls", "n", "i", "c"))
             own = here.groupBy("cls").agg(F.collect_list(F.struct("i", "key")).alias("own"))
             here = (here.join(own, "cls").withColumn("before", F.expr("transform(filter(own, x -> x.i < i), x -> x.key)"))
                     .select("key", "cls", "n", "i", "c", "before"))
@@ -346,26 +351,25 @@ def jaccard_links(docs: DataFrame, percent: int = 80, shingle: int = 5, id_col:
 
 
 def keep_one(docs: DataFrame, percent: int = 80, shingle: int = 5, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """``docs`` with one row of each group of linked documents (the smallest id), columns unchanged.
+    """``docs`` with one row of each group of linked documents (the smallest id, null last), columns unchanged.
 
-    Rows without shingles all stay.  Rows that share both the smallest id and the
-    group are one document given twice: one of them stays.
+    Rows without shingles all stay.  Rows with equal id and text are one document given
+    twice; rows that share an id but no link are different documents.
     """
-    groups = stash(jaccard_groups(docs, percent, shingle, id_col, text))
-    real = groups.where("n_shingles > 0 and component_id is not null")
-    drop = _small(real.where("id is null or id <> component_id").select("id", "rid").distinct())
-    same = lambda g: F.col("_id").eqNullSafe(F.col(f"{g}.id")) & (F.col("_rid") == F.col(f"{g}.rid"))
+    pick = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text}`").alias("text"))
+    members, labels, _ = link_classes(pick, percent, shingle)
+    rows = stash(members.where("n > 0").join(labels, "cls", "left").select("id", "rid", F.coalesce("comp", "cls").alias("comp")))
+    first = rows.groupBy("comp").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "rid")).alias("w"), F.count(F.lit(1)).alias("k"))
+    groups = rows.join(first.where("k > 1"), "comp")
+    wins = F.col("w.id").eqNullSafe(F.col("id")) & (F.col("w.rid") == F.col("rid"))
+    judged = _small(groups.groupBy("id", "rid", wins.alias("wins")).agg(F.count(F.lit(1)).alias("k")).where("k > 1 or not wins"))
+    same = F.col("_id").eqNullSafe(F.col("j.id")) & (F.col("_rid") == F.col("j.rid"))
     name = {c: f"_c{i}" for i, c in enumerate(docs.columns)}
     safe = docs.select(*[F.col(f"`{c}`").alias(n) for c, n in name.items()])
     safe = safe.withColumns({"_id": F.col(name[id_col]), "_rid": F.md5(F.coalesce(F.col(name[text]), F.lit("")))})
-    kept = safe.join(drop.alias("d"), same("d"), "left_anti")
-    twice = (real.where("id = component_id").groupBy("component_id").agg(F.count(F.lit(1)).alias("k")).where("k > 1")
-             .select(F.col("component_id").alias("id")))
-    again = groups.where("n_shingles > 0").join(twice, "id", "left_semi").select("id", "rid").distinct()
-    again = _small(again)
-    plain = kept.join(again.alias("t"), same("t"), "left_anti")
-    dup = kept.join(again.alias("t"), same("t"), "left_semi").dropDuplicates(["_id"])
-    return plain.unionByName(dup).select(*[F.col(n).alias(c) for c, n in name.items()])
+    plain = safe.join(judged.alias("j"), same, "left_anti")
+    again = safe.join(judged.where("wins").alias("j"), same, "left_semi").dropDuplicates(["_id", "_rid"])
+    return plain.unionByName(again).select(*[F.col(n).alias(c) for c, n in name.items()])
 
 
 def op8_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -57,6 +57,17 @@ def test_keep_one(docs, rows, none):
     assert J.keep_one(none).count() == 0
 
 
+def test_keep_one_with_shared_and_null_ids(spark):
+    words = lambda p: " ".join(f"{p}{i}" for i in range(40))
+    near = words("n").replace("n39", "other")
+    rows = [(1, words("a"), "x"), (1, words("b"), "y"), (None, words("n"), "p"), (None, words("n"), "q"), (None, near, "r"),
+            (7, words("c"), "s"), (7, words("c"), "t"), (9, words("c"), "u"), (None, words("c"), "v"), (None, None, "w"), (None, "", "z")]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, tag string")
+    kept = [(r["doc_id"], r["text"]) for r in J.keep_one(df.repartition(5), 80, 5).collect()]
+    assert Counter(kept) == Counter([(1, words("a")), (1, words("b")), (7, words("c")), (None, None), (None, ""), *[k for k in kept if k[0] is None and k[1]]])
+    assert sum(i is None and bool(t) for i, t in kept) == 1
+
+
 def test_prefix_size():
     for n in range(1, 200):
         assert 1 <= J.prefix_size(n, 85) <= n and 100 * (n - J.prefix_size(n, 85) + 1) >= 85 * n

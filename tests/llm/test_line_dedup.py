@@ -53,7 +53,8 @@ def test_patience_matches_are_increasing_and_equal():
 
 def test_runs_cover_blocks():
     h, n = [1, 2, 3, 4], [10, 45, 60, 3]
-    assert [(a, b) for _, a, b in L.runs(h, n, 50)] == [(0, 1), (1, 2), (2, 2)]
+    # the shortest run from every line on, then the shortest one up to every line
+    assert [(a, b) for _, a, b in L.runs(h, n, 50)] == [(0, 1), (1, 2), (2, 2), (2, 3)]
 
 
 def test_query_at_small_scale(spark):
