@@ -16,8 +16,24 @@ from ridgeline.session import cut_lineage, scratch_path
 MASK64 = (1 << 64) - 1
 
 
+BATCH_BYTES = 8 << 20
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Lower the session's bound on an Arrow batch to ``BATCH_BYTES``, unless it is lower already.
+
+    Rows are whole texts and sets: at Spark's 64 MB, the batches in and out of two tasks take half a GB of an executor.
+    """
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = spark.conf.get(name).lower().rstrip("b")
+    unit = {"k": 10, "m": 20, "g": 30}.get(now[-1:], 0)
+    if int(now.rstrip("kmg")) << unit > BATCH_BYTES or int(now.rstrip("kmg")) <= 0:
+        spark.conf.set(name, str(BATCH_BYTES))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the given parquet tables."""
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
@@ -112,19 +128,9 @@ def parts(batches, rows: int = 256):
             yield b.slice(k, rows)
 
 
-BATCH_BYTES = "8m"
-
-
 def stash(df: DataFrame) -> DataFrame:
-    """``df`` written once as parquet in the shared folder and read back (compressed, lineage cut).
-
-    While it runs, Arrow batches hold at most ``BATCH_BYTES``, so that long texts and sets do not fill a task.
-    """
-    spark, name = df.sparkSession, "spark.sql.execution.arrow.maxBytesPerBatch"
-    path, before = scratch_path(spark, "t"), spark.conf.get(name)
-    spark.conf.set(name, BATCH_BYTES)
-    try:
-        df.write.parquet(path)
-    finally:
-        spark.conf.set(name, before)
-    return spark.read.schema(df.schema).parquet(path)
+    """``df`` written once as parquet in the shared folder and read back (compressed, lineage cut)."""
+    small_batches(df.sparkSession)
+    path = scratch_path(df.sparkSession, "t")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
