@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from ridgeline.llm import decontaminate, jaccard, line_dedup, pieces, quality
-from ridgeline.llm.common import stash, table
+from ridgeline.llm.common import small_batches, stash, table
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -34,6 +34,7 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def piece_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The kept documents as piece ids."""
+    small_batches(spark)
     return pieces.encode_and_check(docs, ["doc_id", "lang", "source"])
 
 
