@@ -174,15 +174,21 @@ class HTree:
             nd = self.nodes[i]
             if nd.is_leaf:
                 return F.lit(int(i))
-            return F.when(F.col(nd.feature) <= F.lit(nd.cut), build(nd.left)).otherwise(build(nd.right))
+            return F.when(self._goes_left(nd), build(nd.left)).otherwise(build(nd.right))
         return build(1)
 
+    @staticmethod
+    def _goes_left(nd: HNode) -> Column:
+        if "left" in nd.stat:
+            return F.col(nd.feature).cast("double").isin([float(v) for v in nd.stat["left"]])
+        return F.col(nd.feature) <= F.lit(nd.cut)
+
     def expr(self) -> Column:
         def build(i):
             nd = self.nodes[i]
             if nd.is_leaf:
                 return F.lit(float(nd.value))
-            return F.when(F.col(nd.feature) <= F.lit(nd.cut), build(nd.left)).otherwise(build(nd.right))
+            return F.when(self._goes_left(nd), build(nd.left)).otherwise(build(nd.right))
         return build(1)
 
     def transform(self, df: DataFrame, out: str = "prediction") -> DataFrame:
@@ -353,23 +359,6 @@ def ctree(df: DataFrame, y: str, features: list[str], mincriterion: float = 0.95
 
 # --------------------------------------------------- second-order boosting ---
 
-def _best_gh_split(hf: pd.DataFrame, lam: float, gamma: float, mcw: float):
-    G, H = hf["g"].to_numpy(), hf["h"].to_numpy()
-    cg, ch = np.cumsum(G), np.cumsum(H)
-    g, hh = cg[-1], ch[-1]
-    ok = (ch >= mcw) & (hh - ch >= mcw)
-    ok[-1] = False
-    if not ok.any():
-        return None
-    with np.errstate(divide="ignore", invalid="ignore"):
-        gain = 0.5 * (cg ** 2 / (ch + lam) + (g - cg) ** 2 / (hh - ch + lam) - g * g / (hh + lam)) - gamma
-    gain = np.where(ok, gain, -np.inf)
-    k = int(np.argmax(gain))
-    if not np.isfinite(gain[k]) or gain[k] <= 0:
-        return None
-    return k, float(gain[k]), float(cg[k]), float(ch[k]), float(g), float(hh)
-
-
 @dataclass
 class BoostModel:
     base: float
@@ -435,46 +424,9 @@ def xgb(df: DataFrame, y: str, features: list[str], key: str, rounds: int = 50,
     at least ``min_child_weight``; row and column sampling by hash.
     Returns ``(model, validation curve, best round)``.
     """
-    bins = make_bins(df, features, max_bins)
-
-    def grow_one(train, r):
-        cols = [f for f in features if colsample >= 1.0 or
-                _feature_draw(seed, r, f) < colsample] or features[:1]
-        sub = Bins(cols, {f: bins.cuts[f] for f in cols}, {f: bins.materialized[f] for f in cols
-                                                              if f in bins.materialized})
-        t = HTree({1: HNode(1, 0)})
-        frontier = [1]
-        stats = {"g": F.col("_f") - F.col(y), "h": F.lit(1.0)}
-        while frontier:
-            h = hist(train, t.node_expr(), sub, stats, nodes=frontier)
-            nxt = []
-            for i in frontier:
-                hi = h[h["_node"] == i]
-                if hi.empty:
-                    continue
-                f0 = hi[hi["f"] == hi["f"].min()]
-                G, H = f0["g"].sum(), f0["h"].sum()
-                t.nodes[i].value = -G / (H + lam)
-                t.nodes[i].n = H
-                if t.nodes[i].depth >= max_depth:
-                    continue
-                best = None
-                for fi, hf in hi.groupby("f"):
-                    res = _best_gh_split(hf.sort_values("b"), lam, gamma, min_child_weight)
-                    if res and (best is None or res[1] > best[1][1]):
-                        best = (fi, res, hf.sort_values("b"))
-                if best is None:
-                    continue
-                fi, (k, gain, gl, hl, g, hh), hf = best
-                f = sub.features[fi]
-                b = int(hf["b"].to_numpy()[k])
-                _split_children(t, i, f, sub.threshold(f, b), gain, -gl / (hl + lam), -(g - gl) / (hh - hl + lam),
-                                hl, hh - hl)
-                nxt += [t.nodes[i].left, t.nodes[i].right]
-            frontier = nxt
-        return t
-
-    return _margin_loop(df, y, key, rounds, eta, grow_one, seed, subsample, valid_col, patience, bins)
+    from .boost import GridBoost, Spec
+    spec = Spec(0, max_depth, eta, lam, gamma, max(min_child_weight, 0.0), subsample, colsample)
+    return GridBoost(df, y, features, key, [spec], seed, max_bins, valid_col).fit(rounds, patience)[0]
 
 
 def _feature_draw(seed: int, r: int, f: str) -> float:
@@ -487,67 +439,14 @@ def leafwise_boost(df: DataFrame, y: str, features: list[str], key: str, rounds:
                    max_depth: int = -1, learning_rate: float = 0.1, lam: float = 0.0,
                    min_child_weight: float = 1e-3, min_data_in_leaf: int = 20, subsample: float = 1.0,
                    colsample: float = 1.0, max_bin: int = 40, seed: int = 1, valid_col: str | None = None,
-                   patience: int | None = None):
-    """Binned best-leaf-first boosting (squared loss).
+                   patience: int | None = None, categorical=()):
+    """Binned best-leaf-first boosting (squared loss), with native ``categorical`` features.
 
-    Each tree splits the leaf with the largest gain next until ``num_leaves``;
-    each split costs one HIST job over the smaller child only -- the sibling's
-    histogram is the parent's minus the child's.
+    Each tree splits the leaf with the largest gain next until ``num_leaves``.
     """
-    bins = make_bins(df, features, max_bin)
-
-    def grow_one(train, r):
-        cols = [f for f in features if colsample >= 1.0 or _feature_draw(seed, r, f) < colsample] or features[:1]
-        sub = Bins(cols, {f: bins.cuts[f] for f in cols}, {f: bins.materialized[f] for f in cols
-                                                              if f in bins.materialized})
-        stats = {"g": F.col("_f") - F.col(y), "h": F.lit(1.0)}
-        t = HTree({1: HNode(1, 0)})
-        hists = {1: hist(train, F.lit(1), sub, stats).drop(columns=["_node"])}
-
-        def best_split(i):
-            hi = hists[i]
-            if t.nodes[i].n < 2 * min_data_in_leaf or (0 < max_depth <= t.nodes[i].depth):
-                return None
-            best = None
-            for fi, hf in hi.groupby("f"):
-                hf = hf.sort_values("b")
-                res = _best_gh_split(hf, lam, 0.0, max(min_child_weight, float(min_data_in_leaf)))
-                if res and (best is None or res[1] > best[1][1]):
-                    best = (fi, res, hf)
-            return best
-
-        def set_leaf(i):
-            hi = hists[i]
-            f0 = hi[hi["f"] == hi["f"].min()]
-            G, H = f0["g"].sum(), f0["h"].sum()
-            t.nodes[i].value = -G / (H + lam) if H + lam > 0 else 0.0
-            t.nodes[i].n = H
-
-        set_leaf(1)
-        cand = {1: best_split(1)}
-        while len(t.leaves()) < num_leaves:
-            live = {i: c for i, c in cand.items() if c is not None}
-            if not live:
-                break
-            i = max(live, key=lambda j: (live[j][1][1], -j))
-            fi, (k, gain, gl, hl, g, hh), hf = live.pop(i)
-            del cand[i]
-            f = sub.features[fi]
-            b = int(hf["b"].to_numpy()[k])
-            cut = sub.threshold(f, b)
-            _split_children(t, i, f, cut, gain, -gl / (hl + lam), -(g - gl) / (hh - hl + lam), hl, hh - hl)
-            left, right = t.nodes[i].left, t.nodes[i].right
-            small, big = (left, right) if hl <= hh - hl else (right, left)
-            hs = hist(train, t.node_expr(), sub, stats, nodes=[small]).drop(columns=["_node"])
-            hp = hists.pop(i).set_index(["f", "b"])
-            hs_i = hs.set_index(["f", "b"]).reindex(hp.index, fill_value=0.0)
-            hists[small] = hs_i.reset_index()
-            hists[big] = (hp - hs_i).reset_index()
-            for c in (small, big):
-                cand[c] = best_split(c)
-        return t
-
-    return _margin_loop(df, y, key, rounds, learning_rate, grow_one, seed, subsample, valid_col, patience, bins)
+    from .boost import GridBoost, Spec
+    spec = Spec(num_leaves, max_depth, learning_rate, lam, 0.0, max(min_child_weight, float(min_data_in_leaf)), subsample, colsample)
+    return GridBoost(df, y, features, key, [spec], seed, max_bin, valid_col, categorical).fit(rounds, patience)[0]
 
 
 def early_stop(curve: list[float], patience: int = 10) -> tuple[int, int]:
