@@ -1,46 +1,18 @@
-"""Forests (B1, B2, grown by ``forest``) and MLlib-backed boosting.
-
-Gradient-boosted trees are MLlib estimators.  Every fit goes through one
-small wrapper so the vector assembly, checkpointing interval and parameter
-names stay in one place.
-"""
+"""Forests (B1, B2, grown by ``forest``) and gradient boosting of regression trees (B5, B6, B11, grown by ``boost``)."""
 
 from __future__ import annotations
 
 import math
 
-from pyspark.ml.regression import GBTRegressor
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.hashing import hash_uniform
+from .boost import GridBoost, SetBoost, Spec, walk
 from .forest import Forest, fit_forest
-from .trees import assembled
-
-# Node-id caching pays off only for deep trees: depth-4 boosting is ~38%
-# faster without the cache.
-AGG_MEMORY_MB = 1024
-CACHE_NODE_IDS_ABOVE_DEPTH = 8
-
-
-class VectorModel:
-    """An MLlib model plus the feature list it was trained on."""
-
-    def __init__(self, model, features: list[str]):
-        self.model, self.features = model, features
-
-    def transform(self, df: DataFrame, out: str = "prediction") -> DataFrame:
-        m = self.model.copy().setPredictionCol(out)
-        return m.transform(assembled(df, self.features, "_features").withColumnRenamed("_features", "features")) \
-            .drop("features")
-
-    def importances(self, spark) -> DataFrame:
-        imp = self.model.featureImportances.toArray()
-        return spark.createDataFrame([(f, float(v)) for f, v in zip(self.features, imp)],
-                                     "feature string, importance double")
-
-
-def _prep(df: DataFrame, y: str, features: list[str], extra: list[str] = ()) -> DataFrame:
-    return assembled(df.select(y, *features, *extra), features)
+from .quantiles import kth_values
 
 
 def bagged_trees(df: DataFrame, y: str, features: list[str], key: str, trees: int = 25, min_node: int = 5,
@@ -57,27 +29,58 @@ def random_forest(df: DataFrame, y: str, features: list[str], key: str, trees: i
                       sample_frac=sample_frac, max_depth=max_depth, max_bins=max_bins, seed=seed)
 
 
-def gbm(df: DataFrame, y: str, features: list[str], trees: int = 100, depth: int = 3, shrinkage: float = 0.1,
-        min_obs: int = 10, bag_fraction: float = 1.0, max_bins: int = 64, seed: int = 1,
-        validation_col: str | None = None) -> VectorModel:
-    """Squared-loss gradient boosting of regression trees."""
-    gb = GBTRegressor(featuresCol="features", labelCol=y, maxIter=trees, maxDepth=depth, stepSize=shrinkage,
-                      minInstancesPerNode=min_obs, subsamplingRate=bag_fraction, maxBins=max_bins, seed=seed,
-                      lossType="squared", cacheNodeIds=depth > CACHE_NODE_IDS_ABOVE_DEPTH, checkpointInterval=10,
-                      maxMemoryInMB=AGG_MEMORY_MB)
-    extra = []
-    if validation_col:
-        gb = gb.setValidationIndicatorCol(validation_col)
-        extra = [validation_col]
-    return VectorModel(gb.fit(_prep(df, y, features, extra)), features)
-
-
-def gbm_rounds(model: VectorModel, df: DataFrame, y: str, spark) -> DataFrame:
-    """RMSE of one fitted boosting model at every tree count (no refit)."""
-    losses = model.model.evaluateEachIteration(_prep(df, y, model.features), "squared")
-    # MLlib's squared loss is (y - f)^2 averaged; RMSE = sqrt(loss)
-    rows = [(i + 1, float(math.sqrt(v))) for i, v in enumerate(losses)]
-    return spark.createDataFrame(rows, "trees int, rmse double")
-
-
-__all__ = ["VectorModel", "bagged_trees", "random_forest", "gbm", "gbm_rounds", "F"]
+def held_back(df: DataFrame, key: str, fraction: float, seed: int, out: str) -> DataFrame:
+    """``df`` with the boolean ``out``: false for exactly ``floor(fraction * n)`` rows, those with the smallest hashes of their key."""
+    d = df.withColumn("_u", hash_uniform(seed, key))
+    n = d.count()
+    train = math.floor(fraction * n)
+    if train >= n:
+        return d.withColumn(out, F.lit(False)).drop("_u")
+    edge, below = kth_values(d, "_u", {(): [train]})[((), train)]
+    if below != train:
+        raise ValueError(f"rows share a hash at the edge of the training share: {key} must be a key")
+    return d.withColumn(out, F.col("_u") >= F.lit(float(edge))).drop("_u")
+
+
+def gbm(df: DataFrame, y: str, features: list[str], key: str, trees: int = 100, depth: int = 3, shrinkage: float = 0.1,
+        min_obs: int = 10, bag_fraction: float = 1.0, train_fraction: float = 1.0, max_bins: int = 64,
+        seed: int = 1) -> tuple[SetBoost, list[float]]:
+    """Squared-loss boosting; ``depth`` splits a tree, best first.
+
+    Returns the model and, with ``train_fraction`` below 1, the error on the rows held back after every tree.
+    """
+    spec = Spec(depth + 1, -1, shrinkage, 0.0, 0.0, float(min_obs), bag_fraction)
+    valid = "_held" if train_fraction < 1.0 else None
+    d = held_back(df, key, train_fraction, seed, "_held") if valid else df
+    model, curve, _ = GridBoost(d, y, features, key, [spec], seed, max_bins, valid).fit(trees)[0]
+    return model, curve
+
+
+def tree_boost(df: DataFrame, y: str, features: list[str], key: str, rounds: int = 100, maxdepth: int = 2, nu: float = 0.1,
+               min_node: int = 7, max_bins: int = 64, seed: int = 1) -> SetBoost:
+    """Boosting of regression trees of ``maxdepth`` levels."""
+    spec = Spec(0, maxdepth, nu, 0.0, 0.0, float(min_node))
+    return GridBoost(df, y, features, key, [spec], seed, max_bins).fit(rounds)[0][0]
+
+
+def gbm_rounds(model: SetBoost, df: DataFrame, y: str) -> DataFrame:
+    """RMSE of one fitted boosting model at every tree count, from one pass over ``df``."""
+    from .boost import arrays
+    coder, base, eta, flat = model.coder, model.base, model.eta, arrays(model.trees, model.coder)
+
+    def fold(batches):
+        sse, n = np.zeros(len(flat)), 0
+        for b in batches:
+            cols = [c.to_numpy(zero_copy_only=False).astype(float) for c in b.columns]
+            x = np.stack([coder.code(i, c) for i, c in enumerate(cols[1:])])
+            f = np.full(b.num_rows, base)
+            for k, (feature, left, mask, value) in enumerate(flat):
+                f = f + eta * value[walk(x, feature, left, mask)]
+                sse[k] += ((cols[0] - f) ** 2).sum()
+            n += b.num_rows
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(1, len(flat) + 1), pa.int32()), pa.array(sse), pa.array([n] * len(flat), pa.int64())],
+                                         ["trees", "sse", "n"])
+
+    d = df.where(F.col(y).isNotNull()).select(F.col(y).cast("double"), *[F.col(f).cast("double") for f in coder.features])
+    return (d.mapInArrow(fold, "trees int, sse double, n bigint").groupBy("trees")
+            .agg(F.sqrt(F.sum("sse") / F.sum("n")).alias("rmse")))

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions.hashing import hash_uniform_sql
 from ..operators import cart as ca
+from ..operators import ensembles as en
 from ..operators import hist as hs
 from ..operators.forest import fit_forest
 from ..operators import linear as lin
@@ -125,6 +126,63 @@ def _round_sql(lam, least):
         f"{r4s(f'-c / (n_right + {lam})')} AS right_value FROM one")
 
 
+def _rounds_sql(rounds, eta, lam, least):
+    """Stumps of several boosting rounds, each on what the rounds before left over."""
+    cols = ", ".join(f"CAST({c} AS DOUBLE) AS {c}" for c in TREE_X)
+    out = with_ctes(HH_RAW, HH) + f", r0 AS (SELECT {Y} - (SELECT avg({Y}) FROM hh) AS r, {cols} FROM hh)"
+    for k in range(1, rounds + 1):
+        stack = " UNION ALL ".join(f"SELECT '{c}' AS feature, {c} AS value, r FROM r{k - 1}" for c in TREE_X)
+        run = "OVER (PARTITION BY feature ORDER BY value ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"
+        all_ = "OVER (PARTITION BY feature)"
+        side = " ".join(f"WHEN '{c}' THEN {c} <= b.value" for c in TREE_X)
+        out += (
+            f", s{k} AS ({stack}), v{k} AS (SELECT feature, value, count(*) AS n, sum(r) AS s FROM s{k} GROUP BY ALL), "
+            f"c{k} AS (SELECT feature, value, sum(n) {run} AS nl, sum(s) {run} AS sl, sum(n) {all_} AS nt, sum(s) {all_} AS st FROM v{k}), "
+            f"b{k} AS (SELECT feature, value, sl / (nl + {lam}) AS lv, (st - sl) / (nt - nl + {lam}) AS rv FROM c{k} "
+            f"WHERE nl >= {least} AND nt - nl >= {least} ORDER BY sl * sl / (nl + {lam}) + (st - sl) * (st - sl) / (nt - nl + {lam}) "
+            f"- st * st / (nt + {lam}) DESC, {_ORDER}, value LIMIT 1), "
+            f"r{k} AS (SELECT x.* REPLACE (r - {eta} * CASE WHEN (CASE b.feature {side} END) THEN b.lv ELSE b.rv END AS r) FROM r{k - 1} x, b{k} b)")
+    return out + " " + " UNION ALL ".join(
+        f"SELECT CAST({k} AS INT) AS round, feature, {r4s('value')} AS cut, {r4s('lv')} AS left_value, {r4s('rv')} AS right_value FROM b{k}"
+        for k in range(1, rounds + 1))
+
+
+def _stumps(spark, model):
+    rows = [(k + 1, t.nodes[1].feature, float(t.nodes[1].cut), float(t.nodes[2].value), float(t.nodes[3].value)) for k, t in enumerate(model.trees)]
+    return r4(spark.createDataFrame(rows, "round int, feature string, cut double, left_value double, right_value double"))
+
+
+@register("b5_gbm_rounds_of_stumps", _rounds_sql(4, 0.1, 0, 10))
+def b5_gbm_rounds_of_stumps(spark, sf_dir):
+    """Four boosting rounds of one split each."""
+    return _stumps(spark, en.gbm(fx.hh(spark, sf_dir), Y, TREE_X, "hhid", trees=4, depth=1, shrinkage=0.1, min_obs=10, max_bins=255)[0])
+
+
+@register("b7_xgb_rounds_of_stumps", _rounds_sql(4, 0.3, 1, 1))
+def b7_xgb_rounds_of_stumps(spark, sf_dir):
+    """Four regularised second-order rounds of one split each."""
+    m, _, _ = hs.xgb(fx.hh(spark, sf_dir), Y, TREE_X, "hhid", rounds=4, max_depth=1, eta=0.3, lam=1.0, max_bins=255)
+    return _stumps(spark, m)
+
+
+@register("b11_tree_boost_rounds_of_stumps", _rounds_sql(3, 0.1, 0, 7))
+def b11_tree_boost_rounds_of_stumps(spark, sf_dir):
+    """Three rounds of regression-tree boosting with one level."""
+    return _stumps(spark, en.tree_boost(fx.hh(spark, sf_dir), Y, TREE_X, "hhid", rounds=3, maxdepth=1, max_bins=255))
+
+
+_STAGES = _rounds_sql(4, 0.1, 0, 10).rsplit(" SELECT CAST(1 AS INT) AS round", 1)[0]
+
+
+@register("b6_gbm_rounds_of_stumps", _STAGES + " " + " UNION ALL ".join(
+    f"SELECT CAST({k} AS INT) AS trees, {r4s('sqrt(avg(r * r))')} AS rmse FROM r{k}" for k in range(1, 5)))
+def b6_gbm_rounds_of_stumps(spark, sf_dir):
+    """RMSE after each of four boosting rounds of one split, from one pass."""
+    hh = fx.hh(spark, sf_dir)
+    m, _ = en.gbm(hh, Y, TREE_X, "hhid", trees=4, depth=1, shrinkage=0.1, min_obs=10, max_bins=255)
+    return r4(en.gbm_rounds(m, hh, Y))
+
+
 def _first_tree(spark, model):
     t = model.trees[0]
     r = t.nodes[1]
