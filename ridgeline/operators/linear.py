@@ -396,29 +396,73 @@ def cv_path(df: DataFrame, y: str, x: list[str], alpha: float, fold_col: str,
     return CVResult(lams, cvm, cvsd, float(lams[i]), float(lams[ok].max()), np.sqrt(E))
 
 
+def lasso_knots(s: Standardized, tol: float = 1e-10) -> tuple[np.ndarray, np.ndarray]:
+    """The exact lasso path: ``(penalties, coefficients of standardised predictors)`` at every knot, from zero to least squares.
+
+    Between knots the coefficients are linear in the penalty.  At a knot a predictor joins the active
+    set (its correlation with the residual has reached that of the others) or leaves it (its coefficient has reached zero).
+    A predictor that is a combination of the active ones does not join.
+    """
+    p = len(s.c)
+    b, r = np.zeros(p), s.c.astype(float).copy()
+    usable = s.sx > 0
+    lam = float(np.abs(np.where(usable, r, 0.0)).max(initial=0.0))
+    start, knots = lam, [(lam, b.copy())]
+    active: list[int] = []
+    alias: set[int] = set()
+    left = -1
+    if lam <= 0:
+        return np.array([0.0]), np.zeros((1, p))
+    join = int(np.argmax(np.where(usable, np.abs(r), -1.0)))
+    while lam > tol * start:
+        if join >= 0:
+            rest = s.C[join, join]
+            if active:
+                rest -= s.C[join, active] @ np.linalg.solve(s.C[np.ix_(active, active)], s.C[active, join])
+            if rest < ALIAS_TOL:
+                alias.add(join)
+            else:
+                active.append(join)
+        d = np.zeros(p)
+        d[active] = np.linalg.solve(s.C[np.ix_(active, active)], np.sign(r[active]))
+        a = s.C @ d
+        step, join, drop = lam, -1, -1
+        for j in range(p):
+            if not usable[j] or j in alias or j in active:
+                continue
+            for num, den in ((lam - r[j], 1 - a[j]), (lam + r[j], 1 + a[j])):
+                # one that has just left moves inwards: its bound is met again only further on
+                if den > tol and num / den < step and not (j == left and num / den < tol * start):
+                    step, join, drop = max(0.0, num / den), j, -1
+        for j in active:
+            if d[j] * b[j] < 0 and -b[j] / d[j] < step:
+                step, join, drop = -b[j] / d[j], -1, j
+        b, r, lam = b + step * d, r - step * a, lam - step
+        left = drop
+        if drop >= 0:
+            b[drop] = 0.0
+            active.remove(drop)
+            alias.clear()
+        knots.append((max(lam, 0.0), b.copy()))
+        if join < 0 and drop < 0:
+            break
+    return np.array([k for k, _ in knots]), np.array([v for _, v in knots])
+
+
 def lasso_fraction(df: DataFrame, y: str, x: list[str], fractions) -> tuple[np.ndarray, np.ndarray]:
-    """Lasso indexed by s = |b|_1 / max |b|_1 (original-scale L1 norm).
+    """Lasso indexed by ``s = |b|_1 / max |b|_1`` (norm of the standardised coefficients), from the exact path.
 
-    A fine lambda path from the Gram is re-indexed by its L1 share and
-    interpolated linearly at each requested fraction.
+    Returns the fractions and a row ``(intercept, b_1 .. b_p)`` on the original scale for each.
     """
-    p = PenalizedPath(df, y, x, 1.0, nlambda=400)
-    lams = np.concatenate([p.lambdas, [0.0]])
-    coefs = np.vstack([p.coefs, enet_path(p.s, 1.0, [1e-12])])
-    l1 = np.abs(coefs[:, 1:]).sum(axis=1)
-    share = l1 / l1.max() if l1.max() > 0 else l1
-    out = np.zeros((len(fractions), coefs.shape[1]))
-    for i, f in enumerate(fractions):
-        j = int(np.searchsorted(share, f))
-        if j <= 0:
-            out[i] = coefs[0]
-        elif j >= len(share):
-            out[i] = coefs[-1]
-        else:
-            a, b = share[j - 1], share[j]
-            t = 0.0 if b == a else (f - a) / (b - a)
-            out[i] = (1 - t) * coefs[j - 1] + t * coefs[j]
-    return np.asarray(fractions, dtype=float), out
+    g = gram(df, list(x) + [y])
+    s = standardized(g.total(), g.shift, g.cols, list(x), y)
+    _, knots = lasso_knots(s)
+    share = np.abs(knots).sum(axis=1)
+    share = share / share[-1] if share[-1] > 0 else share
+    f = np.clip(np.asarray(fractions, dtype=float), 0.0, 1.0)
+    b = np.stack([np.interp(f, share, knots[:, j]) for j in range(len(x))], 1)
+    beta = np.where(s.sx > 0, b / np.where(s.sx > 0, s.sx, 1.0), 0.0)
+    return np.asarray(fractions, dtype=float), np.hstack([(s.my - beta @ s.mx)[:, None], beta])
 
 
 # ------------------------------------------------------- subset search ---

@@ -183,6 +183,27 @@ def b6_gbm_rounds_of_stumps(spark, sf_dir):
     return r4(en.gbm_rounds(m, hh, Y))
 
 
+_L10 = with_ctes(HH_RAW, HH) + (
+    f", m AS (SELECT avg(members) AS m1, avg(rooms) AS m2, avg({Y}) AS my, stddev_pop(members) AS s1, stddev_pop(rooms) AS s2, "
+    f"covar_pop(members, {Y}) / stddev_pop(members) AS c1, covar_pop(rooms, {Y}) / stddev_pop(rooms) AS c2, corr(members, rooms) AS q FROM hh), "
+    "o AS (SELECT *, abs(c1) >= abs(c2) AS one, (c1 - q * c2) / (1 - q * q) AS e1, (c2 - q * c1) / (1 - q * q) AS e2 FROM m), "
+    "k AS (SELECT *, CASE WHEN one THEN c1 ELSE c2 END AS ca, CASE WHEN one THEN c2 ELSE c1 END AS cb, abs(e1) + abs(e2) AS whole FROM o), "
+    "g AS (SELECT *, least((abs(ca) - cb) / (1 - q * sign(ca)), (abs(ca) + cb) / (1 + q * sign(ca))) AS first FROM k), "
+    "f AS (SELECT *, t.v AS fraction, greatest(0, (t.v * whole - first) / (whole - first)) AS u FROM g, (VALUES (0), (0.125), (0.25), (0.5), (0.75), (1)) AS t(v)), "
+    # the first predictor alone up to the knot, then along a line to least squares
+    "b AS (SELECT *, least(t.fraction * whole, first) * sign(ca) AS ba FROM f AS t), "
+    "z AS (SELECT *, CASE WHEN one THEN ba + u * (e1 - first * sign(ca)) ELSE u * e1 END / s1 AS b1, "
+    "CASE WHEN one THEN u * e2 ELSE ba + u * (e2 - first * sign(ca)) END / s2 AS b2 FROM b) "
+    f"SELECT CAST(fraction AS DOUBLE) AS fraction, {r4s('my - b1 * m1 - b2 * m2')} AS intercept, {r4s('b1')} AS members, {r4s('b2')} AS rooms FROM z")
+
+
+@register("l10_lasso_fraction_two_predictors", _L10)
+def l10_lasso_fraction_two_predictors(spark, sf_dir):
+    """The exact lasso path of two predictors at six shares of its norm."""
+    fr, c = lin.lasso_fraction(fx.hh(spark, sf_dir), Y, ["members", "rooms"], [0, 0.125, 0.25, 0.5, 0.75, 1])
+    return r4(spark.createDataFrame([(float(f), *map(float, row)) for f, row in zip(fr, c)], "fraction double, intercept double, members double, rooms double"))
+
+
 def _first_tree(spark, model):
     t = model.trees[0]
     r = t.nodes[1]

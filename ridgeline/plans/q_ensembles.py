@@ -17,6 +17,7 @@ from ..operators import model_trees as mt
 from ..operators import neighbors as nb
 from ..operators import neural as nn
 from ..operators import resampling as rs
+from ..operators import smooth as sm
 from ..operators import tables as tb
 from ..operators import trees as tr
 from ..operators import tuning as tu
@@ -188,9 +189,9 @@ def b12_inference_boost(spark, sf_dir):
 
 @register("b14_componentwise_boost")
 def b14_componentwise_boost(spark, sf_dir):
-    """Componentwise boosting of binned smooth terms: 50 rounds, nu 0.1."""
+    """Componentwise boosting of penalised splines with four degrees of freedom: 100 rounds, nu 0.1; test RMSE."""
     train, te, x = _frame(spark, sf_dir)
-    return _test_rmse(hs.componentwise_boost(train, Y, x, "hhid", mstop=50, nu=0.1), te, "componentwise_boost")
+    return _test_rmse(sm.smooth_boost(train, Y, x, mstop=100, nu=0.1), te, "componentwise_boost")
 
 
 # --------------------------------------------------- composite models ---
