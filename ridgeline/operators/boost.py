@@ -355,17 +355,17 @@ class GridBoost:
     """Boosting of the models ``specs`` on one table."""
 
     def __init__(self, df: DataFrame, y: str, features: list[str], key, specs: list[Spec], seed: int = 1, max_bins: int = 64,
-                 valid_col: str | None = None, categorical=(), local_rows: int = LOCAL_ROWS):
+                 valid_col: str | None = None, categorical=(), local_rows: int = LOCAL_ROWS, coder: Coder | None = None):
         self.spark, self.specs, self.seed, self.local_rows = df.sparkSession, specs, seed, local_rows
         self.valid = valid_col is not None
-        self.coder = make_coder(df, features, max_bins, categorical)
+        self.coder = coder or make_coder(df, features, max_bins, categorical)
         valid = F.coalesce(F.col(valid_col).cast("boolean"), F.lit(False)) if valid_col else F.lit(False)
         yd = F.col(y).cast("double")
         r = df.where(F.col(y).isNotNull()).agg(F.avg(F.when(~valid, yd)).alias("m"), F.min(yd).alias("lo"), F.max(yd).alias("hi"),
-                                                 F.count(F.lit(1)).alias("n")).first()
+                                                 F.count(F.lit(1)).alias("n"), F.var_pop(yd).alias("var")).first()
         if r["m"] is None:
             raise ValueError("no training row with an outcome")
-        self.base = float(r["m"])
+        self.base, self.rows, self.dev = float(r["m"]), r["n"], r["n"] * float(r["var"])
         bits = min(BITS, 62 - math.ceil(math.log2(r["n"] + 1)))  # sums over all rows fit 63 bits
         self.unit = 2.0 ** math.floor(bits - 2 - math.log2(r["hi"] - r["lo"])) if r["hi"] > r["lo"] else 1.0
         self.path = scratch_path(self.spark, "blocks")
@@ -468,10 +468,10 @@ class GridBoost:
         for m, i in want - {(row["m"], row["i"]) for row in rows}:  # no row was drawn
             plants[m].set_split(i, None, 0, 0, self.local_rows)
 
-    def _round(self, r: int, rows: int) -> dict[int, HTree]:
+    def _round(self, r: int) -> dict[int, HTree]:
         plants = {m: Plant(self.specs[m]) for m in self.live}
         for q in plants.values():
-            q.state[0] = "open" if rows > self.local_rows else "local"
+            q.state[0] = "open" if self.rows > self.local_rows else "local"
         while True:
             wanted = [(m, i) for m, q in plants.items() for i in q.wanted()]
             upper = [(m, i) for m, i in wanted if plants[m].state[i] == "open"]
@@ -482,6 +482,10 @@ class GridBoost:
             else:
                 return {m: q.tree(self.unit, self.coder) for m, q in plants.items()}
 
+    def grow_tree(self) -> HTree:
+        """One tree of the first model on the outcome itself (no boosting)."""
+        return self._round(0)[0]
+
     def _write(self) -> None:
         """The blocks with the pending trees in their margins, in place of the version before."""
         reader = self._reader()
@@ -515,10 +519,9 @@ class GridBoost:
     def fit(self, rounds: int, patience: int | None = None) -> list[tuple[BoostModel, list[float], int]]:
         """``(model, validation curve, best round)`` per model; trees after the best round go where ``patience`` is set."""
         k = len(self.specs)
-        rows = self._table().agg(F.sum("n")).first()[0]
         trees, curves, best = [[] for _ in range(k)], [[] for _ in range(k)], [(math.inf, 0)] * k
         for r in range(rounds):
-            grown = self._round(r, rows)
+            grown = self._round(r)
             for (m, t), a in zip(grown.items(), arrays(list(grown.values()), self.coder)):
                 trees[m].append(t)
                 self.pending[m].append(a)

@@ -23,6 +23,7 @@ from ..operators import trees as tr
 from ..operators import tuning as tu
 from ..operators.boost import GridBoost, Spec
 from ..functions.hashing import hash_uniform
+from ..session import snapshot
 from . import fixtures as fx
 from .fixture_sql import HH, HH_RAW, with_ctes
 from .flagship import features, model_frame
@@ -198,17 +199,33 @@ def b14_componentwise_boost(spark, sf_dir):
 
 @register("t13_model_tree")
 def t13_model_tree(spark, sf_dir):
-    """Pruned tree (cp 0.01) with a smoothed linear model per leaf; test RMSE."""
+    """Model trees over the option grid pruned x smoothed x rules: test RMSE, number of models."""
     train, te, x = _frame(spark, sf_dir)
-    m = mt.model_tree(train, Y, x, cp=0.01, smoothed=True)
-    return _test_rmse(m, te, "model_tree", {"leaves": len(m.tree.leaves())})
+    train = snapshot(train)
+    rows = []
+    for p in tu.grid_points({"pruned": [True, False], "smoothed": [True, False], "rules": [False, True]}):
+        if p["rules"]:
+            m = mt.model_rules(train, Y, x, "hhid", cp=0.01, smoothed=p["smoothed"], pruned=p["pruned"])
+            size = len(m.rules)
+        else:
+            tree = mt.quick_tree(train, Y, x, "hhid", 0.01, 7)
+            m = mt.model_tree(train, Y, x, smoothed=p["smoothed"], pruned=p["pruned"], tree=tree)
+            size = len(m.tree.leaves())
+        rows.append((*p.values(), float(m.transform(te).agg(tb.rmse(te, "prediction", Y)).first()[0]), size))
+    return spark.createDataFrame(rows, "pruned boolean, smoothed boolean, rules boolean, test_rmse double, models int")
 
 
 @register("b13_rule_committee")
 def b13_rule_committee(spark, sf_dir):
-    """Committee of 5 sequential model trees; test RMSE."""
+    """Committee of 98 sequential model trees with 0 to 9 neighbours: test RMSE."""
     train, te, x = _frame(spark, sf_dir)
-    return _test_rmse(mt.rule_committee(train, Y, x, committees=5), te, "committee")
+    train, te = snapshot(train), snapshot(te)
+    m = mt.rule_committee(train, Y, x, committees=98, key="hhid")
+    rows = []
+    for k in range(10):
+        p = mt.neighbor_correction(m, train, te, Y, "hhid", x, k)
+        rows.append((k, float(p.agg(tb.rmse(p, "prediction", Y)).first()[0])))
+    return spark.createDataFrame(rows, "neighbors int, test_rmse double")
 
 
 @register("b4_bagged_mars")
