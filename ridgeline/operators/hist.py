@@ -34,6 +34,7 @@ from .trees import bin_features
 
 MAX_HIST_ROWS = 1_000_000  # histogram rows of one pass; more nodes take more passes
 CHECKPOINT_EVERY = 5
+MAX_LEVELS = 1000
 
 
 # ------------------------------------------------------------- binning ---
@@ -242,7 +243,7 @@ def sum_of_trees(trees: list, scale: float, base: float = 0.0) -> Column:
     return score(*[F.col(f).cast("double") for f in feats])
 
 
-def _split_children(t: HTree, i: int, feature: str, cut: float, gain: float, lv: float, rv: float,
+def _split_children(t: HTree, i: int, feature: str, cut: float | None, gain: float, lv: float, rv: float,
                     ln: float, rn: float) -> None:
     nd = t.nodes[i]
     nd.feature, nd.cut, nd.gain = feature, cut, gain
@@ -263,6 +264,55 @@ def _assoc(hf: pd.DataFrame):
     return (n - 1) * (sxy - sx * sy / n) ** 2 / (vx * vy)
 
 
+def _nominal(hf: pd.DataFrame, levels: int):
+    """Statistic and degrees of freedom of y and a nominal column from its levels' sums (None if there is nothing to test).
+
+    The linear statistic is the vector of the levels' sums of y.  With its permutation mean and covariance
+    ``V / (n - 1) * (n diag(n_k) - n n')`` the quadratic form has the closed value ``(n - 1) * between / total`` sum of
+    squares, and the covariance has rank ``levels - 1``.  Rows without a level (the last bin) take no part.
+    """
+    hf = hf[(hf["b"] < levels) & (hf["n"] > 0)]
+    n, s = hf["n"].sum(), hf["y"].sum()
+    total = hf["yy"].sum() - s * s / n if n else 0.0
+    if len(hf) < 2 or total <= 0:
+        return None
+    between = (hf["y"] ** 2 / hf["n"]).sum() - s * s / n
+    return (n - 1) * between / total, len(hf) - 1
+
+
+def with_levels(df: DataFrame, bins: Bins, nominal) -> Bins:
+    """``bins`` with one bin per level of the ``nominal`` columns and a last one for NULL."""
+    cuts = dict(bins.cuts)
+    for f in nominal:
+        got = [r[0] for r in df.select(F.col(f).cast("double")).where(F.col(f).isNotNull()).distinct().limit(MAX_LEVELS + 1).collect()]
+        if len(got) > MAX_LEVELS:
+            raise ValueError(f"{f} has more than {MAX_LEVELS} levels")
+        cuts[f] = sorted(got)
+    return Bins(bins.features, cuts, {f: c for f, c in bins.materialized.items() if f not in nominal})
+
+
+def association_tests(df: DataFrame, y: str, features: list[str], nominal=(), max_bins: int = 64) -> dict:
+    """``{feature: (statistic, degrees of freedom, p)}`` at the root, one HIST pass."""
+    bins = with_levels(df, make_bins(df, features, max_bins), nominal)
+    mid = _means(df, [y, *features], F.lit(1.0))
+    d = df.select(*features, (F.col(y).cast("double") - F.lit(mid[y])).alias("_y")).where("_y is not null")
+    h = hist(d, F.lit(1), bins, {"n": F.lit(1.0), "y": F.col("_y"), "yy": F.col("_y") * F.col("_y")}, with_x=True, centers=mid)
+    out = {}
+    for fi, hf in h.groupby("f"):
+        got = _tested(hf, bins, bins.features[fi], nominal)
+        if got:
+            out[bins.features[fi]] = (*got, chi2_sf(*got))
+    return out
+
+
+def _tested(hf: pd.DataFrame, bins: Bins, f: str, nominal):
+    """``(statistic, degrees of freedom)`` of one feature's histogram."""
+    if f in nominal:
+        return _nominal(hf, len(bins.cuts[f]))
+    stat = _assoc(hf)
+    return None if stat is None else (stat, 1)
+
+
 def _means(df: DataFrame, cols: list[str], w: Column) -> dict:
     """Weighted means, so that sums of squares are taken about them (large means cost no digits)."""
     r = df.agg(*[(F.sum(w * F.col(c).cast("double")) / F.sum(F.when(F.col(c).isNotNull(), w))).alias(f"m{i}")
@@ -286,7 +336,7 @@ def association_statistics(df: DataFrame, y: str, features: list[str], max_bins:
 
 def ctree(df: DataFrame, y: str, features: list[str], mincriterion: float = 0.95, minsplit: int = 20,
           minbucket: int = 7, maxdepth: int = 30, bins: Bins | None = None, weight: Column | None = None,
-          max_bins: int = 64) -> HTree:
+          max_bins: int = 64, nominal=()) -> HTree:
     """Conditional inference tree.
 
     At each node the variable is chosen by a permutation-test association
@@ -295,8 +345,12 @@ def ctree(df: DataFrame, y: str, features: list[str], mincriterion: float = 0.95
     ``1 - p_adj > mincriterion``.  The cut on the chosen variable maximises
     the two-sample statistic, i.e. the RSS reduction, subject to
     ``minbucket``.  One HIST job per level.
+
+    A ``nominal`` column is tested by the quadratic form of its levels' sums, with
+    ``levels - 1`` degrees of freedom, and split into two sets of levels
+    (levels by mean, the best cut); its NULLs go right.
     """
-    bins = bins or make_bins(df, features, max_bins)
+    bins = with_levels(df, bins or make_bins(df, features, max_bins), nominal)
     w = weight if weight is not None else F.lit(1.0)
     keep = list(features) + [c for c in bins.materialized.values() if c in df.columns]
     d = df.select(*keep, F.col(y).cast("double").alias("_y"), w.cast("double").alias("_w"))
@@ -321,11 +375,11 @@ def ctree(df: DataFrame, y: str, features: list[str], mincriterion: float = 0.95
             m = 0
             per_f = {}
             for fi, hf in hi.groupby("f"):
-                stat = _assoc(hf)
-                if stat is None:
+                test = _tested(hf, bins, bins.features[fi], nominal)
+                if test is None:
                     continue
                 m += 1
-                per_f[fi] = chi2_sf(stat, 1)
+                per_f[fi] = chi2_sf(*test)
             if not per_f:
                 continue
             for fi, p in per_f.items():
@@ -334,7 +388,10 @@ def ctree(df: DataFrame, y: str, features: list[str], mincriterion: float = 0.95
                     best_p, best_f = adj, fi
             if best_f is None or 1.0 - best_p <= mincriterion:
                 continue
-            hf = hi[hi["f"] == best_f].sort_values("b")
+            hf, f = hi[hi["f"] == best_f].sort_values("b"), bins.features[best_f]
+            if f in nominal:  # levels by mean, NULL last
+                rank = np.where(hf["b"] < len(bins.cuts[f]), hf["y"] / hf["n"], np.inf)
+                hf = hf.iloc[np.argsort(rank, kind="stable")]
             cn, cy = hf["n"].cumsum().to_numpy(), hf["y"].cumsum().to_numpy()
             n, s = cn[-1], cy[-1]
             ok = (cn >= minbucket) & (n - cn >= minbucket)
@@ -345,13 +402,14 @@ def ctree(df: DataFrame, y: str, features: list[str], mincriterion: float = 0.95
                 gain = cy ** 2 / cn + (s - cy) ** 2 / (n - cn) - s * s / n
             gain = np.where(ok, gain, -np.inf)
             k = int(np.argmax(gain))
-            f = bins.features[best_f]
             b = int(hf["b"].to_numpy()[k])
             if b >= len(bins.cuts[f]):
                 continue
-            _split_children(t, i, f, bins.threshold(f, b), float(gain[k]), base + cy[k] / cn[k],
+            _split_children(t, i, f, None if f in nominal else bins.threshold(f, b), float(gain[k]), base + cy[k] / cn[k],
                             base + (s - cy[k]) / (n - cn[k]), float(cn[k]), float(n - cn[k]))
             t.nodes[i].stat = {"p_adj": best_p}
+            if f in nominal:
+                t.nodes[i].stat["left"] = [bins.cuts[f][q] for q in hf["b"].to_numpy()[:k + 1]]
             nxt += [nd.left, nd.right]
         frontier = nxt
     return t

@@ -366,3 +366,34 @@ def t11_root_statistic(spark, sf_dir):
     hh = fx.hh(spark, sf_dir)
     st = hs.association_statistics(hh, Y, _T11X)
     return r4(spark.createDataFrame([(f, float(v)) for f, v in st.items()], "feature string, statistic double"))
+
+
+_T11N = "CAST((hhid * 7919) % 101 AS DOUBLE)"
+
+
+def _t11_nominal_sql():
+    parts = " UNION ALL ".join(
+        f"SELECT '{c}' AS feature, (SELECT (count(*) - 1) FROM hh) * sum(n * (m - (SELECT avg({_T11N}) FROM hh)) * (m - (SELECT avg({_T11N}) FROM hh))) "
+        f"/ (SELECT count(*) * var_pop({_T11N}) FROM hh) AS x, count(*) - 1 AS df "
+        f"FROM (SELECT count(*) AS n, avg({_T11N}) AS m FROM hh GROUP BY {c})" for c in fx.HH_NOMINAL)
+    # the upper tail of chi-square has a finite sum for an even number of degrees of freedom
+    tail = "exp(-x / 2) * list_sum(list_transform(range(CAST(df // 2 AS BIGINT)), lambda k: power(x / 2, k) / factorial(CAST(k AS INT))))"
+    return (with_ctes(HH_RAW, HH) + f", t AS ({parts}) SELECT feature, {r4s('x')} AS statistic, CAST(df AS INT) AS df, "
+            f"CASE WHEN df % 2 = 0 THEN {r4s(tail)} END AS p FROM t")
+
+
+@register("t11_nominal_tests", _t11_nominal_sql())
+def t11_nominal_tests(spark, sf_dir):
+    """Association of an unrelated outcome with the nominal columns: quadratic statistic, degrees of freedom, p (where SQL can tell it)."""
+    hh = fx.hh(spark, sf_dir).withColumn("_noise", F.expr("CAST((hhid * 7919) % 101 AS DOUBLE)"))
+    got = hs.association_tests(hh, "_noise", list(fx.HH_NOMINAL), nominal=fx.HH_NOMINAL)
+    rows = [(f, float(x), int(df), float(p) if df % 2 == 0 else None) for f, (x, df, p) in got.items()]
+    return r4(spark.createDataFrame(rows, "feature string, statistic double, df int, p double"))
+
+
+@register("t11_inference_tree_nominal")
+def t11_inference_tree_nominal(spark, sf_dir):
+    """Conditional inference tree on the columns as they are, nominal ones as sets of levels: test RMSE, leaves, depth."""
+    d = rs.stratified_split(fx.hh(spark, sf_dir), Y, 0.75, "hhid", seed=7)
+    t = hs.ctree(d.filter("in_train"), Y, [*fx.HH_NUMERIC, *fx.HH_NOMINAL], mincriterion=0.95, nominal=fx.HH_NOMINAL)
+    return _test_rmse(t, d.filter(~F.col("in_train")), "ctree", {"leaves": len(t.leaves()), "depth": t.depth()})

@@ -145,3 +145,31 @@ def test_weakest_link_is_nearly_linear_and_matches_the_table(spark):
         p = tr.prune(t, cp)
         assert len(p.leaves()) - 1 == splits
         assert abs(sum(p.nodes[j].dev for j in p.leaves()) / t.nodes[0].dev - err) < 1e-9
+
+
+def test_nominal_statistic_is_the_quadratic_form():
+    import pandas as pd
+    rnd = np.random.default_rng(3)
+    g, y = rnd.integers(0, 5, 80), rnd.normal(size=80)
+    e = np.eye(6)[g]  # the last level has no rows
+    n, t = e.sum(0), e.T @ y
+    cov = y.var() / 79 * (80 * np.diag(n) - np.outer(n, n))
+    off = t - n * y.mean()
+    want, rank = off @ np.linalg.pinv(cov, rcond=1e-10) @ off, np.linalg.matrix_rank(cov, tol=1e-8)
+    hf = pd.DataFrame({"b": range(6), "n": n, "y": t, "yy": e.T @ y ** 2})
+    stat, df = hs._nominal(hf, 6)
+    assert abs(stat - want) < 1e-9 and df == rank == 4
+    assert hs._nominal(hf[:1], 6) is None
+
+
+def test_inference_tree_splits_sets_of_levels(spark, hh, hh_pd):
+    d = hh.withColumn("odd", F.when(F.col("prov") % 2 == 0, 5.0).otherwise(0.0) + F.col(Y) * 0.01)
+    t = hs.ctree(d, "odd", ["rooms", "prov"], mincriterion=0.95, maxdepth=1, nominal=["prov"])
+    want = sorted({float(p) for p in hh_pd["prov"] if p % 2 == 1})
+    assert t.nodes[1].feature == "prov" and sorted(t.nodes[1].stat["left"]) == want
+    two = t.transform(d).groupBy("prediction").agg(F.avg("odd").alias("m")).collect()
+    assert len(two) == 2 and all(abs(r["prediction"] - r["m"]) < 1e-9 for r in two)
+    holes = d.withColumn("prov", F.when(F.col("hhid") % 10 > 0, F.col("prov")))
+    t = hs.ctree(holes, "odd", ["prov"], maxdepth=1, nominal=["prov"])
+    right = holes.where("prov is null").select(t.node_expr().alias("k")).distinct().collect()
+    assert [r["k"] for r in right] == [t.nodes[1].right] and sorted(t.nodes[1].stat["left"]) == want
