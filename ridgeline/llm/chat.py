@@ -23,6 +23,7 @@ first, null ``conv_id`` is a conversation like another.  Equal rows of a log are
 event delivered twice and count once; repeated rows of a plain table (``from_turns``)
 are separate turns.  An empty log gives no rows.  Other columns
 are ignored.
+Very long texts are values like others: they are read whole.
 """
 
 from __future__ import annotations

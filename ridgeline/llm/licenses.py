@@ -14,6 +14,7 @@ Where matches of several templates overlap, the one with more matched tokens sta
 higher coverage, then template order); the others are part of it.  Null and empty
 texts have no matches.  Every row is scanned on its own, so repeated rows, null ids and
 copies need no rule; extra columns are ignored.  No templates give no matches.
+Very long texts are values like others: they are read whole.
 """
 
 from __future__ import annotations

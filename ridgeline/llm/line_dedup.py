@@ -21,6 +21,7 @@ in an earlier one, because blocks are judged on the input and point to earlier d
 Nulls and empty texts have no lines and stay.  A document given twice (same id, same text)
 gets the same result twice; null ids come last in the order.  Extra columns are kept by
 ``drop_common_blocks``, which also drops the documents of which no word is left.
+Very long texts are values like others: they are read whole.
 """
 
 from __future__ import annotations

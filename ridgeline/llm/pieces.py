@@ -16,6 +16,7 @@ chunks, and chunks seen before are looked up (two generations of ``CACHE`` entri
 Null texts give null ids; empty texts an empty list.  Row by row: repeated rows,
 ties and null ids need no rule.  Between equally good paths the one whose
 last piece is longest wins.
+Very long texts are values like others: they are read whole.
 """
 
 from __future__ import annotations

@@ -16,6 +16,7 @@ or more, reject a text.  Scores depend on the text alone: repeated rows and null
 ids are scored like any other; extra columns are kept by ``keep_good``.  Labels
 that are null or whose document is missing are not used; with labels of one class
 only (or none) the model has no trees and keeps all that passes the base rules.
+Very long texts are values like others: they are read whole.
 """
 
 from __future__ import annotations

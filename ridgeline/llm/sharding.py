@@ -22,6 +22,7 @@ own plus its place within the unit; no task ever orders a whole shard.
 Nulls: a null text counts as empty (size 1); a null id is a value like another.
 Repeated rows are separate records.  An empty table gives an empty result.
 Extra columns are dropped.
+Very long texts are values like others: they are read whole.
 """
 
 from __future__ import annotations
