@@ -83,6 +83,6 @@ def feature_columns(df: DataFrame, y: str, exclude: list[str] = ()) -> list[str]
 
 
 def assemble(df: DataFrame, y: str, exclude: list[str] = (), out: str = "features") -> DataFrame:
-    """P10: vector column of all non-outcome columns (MLlib input)."""
+    """P10: vector column of all non-outcome columns (MLlib input); a NULL is NaN in it, so that no row is lost."""
     cols = feature_columns(df, y, exclude)
-    return VectorAssembler(inputCols=cols, outputCol=out, handleInvalid="skip").transform(df)
+    return VectorAssembler(inputCols=cols, outputCol=out, handleInvalid="keep").transform(df)

@@ -37,19 +37,19 @@ def near_zero_variance(df: DataFrame, cols: list[str], freq_cut: float = NZV_FRE
                        unique_cut: float = NZV_UNIQUE_CUT) -> DataFrame:
     """Frequency ratio, percent unique, zero-variance and nzv flags per column.
 
-    Value counts come from one ``groupBy(variable, value)``; the top two
-    counts per variable are then plain aggregates (no window over values,
+    Value counts come from one ``groupBy(variable, value)``, a second aggregate
+    counts the counts, and the top two of these are read per variable (no window over values,
     so a high-cardinality column never lands in one task).
     """
     n = df.count()
     counts = _stack(df, cols).filter(F.col("value").isNotNull()) \
         .groupBy("variable", "value").agg(F.count("*").alias("c"))
-    top = counts.groupBy("variable").agg(F.max("c").alias("top1"), F.count("*").alias("n_unique"))
-    j = counts.join(top, "variable")
-    second = j.groupBy("variable").agg(
-        F.sum((F.col("c") == F.col("top1")).cast("int")).alias("n_top"),
-        F.max(F.when(F.col("c") < F.col("top1"), F.col("c"))).alias("below"))
-    r = top.join(second, "variable")
+    # how many values share a count: at most sqrt(2 n) rows per column, whatever its cardinality
+    per = counts.groupBy("variable", "c").agg(F.count("*").alias("k"))
+    whole = Window.partitionBy("variable")
+    down = whole.orderBy(F.col("c").desc())
+    r = per.select("variable", F.col("c").alias("top1"), F.col("k").alias("n_top"), F.lead("c").over(down).alias("below"),
+                   F.sum("k").over(whole).alias("n_unique"), F.row_number().over(down).alias("_r")).filter("_r = 1")
     sec = F.when(F.col("n_top") > 1, F.col("top1")).otherwise(F.col("below"))
     freq_ratio = F.when(F.col("n_unique") <= 1, F.lit(0.0)).otherwise(F.col("top1").cast("double") / sec)
     pct = F.lit(100.0) * F.col("n_unique").cast("double") / F.lit(float(n))

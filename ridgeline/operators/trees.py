@@ -155,6 +155,19 @@ class Node:
     right: int | None = None
     gain: float = 0.0
     shift: float = 0.0  # sy and syy are sums of y - shift
+    surrogates: list | None = None  # (feature, cut, left where "<=") in the order they are asked where the split's value is NULL
+    majority_left: bool = False     # where those are NULL too
+
+    def goes_left(self) -> Column:
+        """Whether a row goes left; without surrogates a NULL goes right."""
+        first = F.col(self.feature) <= F.lit(self.cut)
+        if self.surrogates is None:
+            return first
+        out = F.lit(self.majority_left)
+        for f, cut, below in reversed(self.surrogates):
+            side = F.col(f) <= F.lit(cut) if below else F.col(f) > F.lit(cut)
+            out = F.coalesce(side, out)
+        return F.coalesce(first, out)
 
     @property
     def value(self) -> float:
@@ -210,7 +223,7 @@ class Tree:
             nd = self.nodes[i]
             if nd.is_leaf:
                 return F.lit(float(lv(nd)))
-            return F.when(F.col(nd.feature) <= F.lit(nd.cut), build(nd.left)).otherwise(build(nd.right))
+            return F.when(nd.goes_left(), build(nd.left)).otherwise(build(nd.right))
         return build(self.root)
 
     def node_expr(self) -> Column:
@@ -218,7 +231,7 @@ class Tree:
             nd = self.nodes[i]
             if nd.is_leaf:
                 return F.lit(int(i))
-            return F.when(F.col(nd.feature) <= F.lit(nd.cut), build(nd.left)).otherwise(build(nd.right))
+            return F.when(nd.goes_left(), build(nd.left)).otherwise(build(nd.right))
         return build(self.root)
 
     def transform(self, df: DataFrame, out: str = "prediction") -> DataFrame:
@@ -231,7 +244,7 @@ class Tree:
             here = anc + [i]
             if nd.is_leaf:
                 return F.array(*[F.lit(int(a)) for a in here])
-            return F.when(F.col(nd.feature) <= F.lit(nd.cut), build(nd.left, here)).otherwise(build(nd.right, here))
+            return F.when(nd.goes_left(), build(nd.left, here)).otherwise(build(nd.right, here))
         return build(self.root, [])
 
     def parents(self) -> dict:

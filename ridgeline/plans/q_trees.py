@@ -5,6 +5,7 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import functions as F
 
+from ..functions.hashing import hash_uniform
 from ..operators import cart as ca
 from ..operators import resampling as rs
 from ..operators import tables as tb
@@ -192,3 +193,16 @@ def t6_tune_maxdepth(spark, sf_dir):
     E = np.array(errs)
     rows = [(k, float(E[:, i].mean()), float(E[:, i].std(ddof=1))) for i, k in enumerate(depths)]
     return spark.createDataFrame(rows, "max_depth int, rmse double, rmse_sd double")
+
+
+@register("t2_surrogate_tree")
+def t2_surrogate_tree(spark, sf_dir):
+    """Regression tree where a fifth of every predictor is missing: rows follow surrogate splits; test RMSE against sending them right."""
+    d = rs.stratified_split(fx.hh(spark, sf_dir), Y, 0.75, "hhid", seed=7)
+    d = d.withColumns({c: F.when(hash_uniform(31, "hhid", F.lit(c)) >= 0.2, F.col(c)) for c in TREE_X})
+    train, te = d.filter("in_train"), d.filter(~F.col("in_train"))
+    rows = []
+    for name, t in (("surrogates", ca.grow_surrogate_cart(train, Y, TREE_X, cp=0.01)), ("right", ca.grow_cart(train, Y, TREE_X, cp=0.01))):
+        p = t.transform(te)
+        rows.append((name, len(t.leaves()), float(p.agg(tb.rmse(p, "prediction", Y)).first()[0])))
+    return spark.createDataFrame(rows, "nulls string, leaves int, test_rmse double")

@@ -173,3 +173,66 @@ def test_inference_tree_splits_sets_of_levels(spark, hh, hh_pd):
     t = hs.ctree(holes, "odd", ["prov"], maxdepth=1, nominal=["prov"])
     right = holes.where("prov is null").select(t.node_expr().alias("k")).distinct().collect()
     assert [r["k"] for r in right] == [t.nodes[1].right] and sorted(t.nodes[1].stat["left"]) == want
+
+
+def _surrogate_brute(x, y, cp, minsplit, minbucket, maxdepth):
+    """rpart's rules on rows: splits by known values, surrogates by agreement, then the majority.  Leaf of every row."""
+    p = x.shape[1]
+    dev = lambda r: ((y[r] - y[r].mean()) ** 2).sum()
+    least, leaf, todo = cp * dev(np.arange(len(y))), np.full(len(y), np.nan), [(np.arange(len(y)), 0)]
+    while todo:
+        rows, depth = todo.pop()
+        best = (0.0,)
+        if len(rows) >= minsplit and depth < maxdepth:
+            for f in range(p):
+                have = rows[~np.isnan(x[rows, f])]
+                for c in np.unique(x[have, f])[:-1]:
+                    a, b = have[x[have, f] <= c], have[x[have, f] > c]
+                    if min(len(a), len(b)) >= minbucket and (g := dev(have) - dev(a) - dev(b)) > best[0] + 1e-9:
+                        best = (g, f, c, len(a) >= len(b))
+        if best[0] < least or best[0] <= 0:
+            leaf[rows] = y[rows].mean()
+            continue
+        _, f, c, majority = best
+        left = np.where(np.isnan(x[rows, f]), np.nan, x[rows, f] <= c)
+        ranked = []
+        for g in range(p):
+            both = ~np.isnan(left) & ~np.isnan(x[rows, g])
+            if g == f or not both.any():
+                continue
+            v, l = x[rows[both], g], left[both] == 1
+            options = [(max(k := ((v <= q) == l).sum(), len(l) - k), -q, 2 * k >= len(l)) for q in np.unique(v)[:-1]]
+            if options and max(options)[0] > max(l.sum(), len(l) - l.sum()):
+                top = max(options)
+                ranked.append((-top[0], g, -top[1], top[2]))
+        for _, g, q, below in sorted(ranked)[:5]:
+            side = np.where(np.isnan(x[rows, g]), np.nan, (x[rows, g] <= q) == below)
+            left = np.where(np.isnan(left), side, left)
+        left = np.where(np.isnan(left), majority, left).astype(bool)
+        todo += [(rows[left], depth + 1), (rows[~left], depth + 1)]
+    return leaf
+
+
+def test_surrogate_tree_equals_brute_force(spark):
+    from ridgeline.operators import cart as ca
+    rnd = np.random.default_rng(12)
+    n = 400
+    z = rnd.normal(size=n)
+    x = np.stack([np.round(z * 2), np.round(z * 2 + rnd.normal(size=n)), rnd.integers(0, 6, n).astype(float), np.round(-z * 3)], 1)
+    y = np.where(x[:, 0] > 0, 3.0, 0.0) + (x[:, 2] > 2) + rnd.normal(size=n) * 0.3
+    x[rnd.uniform(size=x.shape) < 0.25] = np.nan
+    rows = [(i, *[None if np.isnan(v) else float(v) for v in r], float(t)) for i, (r, t) in enumerate(zip(x, y))]
+    df = spark.createDataFrame(rows, "id int, a double, b double, c double, d double, y double")
+    for d in (df.repartition(1), df.repartition(7)):
+        t = ca.grow_surrogate_cart(d, "y", ["a", "b", "c", "d"], cp=0.01, minsplit=20, minbucket=7, maxdepth=4)
+        got = [r["prediction"] for r in t.transform(d).orderBy("id").collect()]
+        assert len(t.leaves()) > 3 and any(nd.surrogates for nd in t.nodes.values())
+        assert np.allclose(got, _surrogate_brute(x, y, 0.01, 20, 7, 4), atol=1e-9)
+
+
+def test_surrogate_tree_without_nulls_is_the_plain_tree(spark, hh):
+    from ridgeline.operators import cart as ca
+    a, b = ca.grow_surrogate_cart(hh, Y, X, cp=0.01), ca.grow_cart(hh, Y, X, cp=0.01)
+    cuts = lambda t: sorted((n.depth, n.feature, n.cut, n.n) for n in t.nodes.values() if not n.is_leaf)
+    assert cuts(a) == cuts(b)
+    assert ca.grow_surrogate_cart(hh.limit(0), Y, X, cp=0.01).nodes[0].n == 0

@@ -87,3 +87,20 @@ def test_corr_matrix_matches_numpy(spark, hh, hh_pd):
     for i, a in enumerate(cols):
         for j, b in enumerate(cols):
             assert abs(got[(a, b)] - R[i, j]) < 1e-10
+
+
+def test_assemble_keeps_rows_with_nulls(spark):
+    from ridgeline.operators import projections as pj
+    df = spark.createDataFrame([(1.0, 2.0, 3.0), (1.0, None, 3.0)], "y double, a double, b double")
+    got = [[str(float(v)) for v in r["features"]] for r in pj.assemble(df, "y").orderBy("a").collect()]
+    assert got == [["nan", "3.0"], ["2.0", "3.0"]]
+
+
+def test_near_zero_variance_counts_ties_and_single_values(spark):
+    from ridgeline.operators import tables as tb
+    rows = [(1, "a" if i < 20 else "b" if i < 40 else f"v{i}", i % 2, None if i % 3 else 1) for i in range(60)]
+    df = spark.createDataFrame(rows, "one int, tie string, half int, holes int").repartition(5)
+    got = {r["variable"]: (r["freq_ratio"], round(r["percent_unique"], 6), r["zero_var"]) for r in
+           tb.near_zero_variance(df, ["one", "tie", "half", "holes"]).collect()}
+    assert got == {"one": (0.0, round(100 / 60, 6), True), "tie": (1.0, round(2200 / 60, 6), False), "half": (1.0, round(200 / 60, 6), False),
+                   "holes": (0.0, round(100 / 60, 6), True)}
