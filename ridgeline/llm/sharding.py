@@ -3,15 +3,15 @@
 Law: ``bytes`` - all shards get nearly the same number of bytes.
 
 Records are ordered by a 64-bit hash of their text.  A size-weighted sample of
-keys (a row is drawn with probability proportional to its size, by a hash, so
-every run draws the same rows) gives quantile boundaries for many more ranges
+keys (a row is drawn with probability proportional to its load - its size plus the mean size,
+which bounds a range in rows, too - by a hash, so every run draws the same rows) gives quantile boundaries for many more ranges
 than shards.  The ranges' true sizes are measured in one aggregate; overfull
 ranges are sampled again inside and subdivided.  Runs of neighbouring ranges
 then fill the shards.
 
 Equal texts share a key, so a group of copies stays in one range.  A group larger
 than a range would hold is a unit of its own (heavy key): it is cut by a hash of
-the row into pieces of about one range, and its pieces go to one shard unless it
+the row into pieces of a quarter of a range, and its pieces go to one shard unless it
 is larger than what a shard has room for; only then it spans shards.
 
 The driver sees the sample, the ranges and the heavy keys only: their number is
@@ -28,6 +28,7 @@ Very long texts are values like others: they are read whole.
 from __future__ import annotations
 
 import bisect
+import math
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -35,10 +36,10 @@ from pyspark.sql import functions as F
 from .common import cut_lineage, local_table, table
 
 SHARDS = 16
-RANGES_PER_SHARD = 64
+RANGES_PER_SHARD = 128
 ROWS_PER_RANGE = 1 << 20
 SAMPLE_PER_RANGE = 24
-MAX_SUBDIVISIONS = 4
+PIECES_PER_RANGE = 4  # small pieces, as many equal rows of little size would otherwise make the fullest units
 CELL_BITS = 10
 
 
@@ -77,8 +78,8 @@ def _quantiles(sample: list[tuple[int, float]], n: int) -> list[int]:
     return out
 
 
-def assign(docs: DataFrame, shards: int = SHARDS, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row per record: ``id, size, text_crc32, law, shard, slot, grown_shard``."""
+def units_of(docs: DataFrame, shards: int = SHARDS, id_col: str = "doc_id", text: str = "text") -> DataFrame:
+    """Every record (``id, size, crc, key, rid``) with its unit ``(ukey, piece)``: a range (piece -1) or a piece of a heavy key."""
     spark = docs.sparkSession
     t = F.coalesce(F.col(text), F.lit(""))
     base = cut_lineage(docs.select(
@@ -86,31 +87,34 @@ def assign(docs: DataFrame, shards: int = SHARDS, id_col: str = "doc_id", text:
         F.crc32(t).alias("crc"), F.xxhash64(t).alias("key"), F.xxhash64(F.col(id_col), t).alias("rid")))
     total, rows = base.agg(F.coalesce(F.sum("size"), F.lit(0)), F.count(F.lit(1))).first()
     n_ranges = max(shards * RANGES_PER_SHARD, -(-rows // ROWS_PER_RANGE))
-    target = max(1, total // n_ranges)
+    # a row's load is its size plus the mean size, so that a unit is bounded in bytes and in rows
+    mean = max(1, round(total / max(1, rows)))
+    load, whole = F.col("size") + F.lit(mean), total + rows * mean
+    target = max(1, whole // n_ranges)
     # heavy keys: at most n_ranges of them can reach the target size
-    heavy = (base.groupBy("key").agg(F.sum("size").alias("s")).where(F.col("s") >= target)
-             .select("key", F.ceil(F.col("s") / F.lit(target)).cast("int").alias("pieces")))
+    heavy = (base.groupBy("key").agg(F.sum(load).alias("s")).where(F.col("s") >= target)
+             .select("key", F.ceil(PIECES_PER_RANGE * F.col("s") / F.lit(target)).cast("int").alias("pieces")))
     heavy = local_table(spark, [tuple(r) for r in heavy.collect()], "key bigint, pieces int")
     tagged = base.join(F.broadcast(heavy), "key", "left")
     light = tagged.where(F.col("pieces").isNull())
     # size-weighted draws: a row above the sampling step is always drawn and keeps its own weight
-    step = max(1.0, total / float(n_ranges * SAMPLE_PER_RANGE))
+    step = max(1.0, whole / float(n_ranges * SAMPLE_PER_RANGE))
 
     def draw(df, every):
-        return (df.where(_uniform("rid", "key") < F.col("size") / F.lit(float(every)))
-                .select("key", F.greatest(F.col("size").cast("double"), F.lit(float(every))).alias("w")))
+        return (df.where(_uniform("rid", "key") < load / F.lit(float(every)))
+                .select("key", F.greatest(load.cast("double"), F.lit(float(every))).alias("w")))
 
     bounds = _quantiles([tuple(r) for r in draw(light, step).collect()], n_ranges)
-    for _ in range(MAX_SUBDIVISIONS):
-        sizes = {r[0]: r[1] for r in _with_range(light, bounds).groupBy("rng").agg(F.sum("size")).collect()}
+    while True:  # until no range is overfull, or those that are hold one key each
+        sizes = {r[0]: r[1] for r in _with_range(light, bounds).groupBy("rng").agg(F.sum(load)).collect()}
         over = {r: s for r, s in sizes.items() if s > 2 * target}
         if not over:
             break
         inside = _with_range(light, bounds).join(
             F.broadcast(local_table(spark, [(r, float(s)) for r, s in over.items()], "rng int, over double")), "rng")
-        again = (inside.where(_uniform("rid", "key", F.lit(1)) < F.col("size") * (8 * SAMPLE_PER_RANGE) / F.col("over"))
-                 .select("rng", "key", F.greatest(F.col("size").cast("double"), F.col("over") / (8 * SAMPLE_PER_RANGE))).collect())
-        more = {b for r, s in over.items() for b in _quantiles([(k, w) for q, k, w in again if q == r], -(-s // target))}
+        again = (inside.where(_uniform("rid", "key", F.lit(1)) < load * (8 * SAMPLE_PER_RANGE) / F.col("over"))
+                 .select("rng", "key", F.greatest(load.cast("double"), F.col("over") / (8 * SAMPLE_PER_RANGE))).collect())
+        more = {b for r, s in over.items() for b in _quantiles([(k, w) for q, k, w in again if q == r], math.ceil(s / target))}
         if more <= set(bounds):
             break
         bounds = sorted(set(bounds) | more)
@@ -120,7 +124,12 @@ def assign(docs: DataFrame, shards: int = SHARDS, id_col: str = "doc_id", text:
     heavy_units = (tagged.where(F.col("pieces").isNotNull()).withColumn("piece", piece)
                    .withColumn("ukey", F.col("key")))
     cols = ["id", "size", "crc", "key", "rid", "ukey", "piece"]
-    units = light_units.select(cols).unionByName(heavy_units.select(cols))
+    return light_units.select(cols).unionByName(heavy_units.select(cols))
+
+
+def assign(docs: DataFrame, shards: int = SHARDS, id_col: str = "doc_id", text: str = "text") -> DataFrame:
+    """One row per record: ``id, size, text_crc32, law, shard, slot, grown_shard``."""
+    spark, units = docs.sparkSession, units_of(docs, shards, id_col, text)
     measured = units.groupBy("ukey", "piece").agg(F.sum("size").alias("s"), F.count(F.lit(1)).alias("n")).collect()
     plan = local_table(spark, _fill([tuple(r) for r in measured], shards), "ukey bigint, piece int, shard int, first bigint")
     place = F.row_number().over(Window.partitionBy("ukey", "piece").orderBy("key", "rid", "id"))
@@ -160,11 +169,14 @@ def _fill(measured: list[tuple[int, int, int, int]], shards: int) -> list[tuple[
     left = sum(m[2] for m in measured if m[1] < 0)
     room = [max(0.0, fair - x) for x in load]
     scale = left / sum(room) if sum(room) else 1.0
-    limit = [x + r * scale for x, r in zip(load, room)]
+    edge = [scale * sum(room[:i + 1]) for i in range(shards)]
+    filled = 0.0
     for m in sorted(m for m in measured if m[1] < 0):
-        while s < shards - 1 and load[s] + m[2] / 2 > limit[s]:
+        # the shard where the middle of the range falls: errors do not add up
+        while s < shards - 1 and filled + m[2] / 2 > edge[s]:
             s += 1
         put(m, s)
+        filled += m[2]
     return out
 
 

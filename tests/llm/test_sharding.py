@@ -48,3 +48,13 @@ def test_hot_group_is_split(spark):
 def test_no_python(spark):
     df = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     assert not re.search("Python|Pandas|Arrow", S.assign(df)._jdf.queryExecution().executedPlan().toString())
+
+
+def test_units_are_bounded_in_rows(spark):
+    """95 % empty texts: the windows that number the slots stay near the mean unit."""
+    df = spark.range(400_000).selectExpr("id AS doc_id", "CASE WHEN id % 20 > 0 THEN '' ELSE repeat(concat('text ', id, ' '), 60) END AS text").repartition(8)
+    shards = S.assign(df).groupBy("shard").agg({"size": "sum", "slot": "max", "*": "count"}).toPandas()
+    assert shards["count(1)"].sum() == 400_000 and (shards["max(slot)"] + 1 == shards["count(1)"]).all()
+    assert shards["sum(size)"].max() <= 1.02 * shards["sum(size)"].min()
+    units = S.units_of(df).groupBy("ukey", "piece").count().toPandas()["count"]
+    assert units.max() <= 2 * units.mean()
