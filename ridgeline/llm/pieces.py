@@ -127,10 +127,6 @@ class PieceCodec:
             out += ids
         return out
 
-    def forget(self) -> None:
-        """Drop the chunks seen so far."""
-        self.young, self.old = {}, {}
-
     def decode(self, ids) -> str:
         """The text of piece ids; bytes that are no UTF-8 become U+FFFD."""
         raw = b"".join(map(self.spelling.__getitem__, ids))
@@ -146,7 +142,7 @@ _CODECS: dict[str, PieceCodec] = {}
 
 
 def codec(model: bytes) -> PieceCodec:
-    """One codec per Python worker and model."""
+    """One codec per task and model."""
     key = hashlib.sha256(model).hexdigest()
     if key not in _CODECS:
         _CODECS.clear()
@@ -174,8 +170,7 @@ def _by_batch(df: DataFrame, add: dict[str, str], fn) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]):
         for b in parts(batches):
             yield pa.RecordBatch.from_arrays([*b.columns, *fn(b)], names=[*b.schema.names, *add])
-        for c in _CODECS.values():  # Python workers outlive the task: the next one needs their memory
-            c.forget()
+        _CODECS.clear()  # Python workers outlive the task: the next one needs the automaton's memory
 
     return df.mapInArrow(run, schema)
 
