@@ -16,7 +16,7 @@ from ridgeline.session import cut_lineage, scratch_path
 MASK64 = (1 << 64) - 1
 
 
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 2 << 20
 
 
 def small_batches(spark: SparkSession) -> None:
