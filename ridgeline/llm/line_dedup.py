@@ -12,8 +12,9 @@ and holder, so a group of copies gives pairs linear in its size.
 
 Each pair is aligned by patience diff: lines that occur once on both sides, their
 longest increasing chain, recursion between the links, common heads and tails; what
-is left of the later document is aligned again until nothing is found, so moved blocks count; lines
-inside runs that both documents have go too where a chain of other lines passed them over.  Only the
+is left of the later document is aligned again until nothing is found, so moved blocks count.  Where a
+chain of scattered lines passed a block over, the runs that both still share are aligned in the same way,
+without those lines, until no shared run is left.  Only the
 lines inside shared runs travel, with their places.  Aligned blocks of neighbouring lines with at
 least ``min_words`` words are deleted from the later document.  Every deleted line stays
 in an earlier one, because blocks are judged on the input and point to earlier documents only.
@@ -167,20 +168,37 @@ def common_blocks(pa_: list[int], a: list[int], pb: list[int], b: list[int], n:
     return sorted(found)
 
 
-def shared_lines(pa_: list[int], a: list[int], pb: list[int], b: list[int], n: list[int], min_words: int) -> set[int]:
-    """Indexes into b of the lines inside runs that a has too, whatever their order."""
+def realigned(pa_: list[int], a: list[int], pb: list[int], b: list[int], n: list[int], min_words: int,
+              gone: frozenset | set = frozenset()) -> set[int]:
+    """Indexes into b of the lines in blocks that the chain of single lines passed over.
+
+    Patience diff once more, now of the runs that both have and that ``gone`` does not cover: a matched run is a
+    block of ``min_words`` words by itself, so scattered lines cannot outbid it.  Matched runs leave both
+    sides and the rest is aligned again, until no shared run is left; each pass takes one at least.
+    """
     words = dict(zip(b, n))
 
     def spots(at, lines):
-        start = 0
+        start, out = 0, []
         for k in range(1, len(lines) + 1):
             if k == len(lines) or at[k] != at[k - 1] + 1:
-                for r, p, q in runs(lines[start:k], [words.get(x, 0) for x in lines[start:k]], min_words):
-                    yield r, start + p, start + q
+                out += [(r, start + p, start + q) for r, p, q in runs(lines[start:k], [words.get(x, 0) for x in lines[start:k]], min_words)]
                 start = k
-
-    known = {r for r, _, _ in spots(pa_, a)}
-    return {k for r, p, q in spots(pb, b) if r in known for k in range(p, q + 1)}
+        return sorted(out, key=lambda s: s[1:])
+
+    x, y = spots(pa_, a), [s for s in spots(pb, b) if not gone.issuperset(range(s[1], s[2] + 1))]
+    both = {s[0] for s in x} & {s[0] for s in y}
+    x, y = ([s for s in side if s[0] in both] for side in (x, y))
+    out: set[int] = set()
+    while y:
+        taken = {y[j][0] for _, j in patience([s[0] for s in x], [s[0] for s in y], 0, len(x), 0, len(y))}
+        if not taken:
+            break
+        for r, p, q in y:
+            if r in taken:
+                out.update(range(p, q + 1))
+        x, y = ([s for s in side if s[0] not in taken] for side in (x, y))
+    return out
 
 
 def _keyed(docs: DataFrame, id_col: str, text: str) -> DataFrame:
@@ -234,8 +252,8 @@ def find_blocks(docs: DataFrame, id_col: str = "doc_id", text: str = "text", min
             out = []
             for no_a, h_a, no, at, h, n in zip(*(b.column(c).to_pylist() for c in ("no_a", "h_a", "no", "at", "h", "n"))):
                 gone = {k for p, q in common_blocks(no_a, h_a, no, h, n, min_words) for k in range(p, q + 1)}
-                if len(gone) < len(h):  # blocks that the chains of the alignment passed over
-                    gone |= shared_lines(no_a, h_a, no, h, n, min_words)
+                if len(gone) < len(h):
+                    gone |= realigned(no_a, h_a, no, h, n, min_words, gone)
                 out.append([at[k] for k in sorted(gone)])
             yield pa.RecordBatch.from_arrays([b.column("key"), b.column("first"), pa.array(out, pa.list_(pa.int32()))], names=["key", "first", "lines"])
 

@@ -119,9 +119,9 @@ def test_runs_of_both_directions_cover_every_line():
 def test_blocks_passed_over_by_the_chain():
     a, b, n = [1, 2, 9], [9, 1, 5, 2], [60, 3, 2, 3]
     assert L.common_blocks([0, 1, 2], a, [0, 1, 2, 3], b, n, 50) == []
-    assert L.shared_lines([0, 1, 2], a, [0, 1, 2, 3], b, n, 50) == {0}
-    assert L.shared_lines(list(range(5)), [1, 2, 1, 2, 3], [0, 1, 2], [1, 2, 3], [20, 20, 20], 50) == {0, 1, 2}
-    assert L.shared_lines([0, 2], [1, 2], [0, 1], [1, 2], [30, 30], 50) == set()
+    assert L.realigned([0, 1, 2], a, [0, 1, 2, 3], b, n, 50) == {0}
+    assert L.realigned(list(range(5)), [1, 2, 1, 2, 3], [0, 1, 2], [1, 2, 3], [20, 20, 20], 50) == {0, 1, 2}
+    assert L.realigned([0, 2], [1, 2], [0, 1], [1, 2], [30, 30], 50) == set()
 
 
 def test_moved_block_behind_scattered_lines_goes(spark):
@@ -133,3 +133,31 @@ def test_moved_block_behind_scattered_lines_goes(spark):
     want = blocks_brute(rows, 50)
     assert got == {i: want[i, t] for i, t in rows if want[i, t].split()}
     assert 4 not in got
+
+
+def test_nothing_goes_without_an_alignment(monkeypatch):
+    a, b, n = [1, 2, 9], [9, 1, 5, 2], [60, 3, 2, 3]
+    assert L.realigned([0, 1, 2], a, [0, 1, 2, 3], b, n, 50, {0}) == set()
+    monkeypatch.setattr(L, "patience", lambda *_: [])
+    assert L.common_blocks([0, 1, 2], a, [0, 1, 2, 3], b, n, 50) == []
+    assert L.realigned([0, 1, 2], a, [0, 1, 2, 3], b, n, 50) == set()
+
+
+def test_alignment_leaves_no_shared_run():
+    rnd = random.Random(5)
+    for _ in range(400):
+        a = [rnd.randint(0, 9) for _ in range(rnd.randint(0, 20))]
+        b = [rnd.randint(0, 9) for _ in range(rnd.randint(0, 20))]
+        words = [rnd.randint(1, 40) for _ in range(10)]
+        n = [words[x] for x in b]
+        got = {k for p, q in L.common_blocks(list(range(len(a))), a, list(range(len(b))), b, n, 50) for k in range(p, q + 1)}
+        got |= L.realigned(list(range(len(a))), a, list(range(len(b))), b, n, 50, got)
+        want = set()
+        for i in range(len(a)):
+            for j in range(len(b)):
+                k = 0
+                while i + k < len(a) and j + k < len(b) and a[i + k] == b[j + k]:
+                    k += 1
+                if sum(n[j:j + k]) >= 50:
+                    want.update(range(j, j + k))
+        assert got == want
