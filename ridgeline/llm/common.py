@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
 import json
 
 import numpy as np
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -121,11 +123,25 @@ def flat_lists(col) -> tuple[np.ndarray, np.ndarray]:
     return col.values.to_numpy(zero_copy_only=False), off
 
 
+def give_back() -> None:
+    """Hand the freed memory of a Python worker back to the system: workers outlive their tasks, idle ones too."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc only
+    if trim is not None:
+        trim(0)
+
+
 def parts(batches, rows: int = 256):
-    """Arrow batches in slices of few rows, so that a task never holds the results of thousands of texts."""
+    """Arrow batches in slices of few rows, so that a task never holds the results of thousands of texts.
+
+    What earlier tasks left free in the worker is given back before the first batch, and after the last.
+    """
+    give_back()
     for b in batches:
         for k in range(0, b.num_rows, rows):
             yield b.slice(k, rows)
+    b = None
+    give_back()
 
 
 def stash(df: DataFrame) -> DataFrame:
