@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import parts, table
+from .common import give_back, parts, table
 
 SPACE = "\u2581"
 HELD = "\ud800"  # stands for a U+2581 of the text; cannot occur in valid UTF-8
@@ -171,6 +171,7 @@ def _by_batch(df: DataFrame, add: dict[str, str], fn) -> DataFrame:
         for b in parts(batches):
             yield pa.RecordBatch.from_arrays([*b.columns, *fn(b)], names=[*b.schema.names, *add])
         _CODECS.clear()  # Python workers outlive the task: the next one needs the automaton's memory
+        give_back()
 
     return df.mapInArrow(run, schema)
 
