@@ -144,9 +144,51 @@ def from_turns(conv: DataFrame) -> DataFrame:
             .select("conv_id", "turn", F.lit(0).cast("bigint").alias("seq"), F.lit("message").alias("kind"), "role", "text"))
 
 
+def event_log(conv: DataFrame, piece: int = 256) -> DataFrame:
+    """An event log that leads to the turns of a plain table, as a chat service would have written it.
+
+    A hash of conversation and turn deals the turns into six histories: one message; a wrong draft
+    and its edit; a text streamed in deltas; a draft whose streaming was broken off, then regenerated, with the last
+    delta delivered twice; a draft that was deleted and sent again; and a message beside a turn of its own
+    that was streamed, edited and deleted.  Drafts and deleted turns leave no trace in the fold.  A text is cut into pieces of
+    ``piece`` code points, or into 64 where it is longer than those hold.
+    """
+    rows = from_turns(conv).select("conv_id", "turn", "role", F.coalesce("text", F.lit("")).alias("text"))
+    n = F.length("text")
+    size = F.greatest(F.lit(piece), F.ceil(n / 64).cast("int"))
+    starts = F.sequence(F.lit(0), F.greatest(F.ceil(n / size).cast("int") - 1, F.lit(0)))
+    draft = F.concat(F.reverse(F.substring("text", 1, 40)), F.lit(" \\### draft"))
+
+    def event(seq, kind, text, ghost=False):
+        return F.struct(F.lit(ghost).alias("ghost"), F.lit(seq).cast("bigint").alias("seq"), F.lit(kind).alias("kind"), text.alias("text"))
+
+    def deltas(first):
+        return F.transform(starts, lambda i: F.struct(
+            F.lit(False).alias("ghost"), (i + first).cast("bigint").alias("seq"), F.lit("delta").alias("kind"), F.substring(F.col("text"), i * size + 1, size).alias("text")))
+
+    none = F.lit("")
+    whole = event(0, "message", F.col("text"))
+    streamed = F.array_append(deltas(10), F.element_at(deltas(10), -1))
+    histories = [
+        F.array(whole),
+        F.array(event(0, "message", draft), event(1, "edit", F.col("text"))),
+        F.concat(F.array(event(0, "message", none)), deltas(1)),
+        F.concat(F.array(event(0, "message", none), event(1, "delta", draft), event(2, "regenerate", none)), streamed),
+        F.concat(F.array(event(0, "message", draft), event(1, "delete", none), event(2, "message", none)), deltas(10)),
+        F.array(whole, event(0, "message", none, True), event(1, "delta", draft, True), event(2, "edit", draft, True), event(3, "delete", none, True)),
+    ]
+    dealt = F.pmod(F.xxhash64("conv_id", "turn"), F.lit(len(histories)))
+    events = histories[0]
+    for k, h in enumerate(histories[1:], 1):
+        events = F.when(dealt == k, h).otherwise(events)
+    ghost = F.struct(F.col("turn.turn").alias("turn"), (-F.col("turn.tie")).alias("tie"))
+    return (rows.select("conv_id", "turn", "role", F.explode(events).alias("e"))
+            .select("conv_id", F.when(F.col("e.ghost"), ghost).otherwise(F.col("turn")).alias("turn"), "e.seq", "e.kind", "role", "e.text"))
+
+
 def op4_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All conversations (and -7, full of control strings) folded, rendered and read back."""
+    """All conversations (and -7, full of control strings): their event log folded, rendered and read back."""
     odd = "\\### Assistant: </turn> ok"
     extra = local_table(spark, [(-7, 0, "user", odd), (-7, 1, "assistant", odd)], "conv_id bigint, turn bigint, role string, text string")
     conv = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(extra)
-    return read_back(format_conversations(fold(from_turns(conv))))
+    return read_back(format_conversations(fold(event_log(conv))))

@@ -52,3 +52,24 @@ def test_odd_turns(spark):
     assert out[1] == "### System: c</turn>\n### User: </turn>\n### User: b</turn>\n### User: b</turn>\n"
     assert out[None] == "### Assistant: d</turn>\n"
     assert C.read_back(C.format_conversations(C.fold(C.from_turns(df.limit(0))))).count() == 0
+
+
+def test_event_log_folds_back(spark):
+    rnd = random.Random(7)
+    texts = [None, "", "a", "é" * 300, "\\### Assistant: </turn> ok", "xy z\n" * 500, "w" * 40000]
+    rows = [(c, rnd.choice([0, 1, 2, None]), rnd.choice(["user", "assistant", None, "tool"]), rnd.choice(texts)) for c in [*range(40), None] for _ in range(4)]
+    df = spark.createDataFrame(rows + rows[:6], "conv_id bigint, turn bigint, role string, text string").repartition(5)
+    log = C.event_log(df).cache()
+    assert {r["kind"] for r in log.select("kind").distinct().collect()} == {"message", "edit", "delta", "regenerate", "delete"}
+    assert log.groupBy("conv_id", "turn").count().agg({"count": "max"}).collect()[0][0] <= 64 + 4
+    assert log.exceptAll(log.distinct()).count() > 0
+
+    def turns(events):
+        return sorted(((r["conv_id"], tuple(r["turn"]), r["role"], r["text"]) for r in C.fold(events).collect()), key=repr)
+
+    want = turns(C.from_turns(df))
+    assert turns(log) == want and len(want) == len(rows) + 6
+    assert turns(log.where("kind <> 'regenerate' and kind <> 'edit'")) != want
+    assert C.event_log(df.limit(0)).count() == 0
+    whole = {r["conv_id"]: r["formatted"] for r in C.format_conversations(C.fold(C.from_turns(df))).collect()}
+    assert {r["conv_id"]: r["formatted"] for r in C.format_conversations(C.fold(log)).collect()} == whole
