@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from ..functions.fixed_values import BOOTSTRAP_DRAWS, SPLIT_BREAKS
 from ..functions.hashing import hash_uniform, poisson_weight
+from ..session import snapshot
 from .quantiles import group_stats, kth_values, quantiles
 
 
@@ -91,7 +92,8 @@ def complement(df: DataFrame, part: DataFrame, key: str) -> DataFrame:
 def train_valid_test(df: DataFrame, y: str, p_train: float, p_valid: float, key: str,
                      seed: int = 1, breaks: int = SPLIT_BREAKS) -> DataFrame:
     """``in_train`` split, then ``in_valid`` carved from the training rows."""
-    d = stratified_split(df, y, p_train, key, seed, breaks, "in_train")
+    # written once: both selections and both sides of the join read it
+    d = snapshot(stratified_split(snapshot(df), y, p_train, key, seed, breaks, "in_train"))
     train = d.filter("in_train")
     v = stratified_split(train, y, p_valid, key, seed + 1, breaks, "in_valid").select(key, "in_valid")
     return d.join(v, on=key, how="left").withColumn("in_valid", F.coalesce("in_valid", F.lit(False)))
