@@ -10,6 +10,7 @@ from ..operators import cart as ca
 from ..operators import resampling as rs
 from ..operators import tables as tb
 from ..operators import trees as tr
+from ..session import snapshot
 from . import fixtures as fx
 from .fixture_sql import HH, HH_RAW, with_ctes
 from .flagship import features, model_frame
@@ -200,6 +201,7 @@ def t2_surrogate_tree(spark, sf_dir):
     """Regression tree where a fifth of every predictor is missing: rows follow surrogate splits; test RMSE against sending them right."""
     d = rs.stratified_split(fx.hh(spark, sf_dir), Y, 0.75, "hhid", seed=7)
     d = d.withColumns({c: F.when(hash_uniform(31, "hhid", F.lit(c)) >= 0.2, F.col(c)) for c in TREE_X})
+    d = snapshot(d)
     train, te = d.filter("in_train"), d.filter(~F.col("in_train"))
     rows = []
     for name, t in (("surrogates", ca.grow_surrogate_cart(train, Y, TREE_X, cp=0.01)), ("right", ca.grow_cart(train, Y, TREE_X, cp=0.01))):
