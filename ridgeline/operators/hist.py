@@ -74,6 +74,16 @@ def make_bins(df: DataFrame, features: list[str], max_bins: int = 64) -> Bins:
     return Bins(list(features), bin_features(df, features, max_bins))
 
 
+def bin_of(cuts: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """Number of cuts below every value; NaN is above all."""
+    if len(cuts) > 4:
+        return np.searchsorted(cuts, x, side="left")
+    b = np.zeros(len(x), np.int64)
+    for c in cuts:
+        b += ~(x <= c)
+    return b
+
+
 def hist(df: DataFrame, node: Column, bins: Bins, stats: dict[str, Column], with_x: bool = False,
          nodes: list[int] | None = None, centers: dict | None = None) -> pd.DataFrame:
     """Sums of ``stats`` per (node, feature index, bin), collected.
@@ -119,7 +129,7 @@ def hist(df: DataFrame, node: Column, bins: Bins, stats: dict[str, Column], with
                 nb = len(c) + 1
                 if with_x or not binned[i]:
                     x = pdf[f"_x{i}"].to_numpy(dtype=float)
-                b = pdf[f"_b{i}"].to_numpy().astype(np.int64) if binned[i] else np.searchsorted(c, x, side="left")
+                b = pdf[f"_b{i}"].to_numpy().astype(np.int64) if binned[i] else bin_of(c, x)
                 at = pos * nb + b
                 w = [None, *st]
                 if with_x:

@@ -24,7 +24,7 @@ from pyspark.ml.regression import DecisionTreeRegressor
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..session import scratch_path
+from ..session import scratch_path, snapshot
 from .ranking import running_sums
 
 FOLD_PARALLELISM = 4
@@ -526,6 +526,7 @@ def cv_cp(df: DataFrame, y: str, features: list[str], fold_col: str, cps: list[f
     """
     from .cart import grow_cart
     from .hist import make_bins
+    df = snapshot(df.select(*features, y, fold_col))  # every level of every fold reads it
     folds = sorted(r[0] for r in df.select(fold_col).distinct().collect())
     least = min(c for c in cps if c > 0)  # the smallest positive cp bounds the trees; cp 0 is the tree grown with it
     bins = make_bins(df, features, max_bins)

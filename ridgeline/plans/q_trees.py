@@ -180,7 +180,7 @@ def t5_tune_cp(spark, sf_dir):
 def t6_tune_maxdepth(spark, sf_dir):
     """10-fold CV of depth 1..8: one deep tree per fold truncated per depth, scored in one aggregate each."""
     train, _, x = _frame(spark, sf_dir)
-    d = rs.kfold(train, 10, "hhid", seed=3)
+    d = snapshot(rs.kfold(train, 10, "hhid", seed=3))
     depths = list(range(1, 9))
 
     def one(f):

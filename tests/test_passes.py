@@ -4,9 +4,12 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from ridgeline.operators import boost
+from ridgeline.operators import cart as ca
+from ridgeline.operators import hist as hs
 from ridgeline.operators import model_trees as mt
 from ridgeline.operators import neighbors as nb
 from ridgeline.operators import resampling as rs
+from ridgeline.operators import trees as tr
 from ridgeline.operators import tuning as tu
 
 
@@ -43,6 +46,19 @@ def test_validation_split_reads_a_written_frame(spark):
     assert d.count() == 200
 
 
+def test_cv_of_trees_reads_a_written_frame(spark, monkeypatch):
+    seen, grow = [], ca.grow_cart
+    monkeypatch.setattr(ca, "grow_cart", lambda d, *a, **b: seen.append(_plan(d)) or grow(d, *a, **b))
+    tr.cv_cp(rs.kfold(_grouped(spark), 2, "k"), "y", ["x"], "fold", [0.1])
+    assert len(seen) == 2 and not any("Aggregate" in p for p in seen)
+
+
+def test_bins_by_comparison_are_the_searched_ones():
+    x = np.array([np.nan, -1.0, 0.0, 0.5, 1.0, 2.0, 9.0])
+    for cuts in ([], [0.0], [0.0, 1.0, 2.0]):
+        assert (hs.bin_of(np.array(cuts), x) == np.searchsorted(np.array(cuts), x, side="left")).all()
+
+
 def test_errors_share_a_pass(spark, monkeypatch):
     rng = np.random.default_rng(3)
     d = spark.createDataFrame([(i, float(a), float(b), float(2 * a - b), i % 4 == 0) for i, (a, b) in enumerate(rng.normal(size=(400, 2)))],
