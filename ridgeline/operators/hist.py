@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from ..functions.hashing import hash_uniform, poisson_weight
 from ..functions.stats import chi2_sf
-from ..session import cut_lineage
+from ..session import cut_lineage, snapshot
 from .trees import bin_features
 
 MAX_HIST_ROWS = 1_000_000  # histogram rows of one pass; more nodes take more passes
@@ -85,7 +85,7 @@ def bin_of(cuts: np.ndarray, x: np.ndarray) -> np.ndarray:
 
 
 def hist(df: DataFrame, node: Column, bins: Bins, stats: dict[str, Column], with_x: bool = False,
-         nodes: list[int] | None = None, centers: dict | None = None) -> pd.DataFrame:
+         nodes: list[int] | None = None, centers: dict | None = None, route=None) -> pd.DataFrame:
     """Sums of ``stats`` per (node, feature index, bin), collected.
 
     Each task folds its Arrow batches into dense ``bincount`` arrays and emits
@@ -97,13 +97,14 @@ def hist(df: DataFrame, node: Column, bins: Bins, stats: dict[str, Column], with
     With ``with_x`` the per-bin weighted sums of x, x^2 and x*y are added for
     association tests (``n`` must be the weight stat and ``y`` the weighted y);
     x is taken relative to ``centers[feature]``.  A NULL predictor falls in the
-    last bin (it goes right) and adds nothing to the sums of x.
+    last bin (it goes right) and adds nothing to the sums of x.  With ``route`` the tasks find the node of a row
+    from its features (by number) instead of reading it from ``node``.
     """
     ids = np.array(sorted(nodes or [1]), dtype=np.int64)
     width = sum(len(bins.cuts[f]) + 1 for f in bins.features)
     step = max(1, MAX_HIST_ROWS // width)
     if len(ids) > step:
-        return pd.concat([hist(df, node, bins, stats, with_x, ids[k:k + step].tolist(), centers)
+        return pd.concat([hist(df, node, bins, stats, with_x, ids[k:k + step].tolist(), centers, route)
                           for k in range(0, len(ids), step)], ignore_index=True)
     names, mid = list(stats), centers or {}
     extra = ["sx", "sxx", "sxy"] if with_x else []
@@ -117,7 +118,7 @@ def hist(df: DataFrame, node: Column, bins: Bins, stats: dict[str, Column], with
     def fold(batches):
         acc = [np.zeros((len(ids) * (len(c) + 1), 1 + len(names) + len(extra))) for c in cuts]
         for pdf in batches:
-            nd = pdf["_node"].to_numpy()
+            nd = route([pdf[f"_x{i}"].to_numpy(dtype=float) for i in range(len(cuts))]) if route else pdf["_node"].to_numpy()
             pos = np.minimum(np.searchsorted(ids, nd), len(ids) - 1)
             use = ids[pos] == nd
             if not use.all():
@@ -203,8 +204,38 @@ class HTree:
         return build(1)
 
     def transform(self, df: DataFrame, out: str = "prediction") -> DataFrame:
+        if len(self.nodes) > 200 and not any("left" in n.stat for n in self.nodes.values()):
+            return df.withColumn(out, sum_of_trees([self], 1.0))  # a CASE of so many leaves is too long to compile
         return df.withColumn(out, self.expr())
 
+    def router(self, features: list[str]):
+        """A function from columns (by number in ``features``) to the leaf of every row, by steps over node arrays."""
+        ids = sorted(self.nodes)
+        pos, no = {i: k for k, i in enumerate(ids)}, {f: k for k, f in enumerate(features)}
+        nd = [self.nodes[i] for i in ids]
+        feature = np.array([-1 if n.is_leaf else no[n.feature] for n in nd])
+        cut = np.array([np.nan if n.cut is None else n.cut for n in nd], float)
+        left, right = (np.array([k if n.is_leaf else pos[getattr(n, side)] for k, n in enumerate(nd)]) for side in ("left", "right"))
+        sets = {k: np.array(n.stat["left"], float) for k, n in enumerate(nd) if not n.is_leaf and "left" in n.stat}
+        names = np.array(ids, np.int64)
+
+        def find(cols: list[np.ndarray]) -> np.ndarray:
+            x = np.stack(cols)
+            at = np.full(x.shape[1], pos[1])
+            live = np.flatnonzero(feature[at] >= 0)
+            while len(live):
+                here = at[live]
+                v = x[feature[here], live]
+                below = v <= cut[here]
+                for k, some in sets.items():
+                    mine = here == k
+                    below[mine] = np.isin(v[mine], some)
+                at[live] = np.where(below, left[here], right[here])
+                live = live[feature[at[live]] >= 0]
+            return names[at]
+
+        return find
+
     def depth(self) -> int:
         return max(self.nodes[i].depth for i in self.leaves())
 
@@ -362,43 +393,61 @@ def ctree(df: DataFrame, y: str, features: list[str], mincriterion: float = 0.95
     """
     bins = with_levels(df, bins or make_bins(df, features, max_bins), nominal)
     w = weight if weight is not None else F.lit(1.0)
-    keep = list(features) + [c for c in bins.materialized.values() if c in df.columns]
-    d = df.select(*keep, F.col(y).cast("double").alias("_y"), w.cast("double").alias("_w"))
-    d = d.filter(F.col("_w") > 0)
-    mid = _means(d, ["_y", *features], F.col("_w"))
-    n_all = d.agg(F.sum("_w")).first()[0]
-    base = mid["_y"]
+    yc, w = F.col(y).cast("double"), w.cast("double")
+    base = float(df.filter(w > 0).agg(F.sum(w * yc) / F.sum(F.when(yc.isNotNull(), w))).first()[0] or 0.0)
+    return _grow_inference(equal_rows(df, yc, features, w, base), base, features, bins, mincriterion, minsplit, minbucket, maxdepth, nominal)
+
+
+def equal_rows(df: DataFrame, y: Column, features: list[str], w: Column, base: float) -> DataFrame:
+    """One row for all rows of equal ``features``, written: weight ``_n``, and the weighted sums ``_s`` and ``_ss`` of y - base and its square.
+
+    A test or a split needs no more of the outcome, so all levels read this table.
+    """
+    d = df.select(*features, (y - F.lit(base)).alias("_yc"), w.alias("_w")).filter(F.col("_w") > 0)
+    wy = F.col("_w") * F.col("_yc")
+    return snapshot(d.groupBy(*features).agg(F.sum("_w").alias("_n"), F.sum(wy).alias("_s"), F.sum(wy * F.col("_yc")).alias("_ss")))
+
+
+def _grow_inference(sums: DataFrame, base: float, features: list[str], bins: Bins, mincriterion: float, minsplit: int,
+                    minbucket: int, maxdepth: int, nominal=()) -> HTree:
+    """The tree of ``ctree`` from the sums of ``equal_rows`` about ``base``."""
+    count = F.col("_n")
+    row = sums.agg(F.sum("_s").alias("s"), F.sum("_n").alias("n"),
+                   *[(F.sum(count * F.col(c).cast("double")) / F.sum(F.when(F.col(c).isNotNull(), count))).alias(f"m{i}") for i, c in enumerate(features)]).first()
+    mid = {c: float(row[f"m{i}"] or 0.0) for i, c in enumerate(features)}
+    n_all = row["n"]
+    move = float(row["s"] / n_all) if n_all and row["s"] is not None else 0.0  # about the mean, so that sums of squares keep their digits
+    base = base + move
     t = HTree({1: HNode(1, 0, base, n_all)})
-    yc = F.col("_y") - F.lit(base)
-    stats = {"n": F.col("_w"), "y": F.col("_w") * yc, "yy": F.col("_w") * yc * yc}
-    frontier = [1]
+    stats = {"n": count, "y": F.col("_s") - count * F.lit(move), "yy": F.col("_ss") - F.lit(2 * move) * F.col("_s") + count * F.lit(move * move)}
+    bins = Bins(bins.features, bins.cuts)
+    splits = lambda i: not (t.nodes[i].n < minsplit or t.nodes[i].depth >= maxdepth)
+    frontier = [1] if n_all and splits(1) else []
     while frontier:
-        node = t.node_expr()
-        h = hist(d, node, bins, stats, with_x=True, nodes=frontier, centers=mid)
+        h = hist(sums, F.lit(1), bins, stats, with_x=True, nodes=frontier, centers=mid, route=t.router(bins.features))
+        h = h.sort_values(["_node", "f", "b"], ignore_index=True)
+        at = h["_node"].to_numpy()
         nxt = []
         for i in frontier:
             nd = t.nodes[i]
-            if nd.n < minsplit or nd.depth >= maxdepth:
-                continue
-            hi = h[h["_node"] == i]
-            best_p, best_f = 1.0, None
-            m = 0
-            per_f = {}
-            for fi, hf in hi.groupby("f"):
-                test = _tested(hf, bins, bins.features[fi], nominal)
-                if test is None:
-                    continue
-                m += 1
-                per_f[fi] = chi2_sf(*test)
-            if not per_f:
-                continue
+            hi = h.iloc[np.searchsorted(at, i):np.searchsorted(at, i, side="right")]
+            best_p, best_f, per_f = 1.0, None, {}
+            edge = np.flatnonzero(np.diff(hi["f"].to_numpy(), prepend=-1, append=-1))
+            assoc = _assocs(hi, edge[:-1]) if len(hi) else []
+            for a, b, test in zip(edge, edge[1:], assoc):
+                fi = int(hi["f"].iat[a])
+                if bins.features[fi] in nominal:
+                    test = _nominal(hi.iloc[a:b], len(bins.cuts[bins.features[fi]]))
+                if test is not None:
+                    per_f[fi] = chi2_sf(*test)
+            m = len(per_f)
             for fi, p in per_f.items():
                 adj = 1.0 - (1.0 - p) ** m
                 if adj < best_p or (adj == best_p and best_f is not None and fi < best_f):
                     best_p, best_f = adj, fi
             if best_f is None or 1.0 - best_p <= mincriterion:
                 continue
-            hf, f = hi[hi["f"] == best_f].sort_values("b"), bins.features[best_f]
+            hf, f = hi[hi["f"] == best_f], bins.features[best_f]
             if f in nominal:  # levels by mean, NULL last
                 rank = np.where(hf["b"] < len(bins.cuts[f]), hf["y"] / hf["n"], np.inf)
                 hf = hf.iloc[np.argsort(rank, kind="stable")]
@@ -420,11 +469,21 @@ def ctree(df: DataFrame, y: str, features: list[str], mincriterion: float = 0.95
             t.nodes[i].stat = {"p_adj": best_p}
             if f in nominal:
                 t.nodes[i].stat["left"] = [bins.cuts[f][q] for q in hf["b"].to_numpy()[:k + 1]]
-            nxt += [nd.left, nd.right]
+            nxt += [c for c in (nd.left, nd.right) if splits(c)]
         frontier = nxt
     return t
 
 
+def _assocs(hi: pd.DataFrame, starts: np.ndarray) -> list:
+    """``(_assoc, 1)`` of every feature of one node's histogram (sorted; a feature's bins from ``starts`` on), None without a test."""
+    n, y, yy, sx, sxx, sxy = (np.add.reduceat(hi[c].to_numpy(dtype=float), starts) for c in ("n", "y", "yy", "sx", "sxx", "sxy"))
+    vx, vy = sxx - sx * sx / n, yy - y * y / n
+    with np.errstate(divide="ignore", invalid="ignore"):
+        stat = (n - 1) * (sxy - sx * y / n) ** 2 / (vx * vy)
+    none = (vx <= 1e-12 * np.maximum(1.0, np.abs(sxx))) | (vy <= 0)
+    return [None if no else (float(v), 1) for v, no in zip(stat, none)]
+
+
 # --------------------------------------------------- second-order boosting ---
 
 @dataclass
@@ -532,15 +591,20 @@ def early_stop(curve: list[float], patience: int = 10) -> tuple[int, int]:
 
 def inference_boost(df: DataFrame, y: str, features: list[str], key: str, mstop: int = 20, nu: float = 0.1,
                     maxdepth: int = 2, mincriterion: float = 0.95, seed: int = 1):
-    """Boosting with conditional inference trees fitted to the residuals."""
-    bins = make_bins(df, features, 64)
-    resid = "_r"
-
-    def grow_one(train, r):
-        d = train.withColumn(resid, F.col(y) - F.col("_f"))
-        return ctree(d, resid, features, mincriterion=mincriterion, maxdepth=maxdepth, bins=bins)
+    """Boosting with conditional inference trees fitted to the residuals.
 
-    return _margin_loop(df, y, key, mstop, nu, grow_one, seed, bins=bins)[0]
+    The margin depends on the features only, so the sums of rows of equal features give those of the residuals in every round.
+    """
+    bins = make_bins(df, features, 64)
+    f0 = df.agg(F.avg(y)).first()[0]
+    sums = equal_rows(df, F.col(y).cast("double"), features, F.lit(1.0), float(f0))
+    trees: list = []
+    for _ in range(mstop):
+        f, n = F.col("_f"), F.col("_n")
+        d = sums.withColumn("_f", sum_of_trees(trees, nu))
+        d = d.select(*features, n, (F.col("_s") - n * f).alias("_s"), (F.col("_ss") - F.lit(2.0) * f * F.col("_s") + n * f * f).alias("_ss"))
+        trees.append(_grow_inference(d, 0.0, features, bins, mincriterion, 20, 7, maxdepth))
+    return BoostModel(f0, trees, nu)
 
 
 # --------------------------------------------------- conditional forest ---
