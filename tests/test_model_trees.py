@@ -99,3 +99,43 @@ def test_committee_members_push_the_other_way(spark, hh):
     assert all(np.allclose(again.coefs[i], m.members[1].coefs[i], atol=1e-8) for i in again.coefs)
     mean = sum((q.expr() for q in m.members), F.lit(0.0)) / 3
     assert m.transform(hh).where(F.abs(mean - F.col("prediction")) > 1e-9).count() == 0
+
+
+def test_node_grams_are_those_of_the_rows_on_the_path(spark, hh):
+    t = mt.quick_tree(hh, Y, X, "hhid", 0.005, 7)
+    g = mt.node_grams(t, hh, Y, X)
+    assert {i for i, in g.mats} == set(t.nodes) and len(t.nodes) > 3
+    d = hh.select(*X, Y, t.path_expr().alias("path")).toPandas().dropna()
+    for (i,), G in g.mats.items():
+        mine = d[[i in p for p in d["path"]]]
+        z = np.c_[np.ones(len(mine)), mine[X + [Y]].to_numpy(float) - g.shift]
+        assert np.allclose(G, z.T @ z)
+
+
+def test_option_sets_share_trees_and_give_the_same_rules(spark, monkeypatch):
+    d = frame(spark)
+    grown = []
+    plain = mt.quick_tree
+    monkeypatch.setattr(mt, "quick_tree", lambda *a, **k: grown.append(a[0].count()) or plain(*a, **k))
+    growth, alone, shared = mt.Growth(d, "y", ["a", "b", "c"], "id", 0.01, 7), [], []
+    for pruned in (True, False):
+        for smoothed in (True, False):
+            opt = {"cp": 0.01, "pruned": pruned, "smoothed": smoothed}
+            shared.append(mt.model_rules(d, "y", ["a", "b", "c"], "id", growth=growth, **opt))
+    n, rests = len(grown), len(set(grown))
+    assert n == len(growth.held) and rests <= n
+    for pruned in (True, False):
+        for smoothed in (True, False):
+            alone.append(mt.model_rules(d, "y", ["a", "b", "c"], "id", cp=0.01, pruned=pruned, smoothed=smoothed))
+    assert len(grown) - n == sum(len(m.rules) for m in alone) > n
+    for a, b in zip(shared, alone):
+        assert [list(c) for c, *_ in a.rules] == [list(c) for c, *_ in b.rules]
+        assert all(np.allclose(p, q) and k == j for (_, p, k), (_, q, j) in zip(a.rules, b.rules))
+
+
+def test_a_column_that_is_constant_in_a_node_has_no_term(spark):
+    d = frame(spark).withColumn("z", (F.col("a") <= 0.5).cast("double") * 0.7 + 0.1)
+    t = mt.quick_tree(d, "y", ["a", "b", "z"], "id", 0.05, 7)
+    m = mt.model_tree(d, "y", ["a", "b", "z"], smoothed=False, tree=t)
+    leaves = m.tree.leaves()
+    assert len(leaves) >= 2 and all(m.coefs[i][3] == 0 for i in leaves)
