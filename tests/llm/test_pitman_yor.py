@@ -85,3 +85,30 @@ def test_hash_index():
     assert (index.find(keys) == np.arange(len(keys))).all()
     other = np.setdiff1d(rng.integers(1, 1 << 62, 5000, np.uint64), keys)
     assert (index.find(other) == -1).all() and (P.HashIndex(keys[:0]).find(other) == -1).all()
+
+
+def test_the_word_before_is_the_context(spark):
+    # both contexts end in the same byte: only the word before tells what follows
+    texts = ["red cat", "sad dog"] * 40 + ["red dog", "sad cat"]
+    ids = [i for i in range(2000) if zlib.crc32(str(i).encode()) % 7 != 2][:80] + [i for i in range(2000) if zlib.crc32(str(i).encode()) % 7 == 2][:2]
+    score = lambda ts: {r["doc_id"]: r["score"] for r in P.score_texts(
+        spark.createDataFrame(list(zip(ids, ts)), "doc_id long, text string")).collect()}
+    got = score(texts)
+    assert got[ids[0]] > got[ids[80]] + 1 and got[ids[1]] > got[ids[81]] + 1
+
+
+def test_probabilities_after_every_word_sum_to_one(docs, spark):
+    m = P.fit(docs.select("text"))
+    model = P.predictive(m.state, m.samples).collect()
+    weights = {r["u"]: (r["cu"], r["back"]) for r in m.weights().collect()}
+    own = {}
+    for r in m.counts().collect():
+        own.setdefault(r["u"], []).append((r["c"] - m.d2 * r["m"], r["ctx"]))
+    assert own.keys() == weights.keys() and sum(c for c, _ in weights.values()) == m.n_tokens == sum(r["c"] for r in model)
+    back = np.stack([np.where(s.customers > 0, s.back(), 1.0) for s in m.samples])
+    unknown = np.array([float(s.root(np.zeros(1), np.zeros(1))[0]) for s in m.samples])
+    for u in sorted(own)[:20]:
+        ctx, (cu, b) = own[u][0][1], weights[u]
+        after = sum(dict(zip(r["ctx"], r["prob"])).get(ctx, float(np.dot(r["roots"], back[:, ctx])) / len(back)) for r in model) + (unknown * back[:, ctx]).mean()
+        assert abs(after - 1) < 1e-9
+        assert abs(sum(v for v, _ in own[u]) / (m.theta + cu) + b - 1) < 1e-9
