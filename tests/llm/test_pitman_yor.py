@@ -1,10 +1,12 @@
 import math
+import pathlib
 import zlib
 from collections import Counter
 
 import numpy as np
 
 from ridgeline.llm import pitman_yor as P
+from ridgeline.session import checkpoint_dir
 
 
 def toks(t):
@@ -112,3 +114,27 @@ def test_probabilities_after_every_word_sum_to_one(docs, spark):
         after = sum(dict(zip(r["ctx"], r["prob"])).get(ctx, float(np.dot(r["roots"], back[:, ctx])) / len(back)) for r in model) + (unknown * back[:, ctx]).mean()
         assert abs(after - 1) < 1e-9
         assert abs(sum(v for v, _ in own[u]) / (m.theta + cu) + b - 1) < 1e-9
+
+
+def test_scores_do_not_depend_on_units_and_blocks(docs, monkeypatch):
+    def scored():
+        got = [(str(r["doc_id"]), r["held_out"], r["n_tokens"], r["n_known"], r["train_tokens"], r["base_score"], r["score"]) for r in P.score_texts(docs).collect()]
+        return sorted(got)
+
+    whole = scored()
+    monkeypatch.setattr(P, "CHUNK", 300)
+    monkeypatch.setattr(P, "BLOCK", 150)
+    assert P.fit(docs.select("text")).blocks > 20
+    some = scored()
+    assert [r[:5] for r in some] == [r[:5] for r in whole]
+    assert np.allclose([r[5:] for r in some], [r[5:] for r in whole], rtol=1e-9)
+
+
+def test_a_row_holds_a_block_and_tables_go_when_they_are_done_with(docs, spark):
+    m = P.fit(docs.select("text"))
+    assert m.state.count() == m.blocks < 10
+    folder = pathlib.Path(checkpoint_dir(spark).removeprefix("file:")) / "ridgeline-tables"
+    before = {p.parent.parent for p in folder.rglob("*.parquet")}
+    assert P.score_texts(docs).count() == docs.count()
+    # units, contexts and replies stay; dishes and words have done their work
+    assert len({p.parent.parent for p in folder.rglob("*.parquet")} - before) <= 3
