@@ -11,6 +11,10 @@ to a task, which grows the rest of its subtree and writes it to the shared folde
 holds one such node; the driver holds the upper nodes of a batch of trees
 (``MAX_UPPER_NODES``) while they grow, and afterwards one node per ``LOCAL_ROWS`` rows and tree.
 
+The packed rows lie in the order of their bins.  A pass takes rows of equal bins as one, with the sums of their draws and drawn
+outcomes for each tree; without equal rows it takes them one by one.  Where all rows have at most ``TASK_KINDS`` different
+bins, a tree has no upper nodes: one task grows it whole.
+
 The outcome is an integer (centred, ``BITS`` bits of its range), so sums are exact in any
 order: the trees do not depend on partitions nor on ``LOCAL_ROWS``.
 
@@ -37,6 +41,7 @@ from .hist import Bins, make_bins
 from .ranking import number_rows, shuffled
 
 LOCAL_ROWS = 200_000
+TASK_KINDS = 1_500_000  # rows of different bins that a task holds to grow a whole tree
 MAX_UPPER_NODES = 200_000
 MAX_CELLS = 4_000_000   # histogram cells of one pass, and of one step inside a task
 BLOB_BYTES = 8_000_000  # blobs handed to Arrow at once
@@ -142,18 +147,19 @@ def _together(x: np.ndarray, plan: Plan):
     return out, wide, groups, column, shift, mask
 
 
-def grow_local(x: np.ndarray, y: np.ndarray, w: np.ndarray, tree: int, heap: int, depth: int, plan: Plan) -> Grown:
+def grow_local(x: np.ndarray, y: np.ndarray | None, w: np.ndarray, tree: int, heap: int, depth: int, plan: Plan,
+               wy: np.ndarray | None = None) -> Grown:
     """All nodes below ``heap`` from the rows drawn into it, level by level.
 
-    ``x`` is (features, rows) of bins, ``y`` the integer outcome, ``w`` the draws.  Rows of nodes that stay
-    leaves are let go at once; those of a node that may split lie together.
+    ``x`` is (features, rows) of bins, ``y`` the integer outcome, ``w`` the draws (``wy``: sums of the drawn outcomes, where a
+    row stands for many).  Rows of nodes that stay leaves are let go at once; those of a node that may split lie together.
     """
     out, ids = Grown(), np.array([heap], np.uint64)
     w = w.astype(float)
-    wy = w * y
+    wy = w * y if wy is None else wy.astype(float)
     n, s = np.array([w.sum()]), np.array([wy.sum()])
     x, wide, groups, column, shift, mask = _together(x, plan)
-    slot = np.zeros(len(y), np.int64)  # place among the nodes that may split
+    slot = np.zeros(len(w), np.int64)  # place among the nodes that may split
     made = 1
     while len(ids):
         k = len(ids)
@@ -284,15 +290,32 @@ def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.
         yield tuple(np.concatenate(v, axis=-1) for v in zip(*held))
 
 
+def _runs(packed: np.ndarray, plan: Plan) -> np.ndarray | None:
+    """First row of every run of equal bins; None where the rows are taken one by one."""
+    if plan.per_round or not packed.shape[1]:
+        return None
+    first = np.flatnonzero(np.r_[True, (packed[:, 1:] != packed[:, :-1]).any(0)])
+    return first if len(first) < packed.shape[1] else None
+
+
+def _drawn(plan: Plan, tree: int, h: np.ndarray, y: np.ndarray, first: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
+    """Draws, and sums of the drawn outcomes, of every row or run of equal rows."""
+    w = plan.draws(h, tree).astype(np.int64)
+    return (w, w * y) if first is None else (np.add.reduceat(w, first), np.add.reduceat(w * y, first))
+
+
 def _pack(df: DataFrame, features: list[str], bins: Bins, h, y) -> DataFrame:
     """``h bigint, y bigint, x binary``: one byte per feature."""
     cuts = [np.asarray(bins.cuts[f], float) for f in features]
 
     def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            cols = [np.searchsorted(c, b.column(i + 2).to_numpy(zero_copy_only=False).astype(float), side="left") for i, c in enumerate(cuts)]
-            x = np.stack(cols, 1).astype(np.uint8) if cols else np.zeros((b.num_rows, 0), np.uint8)
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([r.tobytes() for r in x], pa.binary())], ["h", "y", "x"])
+            x = np.empty((b.num_rows, len(cuts)), np.uint8)
+            for i, c in enumerate(cuts):
+                x[:, i] = np.searchsorted(c, b.column(i + 2).to_numpy(zero_copy_only=False).astype(float), side="left")
+            ends = pa.py_buffer(np.arange(b.num_rows + 1, dtype=np.int32) * np.int32(len(cuts)))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.Array.from_buffers(pa.binary(), b.num_rows, [None, ends, pa.py_buffer(x)])],
+                                             ["h", "y", "x"])
 
     cols = [F.col(f).cast("double").alias(f"x{i}") for i, f in enumerate(features)]
     return df.select(h.alias("h"), y.cast("bigint").alias("y"), *cols).mapInArrow(fold, "h bigint, y bigint, x binary")
@@ -315,16 +338,17 @@ def _histograms(base: DataFrame, trees: list[int], frozen: list, where: dict, pl
     def fold(batches):
         n, s = np.zeros((p, k * nb), np.int64), np.zeros((p, k * nb), np.int64)
         for h, y, packed in _chunks(batches):
+            first = _runs(packed, plan)
+            packed = packed if first is None else packed[:, first]
             for t, fr, to in zip(trees, frozen, slots):
                 mine = to[to >= 0]
                 if not len(mine):
                     continue
                 lo, hi = int(mine.min()), int(mine.max()) + 1  # a tree's slots lie together
                 x = plan.view(packed, t)
-                slot, w = to[walk(x, *fr[:3])], plan.draws(h, t)
+                slot, (w, wy) = to[walk(x, *fr[:3])], _drawn(plan, t, h, y, first)
                 use = np.flatnonzero((slot >= 0) & (w > 0))
-                slot, w = slot[use], w[use].astype(float)
-                wy = w * y[use]
+                slot, w, wy = slot[use], w[use].astype(float), wy[use].astype(float)
                 for f in range(p):
                     some = tried[lo:hi, f]
                     if not some.any():
@@ -357,11 +381,11 @@ def _choose(plan: Plan):
     return fn
 
 
-def _grow_upper(base: DataFrame, trees: list[int], plan: Plan, rows: int, local_rows: int) -> list[Upper]:
-    """Upper nodes of a batch of trees: one pass of ``base`` per level and ``MAX_CELLS``."""
+def _grow_upper(base: DataFrame, trees: list[int], plan: Plan, rows: int, local_rows: int, whole: bool = False) -> list[Upper]:
+    """Upper nodes of a batch of trees: one pass of ``base`` per level and ``MAX_CELLS``; none where a task takes a ``whole`` tree."""
     ups = [Upper() for _ in trees]
     drawn = rows * (plan.sample_frac if plan.bootstrap else 1.0)
-    if drawn <= local_rows:
+    if whole or drawn <= local_rows:
         return ups
     for u in ups:
         u.state[0] = 3
@@ -394,27 +418,37 @@ def _deal(trees: list[int], frozen: list, plan: Plan, train: bool, salts: int =
         out: dict = {c: [] for c in names}
         size = 0
         for k, (h, y, packed) in enumerate(_chunks(batches)):
+            runs, view = _runs(packed, plan) if train else None, None
+            packed = packed if runs is None else packed[:, runs]
             for t, fr in zip(trees, frozen):
-                x = plan.view(packed, t)
-                w = plan.draws(h, t) if train else np.ones(len(h), np.uint8)
-                use = np.flatnonzero(w > 0)
-                at = walk(x[:, use], *fr[:3])
-                local = fr[3][at] == 1
-                use, at = use[local], at[local]
+                if view is None or (plan.per_round and t // plan.per_round != view):
+                    view, x = t // plan.per_round if plan.per_round else 0, plan.view(packed, t)
+                    xt = np.ascontiguousarray(x.T)
+                if train:
+                    w, wy = _drawn(plan, t, h, y, runs)
+                    use = np.flatnonzero(w > 0)
+                else:
+                    use = np.arange(len(h))
+                if len(fr[0]) > 1:
+                    at = walk(x if len(use) == x.shape[1] else x[:, use], *fr[:3])
+                    local = fr[3][at] == 1
+                    use, at = use[local], at[local]
+                    order = np.argsort(at, kind="stable")
+                    use, at = use[order], at[order]
+                else:
+                    use, at = use[:len(use) if fr[3][0] == 1 else 0], np.zeros(len(use), np.int64)
                 if not len(use):
                     continue
-                order = np.argsort(at, kind="stable")
-                use, at = use[order], at[order]
                 nodes, first = np.unique(at, return_index=True)
                 for i, r in zip(nodes.tolist(), np.split(use, first[1:])):
                     out["tree"].append(t)
                     out["node"].append(i)
                     out["salt"].append(k % salts)
                     out["h"].append(b"" if train else h[r].tobytes())
-                    out["y"].append(y[r].astype(np.int32).tobytes() if train else b"")
-                    out["w"].append(w[r].tobytes() if train else b"")
-                    out["x"].append(x[:, r].T.tobytes())
-                size += len(use) * (len(x) + 8)
+                    out["y"].append(wy[r].tobytes() if train else b"")
+                    out["w"].append(w[r].astype(np.uint32).tobytes() if train else b"")
+                    out["x"].append(xt[r].tobytes())
+                size += len(use) * (len(x) + 12)
                 if size >= BLOB_BYTES:
                     yield _blob_batch(out, names)
                     out, size = {c: [] for c in names}, 0
@@ -529,8 +563,8 @@ def _grow_group(trees: list[int], frozen: list, plan: Plan):
         tree, node = key[0].as_py(), key[1].as_py()
         fr = where[tree]
         x = np.ascontiguousarray(_joined(table["x"], np.uint8).reshape(-1, plan.features).T)
-        y, w = _joined(table["y"], np.int32).astype(np.int64), _joined(table["w"], np.uint8)
-        got = grow_local(x, y, w, tree, int(fr[4][node]), int(fr[5][node]), plan).pack(plan.features)
+        wy, w = _joined(table["y"], np.int64), _joined(table["w"], np.uint32)
+        got = grow_local(x, None, w, tree, int(fr[4][node]), int(fr[5][node]), plan, wy).pack(plan.features)
         return pa.table({"tree": pa.array([tree], pa.int32()), "node": pa.array([node], pa.int64()), "nodes": pa.array([got["nodes"]], pa.int32()),
                          **{c: pa.array([got[c]], pa.binary()) for c in ("feature", "cut", "left", "value", "n")},
                          "gains": pa.array([got["gains"]], pa.list_(pa.float64()))})
@@ -674,10 +708,11 @@ def fit_forest(df: DataFrame, y: str, features: list[str], key, trees: int = 100
     """
     if max_bins > 256:
         raise ValueError("bins are bytes: at most 256")
-    base, bins, center, scale, rows = _integer_table(df, y, features, key, max_bins, seed, bins)
+    base, bins, center, scale, rows = _integer_table(df, y, features, key, max_bins, seed, bins, True)
     p = len(features)
     plan = Plan(p, _width(bins), min(p, mtry or p), min_node, min_child, max_depth, seed, sample_frac, bootstrap, widths=_widths(bins, features))
-    return Forest(features, bins, plan, trees, _grow(base, plan, trees, rows, local_rows), center, scale, rows)
+    few = local_rows >= LOCAL_ROWS and rows > local_rows and base.select("x").distinct().count() <= TASK_KINDS
+    return Forest(features, bins, plan, trees, _grow(base, plan, trees, rows, local_rows, few), center, scale, rows)
 
 
 def _width(bins: Bins) -> int:
@@ -688,29 +723,33 @@ def _widths(bins: Bins, features: list[str]) -> tuple:
     return tuple(len(bins.cuts[f]) + 1 for f in features)
 
 
-def _integer_table(df: DataFrame, y: str, features: list[str], key, max_bins: int, seed: int, bins: Bins | None = None):
-    """The packed table, its bins, the outcome's centre and units, and the number of rows."""
+def _integer_table(df: DataFrame, y: str, features: list[str], key, max_bins: int, seed: int, bins: Bins | None = None, together: bool = False):
+    """The packed table (``together``: rows of equal bins side by side), its bins, the outcome's centre and units, and the number of rows."""
     bins = bins or make_bins(df, features, max_bins)
     d = df.filter(F.col(y).isNotNull())
     lo, hi, rows = d.agg(F.min(F.col(y).cast("double")), F.max(F.col(y).cast("double")), F.count(F.lit(1))).first()
     if not rows:
         raise ValueError("no row with an outcome")
-    # a power of two per unit, so that sums over all rows fit 63 bits
-    bits = min(BITS, 62 - math.ceil(math.log2(rows + 1)))
+    # a power of two per unit, so that sums over all rows fit 63 bits (53 where a task may hold all of them)
+    bits = min(BITS, (52 if together else 62) - math.ceil(math.log2(rows + 1)))
     center, scale = (lo + hi) / 2, 2.0 ** math.floor(bits - 1 - math.log2(hi - lo)) if hi > lo else 1.0
     keys = [key] if isinstance(key, str) else list(key)
     h = F.xxhash64(F.lit(seed), *[F.col(k) for k in keys])
-    base = snapshot(_pack(d, features, bins, h, F.round((F.col(y).cast("double") - F.lit(center)) * F.lit(scale))))
-    return base, bins, center, scale, rows
+    base = _pack(d, features, bins, h, F.round((F.col(y).cast("double") - F.lit(center)) * F.lit(scale)))
+    if together:
+        # by hash too, so that frequent bins do not fill one partition
+        parts = max(math.ceil(rows / 1_000_000), min(df.sparkSession.sparkContext.defaultParallelism, math.ceil(rows / 20_000)))
+        base = base.repartitionByRange(parts, "x", "h").sortWithinPartitions("x", "h")
+    return snapshot(base), bins, center, scale, rows
 
 
-def _grow(base: DataFrame, plan: Plan, trees: int, rows: int, local_rows: int) -> list:
+def _grow(base: DataFrame, plan: Plan, trees: int, rows: int, local_rows: int, whole: bool = False) -> list:
     """All trees, a batch at a time: ``(tree numbers, upper nodes, written subtrees)``."""
     each = max(1, MAX_UPPER_NODES // max(1, math.ceil(4 * rows * plan.sample_frac / local_rows)))
     batches = []
     for first in range(0, trees, each):
         some = list(range(first, min(trees, first + each)))
-        ups = _grow_upper(base, some, plan, rows, local_rows)
+        ups = _grow_upper(base, some, plan, rows, local_rows, whole)
         frozen = [u.frozen() for u in ups]
         grown = (base.mapInArrow(_deal(some, frozen, plan, True), BLOB).groupBy("tree", "node")
                  .applyInArrow(_grow_group(some, frozen, plan), SUBTREE))

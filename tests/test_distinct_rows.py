@@ -106,3 +106,32 @@ def test_draws_of_hinge_regression_from_one_row_each(spark):
     want = gram(ex, [*[f"t{i}" for i in range(len(basis))], "y"], by=["_draw"], weight="_w")
     assert np.allclose(got.shift, want.shift) and set(got.mats) == set(want.mats)
     assert all(np.allclose(got.mats[k], want.mats[k]) for k in got.mats)
+
+
+def test_rows_of_equal_bins_grow_as_one(spark, monkeypatch):
+    df = spark.createDataFrame([(i, float(i % 3), float(i % 4), float((i * 7) % 11) + i % 3) for i in range(900)], "k int, a double, b double, y double")
+    held, grow = [], fo.grow_local
+    monkeypatch.setattr(fo, "grow_local", lambda *a: held.append(a) or grow(*a))
+    plan = fo.Plan(2, 4, 2, widths=(3, 4))
+    base, bins, center, scale, rows = fo._integer_table(df, "y", ["a", "b"], "k", 64, 1, together=True)
+    batches = list(fo._deal([0], [fo.Upper().frozen()], plan, True)(base.toArrow().to_batches()))
+    w = np.concatenate([np.frombuffer(v, np.uint32) for b in batches for v in b["w"].to_pylist()])
+    assert len(w) <= 24 and rows == 900  # 12 kinds, each cut once at most by the two batches' edges
+    raw = base.toPandas()
+    want = plan.draws(raw["h"].to_numpy().astype(np.int64).view(np.uint64), 0)
+    assert w.sum() == want.sum()
+    wy = np.concatenate([np.frombuffer(v, np.int64) for b in batches for v in b["y"].to_pylist()])
+    assert wy.sum() == (want.astype(np.int64) * raw["y"].to_numpy()).sum()
+    x = np.stack([np.frombuffer(v, np.uint8) for v in raw["x"]]).T.copy()
+    kinds = np.concatenate([np.frombuffer(v, np.uint8).reshape(-1, 2) for b in batches for v in b["x"].to_pylist()]).T.copy()
+    one, all_ = (fo.grow_local(*a).pack(2) for a in ((kinds, None, w, 0, 1, 0, plan, wy), (x, raw["y"].to_numpy(), want, 0, 1, 0, plan)))
+    assert one == all_
+
+
+def test_whole_trees_are_those_with_upper_nodes(spark):
+    df = spark.createDataFrame([(i, float(i % 5), float(i % 7), float((i * 7) % 11) + i % 5) for i in range(700)], "k int, a double, b double, y double")
+    base, bins, _, _, rows = fo._integer_table(df, "y", ["a", "b"], "k", 64, 1, together=True)
+    plan = fo.Plan(2, 8, 1, seed=3, widths=fo._widths(bins, ["a", "b"]))
+    a, b = (fo._grow(base, plan, 3, rows, 50, whole) for whole in (True, False))
+    assert all(len(u.state) == 1 for u in a[0][1]) and all(len(u.state) > 1 for u in b[0][1])
+    assert np.allclose(fo._tree_gains(a, 3, 2), fo._tree_gains(b, 3, 2), rtol=1e-12)
