@@ -58,3 +58,10 @@ def test_one_partition_per_team(spark):
         got = spark.createDataFrame([(k,) for k in keys], "team int").repartition(n, "team").withColumn("p", F.spark_partition_id()).collect()
         assert len(keys) == len(set(keys)) == n and {r["team"]: r["p"] for r in got} == {k: i for i, k in enumerate(keys)}
     assert math.prod(bo.joint_bins(bo.Coder(["a"], {"a": [1.0]}, {}))) == 2
+
+
+def test_rows_as_entries_give_the_same_tree(spark, hh):
+    spec = bo.Spec(0, 4, min_child=5.0)
+    trees = [bo.GridBoost(hh, Y, X, "hhid", [spec], merge=merge).grow_tree() for merge in (True, False)]
+    a, b = ([(i, n.feature, n.cut, n.n, n.value) for i, n in sorted(t.nodes.items())] for t in trees)
+    assert a == b and len(a) > 5
